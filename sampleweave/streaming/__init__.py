@@ -1,0 +1 @@
+"""Every job of this library is bounded, so it holds no streaming query and no streaming state."""
