@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
@@ -85,15 +85,20 @@ def pagerank(pages: DataFrame, links: DataFrame, n_pages: int, damping: float =
             F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("part"),
             F.lit(None).cast("double").alias("before"))
         own = ranks.select("id", F.lit(None).cast("double").alias("part"), F.col("rank").alias("before"))
+        # the greatest move is a by-product of the job that writes the round, and the same
+        # if a lost task is run again
+        moves = Observation()
         ranks = cut(given.unionByName(own).groupBy("id")
                     .agg(F.sum("part").alias("part"), F.max("before").alias("before"))
                     .filter(F.col("part").isNotNull())
-                    .select("id", (F.col("part") * damping + base).alias("rank"), "before"))
-        if ranks.filter(F.abs(F.col("rank") - F.col("before")) > epsilon).isEmpty():
+                    .select("id", (F.col("part") * damping + base).alias("rank"), "before")
+                    .observe(moves, F.max(F.abs(F.col("rank") - F.col("before"))).alias("greatest"))
+                    .select("id", "rank"))
+        greatest = moves.get["greatest"]
+        if greatest is None or greatest <= epsilon:
             break
-        ranks = ranks.select("id", "rank")
     edges.rows.unpersist()
-    return ranks.select("id", "rank")
+    return ranks
 
 
 def pagerank_fixed(links: DataFrame, nodes: DataFrame, n_nodes: int, rounds: int,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_within
@@ -34,20 +34,23 @@ def user_positions(ratings: DataFrame, user_blocks: int, item_blocks: int, width
     summaries for each, so its size is bounded by width * item_blocks.
     Gives (block, chunk, user, position, n_item_blocks, first_item_block, n_ratings).
     """
-    keys = [block_of(F.col("user"), user_blocks).alias("block"),
-            chunk_of(F.col("user"), width, user_blocks).alias("chunk")]
+    def keys(user: str) -> list[Column]:
+        return [block_of(F.col(user), user_blocks).alias("block"),
+                chunk_of(F.col(user), width, user_blocks).alias("chunk")]
+
     summaries = (ratings.groupBy("user", block_of(F.col("item"), item_blocks).alias("item_block"))
-                 .agg(F.count("*").alias("n")).select(*keys, "user", "item_block", "n"))
-    users = ratings.select("user").distinct().select(*keys, "user")
+                 .agg(F.count("*").alias("n")).select(*keys("user"), "user", "item_block", "n"))
+    # a name of its own keeps the two sides of the co-group apart
+    listed = ratings.select(F.col("user").alias("member")).distinct().select(*keys("member"), "member")
 
-    def place(rated: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        listed = listed.sort_values("user").reset_index(drop=True)
-        listed["position"] = listed.index.astype("int64")
+    def place(rated: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        members = members.rename(columns={"member": "user"}).sort_values("user").reset_index(drop=True)
+        members["position"] = members.index.astype("int64")
         facts = rated.groupby("user").agg(n_item_blocks=("item_block", "size"),
                                           first_item_block=("item_block", "min"),
                                           n_ratings=("n", "sum")).reset_index()
-        return listed.merge(facts, on="user")
+        return members.merge(facts, on="user")
 
-    return summaries.groupBy("block", "chunk").cogroup(users.groupBy("block", "chunk")).applyInPandas(
+    return summaries.groupBy("block", "chunk").cogroup(listed.groupBy("block", "chunk")).applyInPandas(
         place, "block INT, chunk BIGINT, user BIGINT, position BIGINT, n_item_blocks BIGINT, "
                "first_item_block INT, n_ratings BIGINT")

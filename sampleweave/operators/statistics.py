@@ -86,7 +86,7 @@ def pair_sums(cells: DataFrame, features: DataFrame, n_samples: int, column: str
         matrix[rows[mine], group["pos"].to_numpy()[mine]] = group["z"].to_numpy()[mine]
         return matrix
 
-    def multiply(key, group: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         a, b = int(key[0]), int(key[1])
         rows, ids = pd.factorize(group["sample_id"])
         left = filled(group, rows, len(ids), a)

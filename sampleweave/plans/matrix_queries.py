@@ -153,12 +153,12 @@ def feature_stats(spark, folder):
         rounded(F.col("centered_norm")).alias("centered_norm"))
 
 
-@query(with_views("""SELECT a.feature AS feature_a, b.feature AS feature_b, round(SUM(a.value * b.value), 3) AS product
+@query(with_views("""SELECT a.feature AS feature_a, b.feature AS feature_b, round(SUM(a.value * b.value), 4) AS product
                      FROM dense a JOIN dense b ON a.sample_id = b.sample_id AND a.feature <= b.feature
                      GROUP BY 1, 2""", "sample_sparse", more=SPARSE_DENSE))
 def feature_pairs(spark, folder):
     return statistics.feature_products(views.sample_sparse(spark, folder)).withColumn(
-        "product", rounded(F.col("product"), 3))
+        "product", rounded(F.col("product"), 4))
 
 
 @query(with_views("SELECT feature_a, feature_b, round(cross_sum, 3) AS cross_sum FROM pairs", "sample_long",
@@ -393,15 +393,14 @@ def weights_topk(spark, folder):
 
 @query(with_views("""
     SELECT sample_id, score, label, label || ' : ' || CAST(sample_id AS VARCHAR) || ', '
-           || CAST(CAST(round(score * 1000) AS BIGINT) AS VARCHAR) AS line
-    FROM (SELECT sample_id, round(SUM(value * weight), 3) AS score,
+           || CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR) AS line
+    FROM (SELECT sample_id, round(SUM(value * weight), 6) AS score,
                  CASE WHEN SUM(value * weight) < 0 THEN 'Diseased' ELSE 'Healthy' END AS label
           FROM sample_long JOIN weights USING (feature) GROUP BY 1)""", "sample_long", more=[WEIGHTS]))
 def score_labels(spark, folder):
     cells = cut(views.sample_long(spark, folder))
     scored = linear.score_samples(cells.select("sample_id", "feature", "value"), mean_weights(cells))
-    scored = scored.withColumn("score", rounded(F.col("score"), 3))
-    return exports.label_lines(scored, F.round(F.col("score") * 1000).cast("long").cast("string"))
+    return exports.label_lines(scored.withColumn("score", rounded(F.col("score"))), micros("score"))
 
 
 # ---- factor text -------------------------------------------------------------------------
