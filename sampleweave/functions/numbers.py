@@ -34,7 +34,7 @@ def id_uniform(identity: Column, index: Column | int = 0, seed: int = 0) -> Colu
 def folded_pareto(uniform: Column, skew: float, top: int) -> Column:
     """Pareto-like draw 0.2 / u**skew, cut to a whole number and folded into [0, top]."""
     draw = F.floor(F.lit(0.2) / F.pow(uniform, F.lit(float(skew)))).cast("long")
-    return F.when(draw > F.lit(top), F.pmod(draw, F.lit(top))).otherwise(draw)
+    return F.when(draw > F.lit(top), F.pmod(draw, F.lit(max(top, 1)))).otherwise(draw)
 
 
 def unrolled_dot(left: Column, right: Column, size: int) -> Column:

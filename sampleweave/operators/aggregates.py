@@ -112,8 +112,8 @@ def block_traffic(ratings: DataFrame, user_blocks: int, item_blocks: int) -> Dat
 
 def point_blocks(points: DataFrame, blocks: int, width: int = 4_096) -> DataFrame:
     """Points of each block in index-range chunks: (block, chunk, n_points, indices, label_sum)."""
-    return (points.select(block_of(F.col("index"), blocks).alias("block"),
-                          chunk_of(F.col("index"), width, blocks).alias("chunk"), "index", "label")
-            .groupBy("block", "chunk")
-            .agg(F.count("*").alias("n_points"), F.sort_array(F.collect_list("index")).alias("indices"),
-                 F.sum("label").alias("label_sum")))
+    by_index = points.groupBy("index").agg(F.count("*").alias("n"), F.sum("label").alias("label_sum"))
+    return (by_index.groupBy(block_of(F.col("index"), blocks).alias("block"),
+                             chunk_of(F.col("index"), width, blocks).alias("chunk"))
+            .agg(F.sum("n").alias("n_points"), F.sort_array(F.collect_list("index")).alias("indices"),
+                 F.sum("label_sum").alias("label_sum")))

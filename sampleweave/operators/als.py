@@ -47,14 +47,12 @@ def by_item(ratings: DataFrame, hot_rows: int = HOT_ROWS) -> SlottedRows:
 
 def normal_sums(rated: DataFrame, rank: int) -> DataFrame:
     """(id, n, gram, rhs) per user from rows (user, rating, factors); gram is the upper triangle."""
-    v = F.col("factors")
-    pairs = [(i, j) for i in range(rank) for j in range(i, rank)]
+    grams = {f"g{i}_{j}": f"sum(factors[{i}] * factors[{j}])" for i in range(rank) for j in range(i, rank)}
+    sides = {f"b{i}": f"sum(rating * factors[{i}])" for i in range(rank)}
+    # as text: a step has some rank * rank / 2 sums, and building columns one by one is slow
     sums = rated.groupBy(F.col("user").alias("id")).agg(
-        F.count("*").alias("n"),
-        *[F.sum(v[i] * v[j]).alias(f"g{i}_{j}") for i, j in pairs],
-        *[F.sum(F.col("rating") * v[i]).alias(f"b{i}") for i in range(rank)])
-    return sums.select("id", "n", F.array(*[f"g{i}_{j}" for i, j in pairs]).alias("gram"),
-                       F.array(*[f"b{i}" for i in range(rank)]).alias("rhs"))
+        F.count("*").alias("n"), *[F.expr(f"{e} AS {name}") for name, e in (grams | sides).items()])
+    return sums.selectExpr("id", "n", f"array({', '.join(grams)}) AS gram", f"array({', '.join(sides)}) AS rhs")
 
 
 def solved(sums: DataFrame, rank: int, regularization: float) -> DataFrame:
@@ -77,8 +75,7 @@ def solved(sums: DataFrame, rank: int, regularization: float) -> DataFrame:
 
 def joined_step(rated: SlottedRows, factors: DataFrame, rank: int, regularization: float) -> DataFrame:
     """New user factors; item factors reach the ratings by a join on the item."""
-    vectors = rated.spread(factors.withColumnRenamed("id", "item"), "item")
-    rows = vectors.join(rated.rows, ["item", "slot"])
+    rows = rated.join(factors.withColumnRenamed("id", "item"))
     return solved(normal_sums(rows, rank), rank, regularization)
 
 
@@ -97,23 +94,23 @@ class RoutedRatings:
     """Ratings partitioned by user block and item, and the routes that item vectors take to them."""
 
     rows: DataFrame
-    routes: DataFrame  # item, block, slot
-    blocks: int
+    routes: DataFrame  # block, item, and slot if some item is hot
+    on: list[str]
 
 
 def by_user_block(ratings: DataFrame, blocks: int, hot_rows: int = HOT_ROWS) -> RoutedRatings:
     """``blocks`` user blocks; the ratings of a hot item are split into slots within each block."""
-    rated = slotted(ratings, "item", ["user"], hot_rows).rows
-    blocked = rated.select(block_of(F.col("user"), blocks).alias("block"), "item", "slot", "user", "rating")
-    width = shuffle_width(ratings.sparkSession)
-    rows = blocked.repartition(width, "block", "item", "slot").persist()
-    return RoutedRatings(rows, cut(rows.select("item", "block", "slot").distinct()), blocks)
+    rated = slotted(ratings, "item", ["user"], hot_rows)
+    on = ["block", *rated.on]
+    rows = (rated.rows.withColumn("block", block_of(F.col("user"), blocks))
+            .repartition(shuffle_width(ratings.sparkSession), *on).persist())
+    return RoutedRatings(rows, cut(rows.select(*on).distinct()), on)
 
 
 def routed_step(rated: RoutedRatings, factors: DataFrame, rank: int, regularization: float) -> DataFrame:
     """The same with each item vector sent once to every user block that needs it."""
     sent = factors.withColumnRenamed("id", "item").join(rated.routes, "item")
-    rows = sent.join(rated.rows, ["block", "item", "slot"])
+    rows = sent.join(rated.rows, rated.on)
     return solved(normal_sums(rows, rank), rank, regularization)
 
 

@@ -65,8 +65,7 @@ def shares(links: DataFrame, hot_rows: int = HOT_ROWS) -> SlottedRows:
 
 def passed_on(state: DataFrame, edges: SlottedRows) -> DataFrame:
     """State rows joined with the edges that leave their vertex."""
-    out = edges.spread(state.withColumnRenamed("id", "src"), "src")
-    return out.join(edges.rows, ["src", "slot"])
+    return edges.join(state.withColumnRenamed("id", "src"))
 
 
 def pagerank(pages: DataFrame, links: DataFrame, n_pages: int, damping: float = DAMPING,

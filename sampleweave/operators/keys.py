@@ -15,24 +15,27 @@ LIST_WIDTH = 1_000_000
 
 @dataclass(frozen=True)
 class SlottedRows:
-    """Rows with a ``slot`` column that spreads the rows of each hot key.
+    """Rows to be joined on a key that may be hot.
 
-    ``hot`` holds (key, slots) for hot keys only, or is None if no key is hot.
+    If some key is hot, ``rows`` has a column ``slot`` that spreads each hot key and ``hot`` holds
+    (key, slots) of the hot keys; else ``hot`` is None and there is no slot.
     """
 
     rows: DataFrame
     key: str
     hot: DataFrame | None
 
-    def spread(self, state: DataFrame, key: str) -> DataFrame:
-        """Repeat each state row once per slot of its key, ready to join on (key, slot)."""
-        if self.hot is None:
-            return state.withColumn("slot", F.lit(0))
-        hot = self.hot.withColumnRenamed(self.key, key)
-        last = F.coalesce(F.col("slots"), F.lit(1)) - 1
-        return (state.join(hot, key, "left")
-                .withColumn("slot", F.explode(F.sequence(F.lit(0), last)))
-                .drop("slots"))
+    @property
+    def on(self) -> list[str]:
+        return [self.key] if self.hot is None else [self.key, "slot"]
+
+    def join(self, state: DataFrame) -> DataFrame:
+        """Join ``state``, one row per key, with the rows; a hot key's state goes to all its slots."""
+        if self.hot is not None:
+            last = F.coalesce(F.col("slots"), F.lit(1)) - 1
+            state = (state.join(self.hot, self.key, "left")
+                     .withColumn("slot", F.explode(F.sequence(F.lit(0), last))).drop("slots"))
+        return state.join(self.rows, self.on)
 
 
 def slotted(rows: DataFrame, key: str, by: list[str], hot_rows: int = HOT_ROWS,
@@ -42,18 +45,22 @@ def slotted(rows: DataFrame, key: str, by: list[str], hot_rows: int = HOT_ROWS,
     Keys are counted in ``counted`` if given, a cheaper frame with the same keys, else in
     ``rows``; that one should be a table. At most rows / hot_rows keys are hot.
     """
-    hot = cut((rows if counted is None else counted).groupBy(key).count().filter(F.col("count") > hot_rows)
+    counts = (rows if counted is None else counted).groupBy(key).count()
+    if (counts.agg(F.max("count").alias("most")).first()["most"] or 0) <= hot_rows:
+        return SlottedRows(rows, key, None)
+    hot = cut(counts.filter(F.col("count") > hot_rows)
               .select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("slots")))
-    if hot.isEmpty():
-        return SlottedRows(rows.withColumn("slot", F.lit(0)), key, None)
     slot = F.pmod(F.xxhash64(*by), F.coalesce(F.col("slots"), F.lit(1))).cast("int")
     return SlottedRows(rows.join(hot, key, "left").withColumn("slot", slot).drop("slots"), key, hot)
 
 
 def held_by(keyed: SlottedRows) -> SlottedRows:
-    """Keep the rows of a loop partitioned by (key, slot), so that each round moves only the state."""
-    spark = keyed.rows.sparkSession
-    rows = keyed.rows.repartition(shuffle_width(spark), keyed.key, "slot").persist()
+    """Keep the rows of a loop partitioned and sorted as they are joined.
+
+    Each round then moves and sorts only the state. Lost parts are rebuilt from the rows' table.
+    """
+    rows = (keyed.rows.repartition(shuffle_width(keyed.rows.sparkSession), *keyed.on)
+            .sortWithinPartitions(*keyed.on).persist())
     return SlottedRows(rows, keyed.key, keyed.hot)
 
 

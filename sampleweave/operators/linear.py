@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..session import cut
 from .aggregates import sum_vectors
-from .keys import block_of
+from .keys import block_of, numbered
 
 BLOCK_BYTES = 32 * 1024 * 1024
 
@@ -62,13 +62,23 @@ class PointBlocks:
     size: int
 
 
-def packed_blocks(points: DataFrame, blocks: int) -> PointBlocks:
-    """Block = index modulo blocks. More blocks are used than asked for if one would not fit."""
+def packed_blocks(points: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES) -> PointBlocks:
+    """Block = index modulo blocks, as long as every block fits.
+
+    More blocks are used than asked for if the points need them, and if the indices are so uneven
+    that one block would still be too large, the points are numbered and placed by their number.
+    """
     facts = points.agg(F.count("*").alias("n"), F.max(F.size("data")).alias("d")).first()
-    blocks = max(blocks, ceil(facts["n"] * facts["d"] * 8 / BLOCK_BYTES))
+    most_rows = max(1, block_bytes // (8 * facts["d"]))
+    blocks = max(blocks, ceil(facts["n"] / most_rows))
+    placed = points.select(block_of(F.col("index"), blocks).alias("block"), "index", "data", "label")
+    largest = placed.groupBy("block").count().agg(F.max("count").alias("most")).first()["most"]
+    if largest > 2 * most_rows:
+        order = [F.col("index").asc(), F.xxhash64("data").asc(), F.col("label").asc()]
+        placed = numbered(points.select("index", "data", "label"), order).select(
+            block_of(F.col("position"), blocks).alias("block"), F.col("position").alias("index"), "data", "label")
     entry = F.struct("index", "data", "label")
-    rows = (points.groupBy(block_of(F.col("index"), blocks).alias("block"))
-            .agg(F.sort_array(F.collect_list(entry)).alias("es"))
+    rows = (placed.groupBy("block").agg(F.sort_array(F.collect_list(entry)).alias("es"))
             .select("block", F.flatten(F.transform("es", lambda e: e["data"])).alias("xs"),
                     F.transform("es", lambda e: e["label"]).alias("ys")))
     return PointBlocks(cut(rows), blocks, facts["n"], facts["d"])

@@ -29,9 +29,9 @@ def zero_fill(cells: DataFrame, samples: DataFrame, features: DataFrame,
               block: int = FEATURE_BLOCK) -> DataFrame:
     """Every (sample, feature) of ``samples`` x ``features``, with 0 where no cell is given.
 
-    Only the absent pairs are made: per sample and block of at most about ``block`` features,
-    the block's names without those seen. Cells given pass through; names outside
-    ``features`` are dropped.
+    The cells of a sample are put beside the names of each block of about ``block`` features,
+    and only the names not seen are added: no pair of sample and feature is ever joined, and
+    no list is longer than a block. Cells of other samples or features are dropped.
     """
     n_features = features.count()
     blocks = max(1, ceil(n_features / block))
@@ -43,18 +43,18 @@ def zero_fill(cells: DataFrame, samples: DataFrame, features: DataFrame,
     else:
         salts = max(1, ceil(4 * shuffle_width(features.sparkSession) / blocks))
         names = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    kept = cells.join(features.select("feature"), "feature", "left_semi")
-    seen = (kept.select("sample_id", in_block.alias("block"), "feature")
-            .groupBy("sample_id", "block").agg(F.collect_set("feature").alias("seen")))
+    seen = (cells.join(features.select("feature"), "feature", "left_semi")
+            .groupBy("sample_id", in_block.alias("block"))
+            .agg(F.collect_list(F.struct("feature", "value")).alias("given")))
     rows = samples.select("sample_id",
                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    wanted = (rows.join(seen, ["sample_id", "block"], "left")
+    beside = (rows.join(seen, ["sample_id", "block"], "left")
+              .withColumn("given", F.coalesce("given", F.array().cast(dict(seen.dtypes)["given"])))
               .withColumn("salt", F.pmod(F.xxhash64("sample_id"), F.lit(salts)).cast("int"))
               .join(names, ["block", "salt"]))
-    absent = F.array_except("names", F.coalesce("seen", F.array().cast("array<string>")))
-    zeros = wanted.select("sample_id", F.explode(absent).alias("feature"), F.lit(0.0).alias("value"))
-    given = kept.join(samples.select("sample_id"), "sample_id", "left_semi")
-    return given.select("sample_id", "feature", "value").unionByName(zeros)
+    absent = F.array_except("names", F.transform("given", lambda c: c["feature"]))
+    zeros = F.transform(absent, lambda name: F.struct(name.alias("feature"), F.lit(0.0).alias("value")))
+    return beside.select("sample_id", F.inline(F.concat("given", zeros)))
 
 
 def dense_matrix(cells: DataFrame, excluded: list[str] | None = None) -> DataFrame:

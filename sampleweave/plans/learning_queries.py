@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.numbers import rounded
+from ..functions.numbers import id_uniform, rounded
 from ..operators import als, linear
 from ..session import cut
 from . import check_sql, views
@@ -133,8 +131,6 @@ STRENGTH = "(0.01::DOUBLE * (SELECT COUNT(*) FROM points))"
                        (label * {DOT.format(a='data', b=FIXED_SQL)} - 1.0::DOUBLE) * {STRENGTH} AS grad,
                        {DOT.format(a='data', b='data')} AS square FROM points))""", "points"))
 def sdca_step(spark, folder):
-    from ..functions.numbers import id_uniform
-
     points = views.points(spark, folder)
     step = linear.dual_step(F.col("data"), F.col("label"), id_uniform(F.col("index"), 0, 3),
                             vectors.literal(FIXED), 0.01, points.count())
@@ -184,5 +180,3 @@ def linreg_gd(spark, folder):
     return (positions_of([*weights, intercept], spark)
             .select(F.col("pos").cast("long").alias("pos"), rounded(F.col("weight"), 8).alias("weight")))
 
-
-__all__ = ["reduce"]

@@ -8,7 +8,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
-from ..functions.text import factor_line
 from ..functions.vectors import joined, total
 from ..operators import als, exports, filters, graph, linear, matrix, ranking, statistics
 from ..session import cut, shared_folder
@@ -428,5 +427,3 @@ def factor_block_text(spark, folder):
     whole = F.transform("factors", lambda f: F.round(f * 1000).cast("long"))
     return exports.factor_block_lines(als.start_factors(ids, 2).withColumn("factors", whole), 4)
 
-
-__all__ = ["factor_line"]

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text, vectors
+from ..functions import text, vectors
 from ..functions.numbers import rounded
 from ..operators import aggregates, exports, filters, graph, joins, keys, ranking
 from ..session import materialize, shared_folder
@@ -388,5 +388,3 @@ def gen_ratings(spark, folder):
     return generators.sparse_ratings(table(spark, folder, "customer").select("c_custkey"), "c_custkey", songs,
                                      mean_count=20.0, std_count=5.0, mean=3.0, std=1.0)
 
-
-__all__ = ["numbers"]

@@ -45,10 +45,8 @@ def materialize(*frames: DataFrame) -> tuple[DataFrame, ...]:
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if ``df`` is seen to have at most ``max_rows`` rows."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    """Hint a broadcast only if ``df`` is counted to have at most ``max_rows`` rows."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import MODULUS, folded_pareto, id_uniform
+from ..functions.numbers import folded_pareto, id_uniform
 
 
 def id_range(spark: SparkSession, first: int, last: int) -> DataFrame:
@@ -56,5 +56,3 @@ def sparse_ratings(listeners: DataFrame, listener: str, songs: int, mean_count:
     return (listeners.select(F.col(listener).cast("long").alias(listener))
             .mapInPandas(draw, "user BIGINT, item BIGINT, rating DOUBLE"))
 
-
-__all__ = ["MODULUS", "id_range", "named_reads", "skewed_reads", "sparse_ratings"]

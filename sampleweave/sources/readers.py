@@ -36,9 +36,9 @@ def read_samples(spark: SparkSession, folder: str) -> DataFrame:
     lines = (spark.read.option("pathGlobFilter", SAMPLE_GLOB).text(folder)
              .select(F.col("_metadata.file_name").alias("sample_id"),
                      F.split("value", "\t").alias("fields")))
-    headers = (lines.filter(F.exists("fields", is_count_header))
-               .select("sample_id", F.array_max(F.transform(
-                   "fields", lambda h, i: F.when(is_count_header(h), i))).alias("at"))
+    # the first field is the name column, whatever it says
+    places = F.transform("fields", lambda h, i: F.when((i > 0) & is_count_header(h), i))
+    headers = (lines.select("sample_id", F.array_max(places).alias("at")).filter(F.col("at").isNotNull())
                .groupBy("sample_id").agg(F.max("at").alias("at")))
     rows = lines.join(headers, "sample_id", "left")
     rows = rows.select("sample_id", F.get("fields", F.lit(0)).alias("feature"),
