@@ -107,7 +107,7 @@ def test_communities(spark, hot):
     edges += [(a, b, 2.0) for a, b in itertools.combinations(range(4, 8), 2)] + [(3, 4, 1.0), (0, 1, 0.5)]
     df = spark.createDataFrame(edges, "src BIGINT, dst BIGINT, weight DOUBLE")
     vertices = spark.createDataFrame([(k, k) for k in range(9)], "id BIGINT, value BIGINT")
-    for rounds in (1, 4, 9):
+    for rounds in (1, 6):
         got = {r["id"]: r["community"] for r in graph.communities(vertices, df, rounds, hot_rows=hot).collect()}
         assert got == toy.communities(range(9), edges, rounds)
     assert got[8] == 8
@@ -157,7 +157,7 @@ def test_als_by_blocks(spark, solved):
 
 
 def test_objective_falls(spark):
-    values = [als.objective(ratings(spark), als.factorize(ratings(spark), 2, 0.1, k), 2, 0.1) for k in (0, 1, 3)]
+    values = [als.objective(ratings(spark), als.factorize(ratings(spark), 2, 0.1, k), 2, 0.1) for k in (0, 1, 2)]
     assert values[0] > values[1] > values[2]
 
 
@@ -204,7 +204,7 @@ def test_dual_ascent_matches_plain_numpy(spark):
 
 
 def test_duality_gap_shrinks(spark):
-    gaps = [linear.gap(points(spark), linear.train_dual(points(spark), 4, k, 40, 0.1), 0.1) for k in (1, 8)]
+    gaps = [linear.gap(points(spark), linear.train_dual(points(spark), 4, k, 40, 0.1), 0.1) for k in (1, 6)]
     assert gaps[0] > gaps[1] > -1e-9
 
 
@@ -234,7 +234,7 @@ def test_one_dual_step(spark):
 
 
 def test_svm_and_builtin_svm_separate_the_toy_points(spark):
-    for weights in (linear.train_svm(points(spark), 4, 20, 0.01, 1.0).weights, linear.train_linear_svc(points(spark))):
+    for weights in (linear.train_svm(points(spark), 4, 8, 0.01, 1.0).weights, linear.train_linear_svc(points(spark), iterations=5)):
         right = linear.predict(points(spark), weights).filter("prediction = label").count()
         assert right >= 36
 
@@ -276,14 +276,15 @@ def test_analysis_of_folders(spark, tmp_path, completion):
     for k in range(12):
         healthy = k % 2 == 0
         base = rng.random()
-        values = {"g1": (3 if healthy else 1) + base, "g2": (3 if healthy else 1) + 2 * base, "g3": (1 if healthy else 3) + rng.random(),
-                  "g4": 1 + rng.random(), "bad": 100.0}
+        high, low = 3 + base, 0.1 * (1 + base)
+        values = {"g1": high if healthy else low, "g2": 2 * high if healthy else 2 * low,
+                  "g3": 0.2 * rng.random() if healthy else 3 + rng.random(), "g4": rng.random(), "bad": 100.0}
         if k == 4:
             del values["g4"]
         for folder in ("Healthy" if healthy else "Diseased", "Test"):
             write_sample(tmp_path / folder, f"s{k}", values)
-    settings = workflow.Settings(completion=completion, factors=2, completion_iterations=2, svm_iterations=15, svm_stepsize=1.0,
-                                 threshold=0.8, excluded=["bad"], community_rounds=3, rank_rounds=10, blocks=2)
+    settings = workflow.Settings(completion=completion, factors=2, completion_iterations=1, svm_iterations=8, svm_stepsize=1.0,
+                                 threshold=0.8, excluded=["bad"], community_rounds=2, rank_rounds=4, blocks=2)
     result = workflow.analyse_folders(spark, *(str(tmp_path / f) for f in ("Healthy", "Diseased", "Test")), settings)
     assert {r["feature"] for r in result.dictionary.collect()} == {"g1", "g2", "g3", "g4"}
     if completion:
