@@ -34,7 +34,7 @@ def factor_line(identity: Column, factors: Column) -> Column:
 
 
 def factor_line_id(line: Column) -> Column:
-    return F.trim(F.get(F.split(without_brackets(line), ","), F.lit(0))).cast("int")
+    return F.trim(F.get(F.split(without_brackets(line), ","), F.lit(0))).cast("long")
 
 
 def factor_line_values(line: Column) -> Column:

@@ -26,7 +26,8 @@ def top_per_group(counts: DataFrame, group: str, item: str, count: str, k: int)
     """The k greatest counts per group. Spark cuts each group to k rows before the shuffle too."""
     order = Window.partitionBy(group).orderBy(F.desc(count), F.asc(item))
     return (counts.withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= k))
+            .filter(F.col("place") <= k)
+            .withColumn("place", F.col("place").cast("long")))
 
 
 def top_as_text(top: DataFrame, group: str, item: str, count: str) -> DataFrame:

@@ -79,14 +79,43 @@ def joined_step(rated: SlottedRows, factors: DataFrame, rank: int, regularizatio
     return solved(normal_sums(rows, rank), rank, regularization)
 
 
+def factor_bytes(count: int, rank: int) -> int:
+    return count * (rank + 2) * 8
+
+
 def broadcast_step(ratings: DataFrame, factors: DataFrame, rank: int, regularization: float,
                    most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The same with the item factors broadcast, if their counted size allows; else by the join."""
-    size = factors.count() * (rank + 2) * 8
-    vectors = factors.withColumnRenamed("id", "item")
-    if size > most_bytes:
+    """The same with the item factors broadcast, if their counted size allows; else by the join.
+
+    If the ratings are partitioned by user, the sums then need no shuffle at all.
+    """
+    if factor_bytes(factors.count(), rank) > most_bytes:
         return joined_step(by_item(ratings), factors, rank, regularization)
-    return solved(normal_sums(ratings.join(F.broadcast(vectors), "item"), rank), rank, regularization)
+    vectors = F.broadcast(factors.withColumnRenamed("id", "item"))
+    return solved(normal_sums(ratings.join(vectors, "item"), rank), rank, regularization)
+
+
+@dataclass(frozen=True)
+class HeldRatings:
+    """Ratings kept for the half steps of a loop, laid out for the way factors reach them."""
+
+    keyed: SlottedRows
+    broadcast: bool
+
+    def step(self, factors: DataFrame, rank: int, regularization: float) -> DataFrame:
+        if not self.broadcast:
+            return joined_step(self.keyed, factors, rank, regularization)
+        vectors = F.broadcast(factors.withColumnRenamed("id", "item"))
+        return solved(normal_sums(self.keyed.rows.join(vectors, "item"), rank), rank, regularization)
+
+
+def held_ratings(ratings: DataFrame, rank: int, hot_rows: int, most_bytes: int) -> HeldRatings:
+    """By user with broadcast item factors if all of them fit into ``most_bytes``, else by item."""
+    n_items = rated_items(ratings).count()
+    if factor_bytes(n_items, rank) > most_bytes:
+        return HeldRatings(by_item(ratings, hot_rows), False)
+    by_user = slotted(ratings.select("user", "item", "rating"), "user", ["item"], hot_rows)
+    return HeldRatings(held_by(by_user), True)
 
 
 @dataclass(frozen=True)
@@ -104,6 +133,7 @@ def by_user_block(ratings: DataFrame, blocks: int, hot_rows: int = HOT_ROWS) ->
     on = ["block", *rated.on]
     rows = (rated.rows.withColumn("block", block_of(F.col("user"), blocks))
             .repartition(shuffle_width(ratings.sparkSession), *on).persist())
+    rows.count()
     return RoutedRatings(rows, cut(rows.select(*on).distinct()), on)
 
 
@@ -115,30 +145,22 @@ def routed_step(rated: RoutedRatings, factors: DataFrame, rank: int, regularizat
 
 
 def factorize(ratings: DataFrame, rank: int = 10, regularization: float = 0.1, iterations: int = 10,
-              seed: int = 42, hot_rows: int = HOT_ROWS) -> Factorization:
-    """Alternate item and user updates ``iterations`` times; a last user update follows the loop."""
-    ratings = cut(ratings.select("user", "item", "rating"))
-    forth, back = by_item(ratings, hot_rows), by_item(transpose_ratings(ratings), hot_rows)
-    items = start_factors(rated_items(ratings), rank, seed)
-    for _ in range(iterations):
-        users = joined_step(forth, items, rank, regularization)
-        items = cut(joined_step(back, users, rank, regularization))
-    users = cut(joined_step(forth, items, rank, regularization))
-    forth.rows.unpersist()
-    back.rows.unpersist()
-    return Factorization(users, items)
-
+              seed: int = 42, hot_rows: int = HOT_ROWS, most_bytes: int = BROADCAST_BYTES) -> Factorization:
+    """Alternate user and item updates ``iterations`` times; a last user update follows the loop.
 
-def factorize_broadcast(ratings: DataFrame, rank: int = 10, regularization: float = 0.1,
-                        iterations: int = 10, seed: int = 42) -> Factorization:
-    """``factorize`` with broadcast factors wherever their size is within the bound."""
+    Per side, factors are broadcast if they fit into ``most_bytes``, else joined (0: always joined).
+    """
     ratings = cut(ratings.select("user", "item", "rating"))
-    turned = transpose_ratings(ratings)
+    forth = held_ratings(ratings, rank, hot_rows, most_bytes)
+    back = held_ratings(transpose_ratings(ratings), rank, hot_rows, most_bytes)
     items = start_factors(rated_items(ratings), rank, seed)
     for _ in range(iterations):
-        users = cut(broadcast_step(ratings, items, rank, regularization))
-        items = cut(broadcast_step(turned, users, rank, regularization))
-    return Factorization(cut(broadcast_step(ratings, items, rank, regularization)), items)
+        users = forth.step(items, rank, regularization)
+        items = cut(back.step(users, rank, regularization))
+    users = cut(forth.step(items, rank, regularization))
+    forth.keyed.rows.unpersist()
+    back.keyed.rows.unpersist()
+    return Factorization(users, items)
 
 
 def factorize_blocked(ratings: DataFrame, rank: int = 10, regularization: float = 0.1, iterations: int = 10,

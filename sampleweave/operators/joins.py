@@ -52,5 +52,5 @@ def user_positions(ratings: DataFrame, user_blocks: int, item_blocks: int, width
         return members.merge(facts, on="user")
 
     return summaries.groupBy("block", "chunk").cogroup(listed.groupBy("block", "chunk")).applyInPandas(
-        place, "block INT, chunk BIGINT, user BIGINT, position BIGINT, n_item_blocks BIGINT, "
-               "first_item_block INT, n_ratings BIGINT")
+        place, "block BIGINT, chunk BIGINT, user BIGINT, position BIGINT, n_item_blocks BIGINT, "
+               "first_item_block BIGINT, n_ratings BIGINT")

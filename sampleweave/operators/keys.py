@@ -58,20 +58,22 @@ def held_by(keyed: SlottedRows) -> SlottedRows:
     """Keep the rows of a loop partitioned and sorted as they are joined.
 
     Each round then moves and sorts only the state. Lost parts are rebuilt from the rows' table.
+    The rows are filled in at once, since Spark relies on their layout only when it is final.
     """
     rows = (keyed.rows.repartition(shuffle_width(keyed.rows.sparkSession), *keyed.on)
             .sortWithinPartitions(*keyed.on).persist())
+    rows.count()
     return SlottedRows(rows, keyed.key, keyed.hot)
 
 
 def block_of(key: Column, blocks: int) -> Column:
     """The block of an integer key: key modulo blocks."""
-    return F.pmod(key, F.lit(blocks)).cast("int")
+    return F.pmod(key, F.lit(blocks)).cast("long")
 
 
 def placed_by_block(df: DataFrame, key: str, blocks: int) -> DataFrame:
     """Place each row in the partition whose number is its block."""
-    return df.withColumn("block", block_of(F.col(key), blocks)).repartitionById(blocks, F.col("block"))
+    return df.withColumn("block", block_of(F.col(key), blocks)).repartitionById(blocks, F.col("block").cast("int"))
 
 
 def chunk_of(identity: Column, width: int = LIST_WIDTH, blocks: int = 1) -> Column:

@@ -118,7 +118,7 @@ def train_dual(points: DataFrame, blocks: int = 10, outer: int = 10, inner: int
                                         "change": [share * d_w]})
 
         state = cut(packed.rows.join(state.select("block", "alphas"), "block")
-                    .mapInPandas(run, "block INT, alphas ARRAY<DOUBLE>, change ARRAY<DOUBLE>"))
+                    .mapInPandas(run, "block BIGINT, alphas ARRAY<DOUBLE>, change ARRAY<DOUBLE>"))
         change = np.zeros(size)
         for row in sum_vectors(state, "change").collect():  # one row per feature
             change[row["pos"]] = row["total"]

@@ -68,7 +68,7 @@ def als_broadcast(spark, folder):
 
 @query(with_views(FACTORS, "ratings", more=MODEL))
 def als_join(spark, folder):
-    return both_sides(als.factorize(views.ratings(spark, folder), 2, REGULARIZATION, 2, SEED))
+    return both_sides(als.factorize(views.ratings(spark, folder), 2, REGULARIZATION, 2, SEED, most_bytes=0))
 
 
 @query(with_views(FACTORS, "ratings", more=MODEL))
@@ -77,7 +77,7 @@ def als_blocked(spark, folder):
 
 
 def als_rank_10(spark, folder):
-    """Rank 10 and 10 iterations, the size the bench times."""
+    """Rank 10 and 10 iterations, factors broadcast or joined by their size."""
     return als.factorize(views.ratings(spark, folder), 10, REGULARIZATION, 10, SEED).users
 
 

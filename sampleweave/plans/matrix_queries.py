@@ -140,7 +140,7 @@ SPARSE_DENSE = check_sql.dense("sample_sparse", "dense")
 LONG_DENSE = check_sql.dense("sample_long", "dense")
 
 
-@query(with_views("""SELECT feature, SUM(CASE WHEN value <> 0 THEN 1 ELSE 0 END) AS n_nonzero, round(AVG(value), 6) AS mean,
+@query(with_views("""SELECT feature, CAST(SUM(CASE WHEN value <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_nonzero, round(AVG(value), 6) AS mean,
                      round(sqrt(var_pop(value) * COUNT(*)), 6) AS centered_norm FROM dense GROUP BY 1""",
                   "sample_sparse", more=SPARSE_DENSE))
 def feature_stats(spark, folder):

@@ -196,7 +196,7 @@ def vector_sum(spark, folder):
     return sums.select(F.col("pos").cast("long").alias("pos"), rounded(F.col("total"), 4).alias("total"))
 
 
-@query(with_views("""SELECT src, 0 AS chunk, COUNT(*) AS n,
+@query(with_views("""SELECT src, CAST(0 AS BIGINT) AS chunk, COUNT(*) AS n,
                      string_agg(CAST(dst AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY dst) AS neighbours
                      FROM link_counts GROUP BY 1""", "link_counts"))
 def adjacency_lists(spark, folder):
@@ -207,7 +207,7 @@ def adjacency_lists(spark, folder):
 
 
 @query(with_views("""
-    SELECT "user", 0 AS chunk, COUNT(*) AS n,
+    SELECT "user", CAST(0 AS BIGINT) AS chunk, COUNT(*) AS n,
            string_agg(CAST(item AS VARCHAR) || ':' || CAST(CAST(round(rating * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY item)
              AS ratings
     FROM ratings GROUP BY 1""", "ratings"))
@@ -354,7 +354,7 @@ def vector_funcs(spark, folder):
         rounded(vectors.total(vectors.axpy(0.5, data, ramp))).alias("axpy_total"),
         rounded(vectors.total(vectors.scale(data, 3.0))).alias("scaled_total"),
         rounded(vectors.total(vectors.add(data, vectors.filled(2.0, F.size(data))))).alias("added_total"),
-        vectors.index_of(data, F.array_max(data)).alias("greatest_at"),
+        vectors.index_of(data, F.array_max(data)).cast("int").alias("greatest_at"),
         vectors.joined(F.transform(F.slice(data, 1, 4), lambda x: F.round(x * 1000).cast("long"))).alias("head"))
 
 

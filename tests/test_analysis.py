@@ -137,12 +137,13 @@ def same(model, want):
 
 
 def test_als_by_join(spark, solved):
-    same(als.factorize(ratings(spark), 3, 0.1, 2), solved)
-    same(als.factorize(ratings(spark), 3, 0.1, 2, hot_rows=4), solved)
+    same(als.factorize(ratings(spark), 3, 0.1, 2, most_bytes=0), solved)
+    same(als.factorize(ratings(spark), 3, 0.1, 2, hot_rows=4, most_bytes=0), solved)
 
 
 def test_als_by_broadcast(spark, solved):
-    same(als.factorize_broadcast(ratings(spark), 3, 0.1, 2), solved)
+    same(als.factorize(ratings(spark), 3, 0.1, 2), solved)
+    same(als.factorize(ratings(spark), 3, 0.1, 2, hot_rows=4), solved)
     small = als.broadcast_step(ratings(spark), als.start_factors(als.rated_items(ratings(spark)), 3), 3, 0.1, most_bytes=0)
     assert small.count() == len({u for u, _, _ in toy.RATINGS})
 
