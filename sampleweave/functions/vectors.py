@@ -43,4 +43,5 @@ def joined(vector: Column, separator: str = ", ") -> Column:
 
 
 def literal(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """A constant vector. Given as text it stays one expression however long it is, and folds to a literal."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")

@@ -41,8 +41,8 @@ def rated_items(ratings: DataFrame) -> DataFrame:
 
 
 def by_item(ratings: DataFrame, hot_rows: int = HOT_ROWS) -> SlottedRows:
-    """Ratings kept partitioned by item, the column factors are joined on."""
-    return held_by(slotted(ratings.select("item", "user", "rating"), "item", ["user"], hot_rows))
+    """Ratings to be joined with factors on the item."""
+    return slotted(ratings.select("item", "user", "rating"), "item", ["user"], hot_rows)
 
 
 def normal_sums(rated: DataFrame, rank: int) -> DataFrame:
@@ -113,7 +113,7 @@ def held_ratings(ratings: DataFrame, rank: int, hot_rows: int, most_bytes: int)
     """By user with broadcast item factors if all of them fit into ``most_bytes``, else by item."""
     n_items = rated_items(ratings).count()
     if factor_bytes(n_items, rank) > most_bytes:
-        return HeldRatings(by_item(ratings, hot_rows), False)
+        return HeldRatings(held_by(by_item(ratings, hot_rows)), False)
     by_user = slotted(ratings.select("user", "item", "rating"), "user", ["item"], hot_rows)
     return HeldRatings(held_by(by_user), True)
 
