@@ -1,13 +1,16 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-1. Each labelled text counts once for every term it holds; terms are lower-case words and the first four and five
-   letters of longer ones (marked ``4:`` and ``5:``), so that inflected forms share evidence.
+0. The labelled texts are thinned to those that share none of four shingle minima with one of a smaller id, so that copies
+   of one text give evidence once and never stand on both sides of a fold.
+1. Each labelled text counts once for every term it holds; terms are lower-case words and the first three to eight
+   letters of longer ones (marked by a final ``*``), so that inflected and compound forms share evidence.
 2. The score of a term is its log-odds ratio between toxic and clean texts under an informative Dirichlet prior whose
    masses follow the term's share of all documents, less one standard deviation. A term with no significant score,
    and so every unknown word, costs ``gap``.
 3. One linear scan per text finds all maximal-scoring segments of the token sequence (Ruzzo and Tompa).
 4. Segment scores of clean texts set an extreme-value law whose location grows with the logarithm of the text length.
-   A segment with p <= ``significance`` is a toxic passage; the evidence of a text is the sum of -ln p of its passages.
+   A segment with p <= ``significance`` is a toxic passage; the evidence of a text sums its segments' excess over the
+   location, in units of the scale.
 5. A logistic curve, fitted on a fold that took no part in step 2, turns evidence into a score from 0 to 1.
 
 Defined results: a null or empty text, or one without words, has no passage and the score of zero evidence; repeated rows
@@ -19,11 +22,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +41,13 @@ WORD = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class ToxicitySettings:
     max_labels: int = 200_000  # bound of the labelled sample; also what makes it safe to broadcast
-    max_terms: int = 20_000  # bound of the model: the terms with the largest z
-    least_toxic: int = 2  # labelled toxic texts that must hold a term
+    max_terms: int = 50_000  # bound of the model: the terms that most toxic texts hold
+    least_toxic: int = 2  # labelled toxic texts that must hold a term, and the least share of them
+    least_share: float = 0.015
     prior_weight: float = 50.0  # documents that the prior is worth
-    least_z: float = 1.645
+    least_z: float = 2.5
+    least_weight: float = 1.0  # common words that differ a little say nothing about a passage
+    minima: int = 4
     gap: float = 0.35
     significance: float = 0.01
 
@@ -57,8 +65,8 @@ class ToxicityModel:
     settings: ToxicitySettings = field(default_factory=ToxicitySettings)
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return (word, "5:" + word[:5], "4:" + word[:4]) if len(word) > 5 else (word, "4:" + word[:4]) if len(word) > 4 else (word,)
+def terms_of(word: str) -> list[str]:
+    return [word, *(word[:k] + "*" for k in range(3, min(len(word), 9)))]
 
 
 def maximal_segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[float, int, int]]:
@@ -86,36 +94,70 @@ def maximal_segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[
     return [(right - left, first, last) for left, right, first, last, _ in found]
 
 
-def count_terms(rows: Iterable[tuple]) -> Iterator[tuple]:
-    """(text, toxic) to (term, toxic texts, clean texts); the empty term counts the texts."""
-    seen: dict[str, list[int]] = {}
-    for text, toxic in rows:
-        words = set(WORD.findall((text or "").lower()))
-        for t in {x for w in words for x in terms_of(w)} | {""}:
-            c = seen.get(t)
-            if c is None:
-                c = seen[t] = [0, 0]
-            c[0 if toxic else 1] += 1
-        if len(seen) > 300_000:
-            yield from ((t, *c) for t, c in seen.items())
-            seen = {}
-    yield from ((t, *c) for t, c in seen.items())
+def document_terms(text: str | None) -> set[str]:
+    return {x for w in set(WORD.findall((text or "").lower())) for x in terms_of(w)}
+
+
+def count_toxic(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(text,) to (term, texts); the empty term counts the texts."""
+    seen: Counter[str] = Counter()
+    for (text,) in rows:
+        seen.update(document_terms(text))
+        seen[""] += 1
+        if len(seen) > 500_000:
+            yield from seen.items()
+            seen.clear()
+    yield from seen.items()
 
 
 def count_known(known: set[str]):
-    """Texts that hold each of ``known``; the empty term counts the texts."""
+    """(text, label or null) to (term, texts, toxic texts, clean texts) for the terms in ``known`` and the empty one."""
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        seen = dict.fromkeys(known | {""}, 0)
-        for (text,) in rows:
-            words = set(WORD.findall((text or "").lower()))
-            found = {x for w in words for x in terms_of(w) if x in known}
+        memo: dict[str, tuple[str, ...]] = {}
+        seen = {t: [0, 0, 0] for t in (*known, "")}
+        for text, label in rows:
+            found = {""}
+            for w in set(WORD.findall((text or "").lower())):
+                own = memo.get(w)
+                if own is None:
+                    if len(memo) > 300_000:
+                        memo.clear()
+                    own = memo[w] = tuple(t for t in terms_of(w) if t in known)
+                if own:
+                    found.update(own)
             for t in found:
-                seen[t] += 1
-            seen[""] += 1
-        yield from ((t, n) for t, n in seen.items() if n)
+                c = seen[t]
+                c[0] += 1
+                if label is not None:
+                    c[1 if label else 2] += 1
+        yield from ((t, *c) for t, c in seen.items() if c[0])
+    return run
+
+
+def shingle_minima(count: int):
+    """(id, text) to (id, the least of ``count`` hashes over the three-word shingles)."""
+    factors = np.random.default_rng(11).integers(1, 1 << 62, count, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for key, text in rows:
+            words = (text or "").lower().encode("utf-8", "replace").split()
+            shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [b" ".join(words)]
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64)
+            mixed = (hashes * f for f in factors)
+            yield key, [int((m ^ (m >> np.uint64(29))).min() >> np.uint64(1)) for m in mixed]
     return run
 
 
+def without_copies(docs: DataFrame, sample: DataFrame, settings: ToxicitySettings) -> DataFrame:
+    """The rows of ``sample`` whose text shares no minimum with a text of a smaller id."""
+    own = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
+    held = own.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("label_id", "text")
+    seen = cut(map_rows(held, shingle_minima(settings.minima), "label_id long, minima array<long>").select("label_id", F.posexplode("minima").alias("place", "least")))
+    first = seen.groupBy("place", "least").agg(F.min("label_id").alias("first"))
+    alone = seen.join(first, ["place", "least"]).groupBy("label_id").agg(F.bool_and(F.col("first") == F.col("label_id")).alias("alone"))
+    return cut(sample.join(alone.where("alone").select("label_id"), "label_id"))
+
+
 def labelled(labels: DataFrame, settings: ToxicitySettings) -> DataFrame:
     """(label_id, toxic, part) of a bounded sample of the rows whose fold is not 0."""
     one = (labels.select(column(labels, "doc_id", "long").alias("label_id"), column(labels, "toxic", "int").alias("toxic"))
@@ -127,26 +169,25 @@ def labelled(labels: DataFrame, settings: ToxicitySettings) -> DataFrame:
 def term_weights(docs: DataFrame, sample: DataFrame, settings: ToxicitySettings) -> dict[str, float]:
     """The significant terms and their scores; ``sample`` has at most ``max_labels`` rows and is broadcast."""
     own = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
-    train = own.join(F.broadcast(sample.where("part > 1")), F.col("doc_id") == F.col("label_id"))
-    counted = (map_rows(train.select("text", "toxic"), count_terms, "term string, tox long, clean long")
-               .groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean")))
-    counted = cut(counted.where((F.col("tox") >= settings.least_toxic) | (F.col("term") == "")))
-    sizes = counted.where("term = ''").head()
-    if sizes is None or not sizes.tox or not sizes.clean:
+    train = F.broadcast(sample.where("part > 1"))
+    same = F.col("doc_id") == F.col("label_id")
+    counted = cut(map_rows(own.join(train.where("toxic > 0"), same).select("text"), count_toxic, "term string, tox long")
+                  .groupBy("term").agg(F.sum("tox").alias("tox")).where((F.col("tox") >= settings.least_toxic) | (F.col("term") == "")))
+    n_toxic = (counted.where("term = ''").head() or [0, 0])[1]
+    least = max(settings.least_toxic, settings.least_share * n_toxic)
+    known = {r.term for r in counted.where("term <> ''").where(F.col("tox") >= least).orderBy(F.desc("tox"), "term").limit(settings.max_terms).collect()}
+    if not known:
         return {}
-    ratio = F.col("tox") * sizes.clean - F.col("clean") * sizes.tox
-    best = (counted.where("term <> ''").where(ratio > 0)
-            .orderBy(((F.col("tox") / sizes.tox) - (F.col("clean") / sizes.clean)).desc(), "term").limit(settings.max_terms).collect())
-    known = {r.term for r in best}
-    background = {r.term: r.n for r in map_rows(own.select("text"), count_known(known), "term string, n long")
-                  .groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    mass, weights = settings.prior_weight, {}
-    for r in best:
-        a = mass * max(background.get(r.term, 0), r.tox + r.clean) / max(background[""], 1)
-        odds = [(y + a) / max(n + mass - y - a, 1e-9) for y, n in ((r.tox, sizes.tox), (r.clean, sizes.clean))]
+    found = (map_rows(own.join(train, same, "left").select("text", "toxic"), count_known(known), "term string, n long, tox long, clean long")
+             .groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "tox", "clean"))).collect())  # at most one row per known term
+    seen = {r.term: r for r in found}
+    total, mass, weights = seen.pop(""), settings.prior_weight, {}
+    for term, r in seen.items():
+        a = mass * r.n / total.n
+        odds = [(y + a) / max(n + mass - y - a, 1e-9) for y, n in ((r.tox, total.tox), (r.clean, total.clean))]
         delta, sd = math.log(odds[0] / odds[1]), math.sqrt(1 / (r.tox + a) + 1 / (r.clean + a))
-        if delta / sd >= settings.least_z:
-            weights[r.term] = delta - sd
+        if delta / sd >= settings.least_z and delta - sd >= settings.least_weight:
+            weights[term] = delta - sd
     return weights
 
 
@@ -179,18 +220,11 @@ def scan(weights: dict[str, float], gap: float):
     return run
 
 
-def log_survival(best: float, tokens: int, m: ToxicityModel) -> float:
-    """-ln of the chance that a clean text of that length has a segment so good."""
-    z = (best - m.location - m.slope * math.log(tokens + 1)) / m.scale
-    if z > 30:
-        return z
-    return -math.log(max(-math.expm1(-math.exp(-max(z, -30.0))), 1e-300))
-
-
 def evidence(scores: list[float], tokens: int, m: ToxicityModel) -> tuple[float, list[bool]]:
-    logs = [log_survival(s, tokens, m) for s in scores]
-    passages = [x >= -math.log(m.significance) for x in logs]
-    return math.log1p(sum(x for x, p in zip(logs, passages, strict=True) if p)), passages
+    """The evidence of a text, and which of its segments a clean text of that length has by a chance of at most p."""
+    least = -math.log(-math.log1p(-m.significance))  # the Gumbel quantile of 1 - p
+    over = [(s - m.location - m.slope * math.log(tokens + 1)) / m.scale for s in scores]
+    return math.log1p(sum(z for z in over if z > 0)), [z >= least for z in over]
 
 
 def fit_extremes(scored: DataFrame, sample: DataFrame, weights: dict[str, float], settings: ToxicitySettings) -> ToxicityModel:
@@ -200,18 +234,15 @@ def fit_extremes(scored: DataFrame, sample: DataFrame, weights: dict[str, float]
     """
     own = cut(scored.join(F.broadcast(sample.where("part = 1")), F.col("doc_id") == F.col("label_id"))
               .select("toxic", "tokens", "scores", F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("best"), F.log(F.col("tokens") + 1.0).alias("size")))
-    clean = own.where("toxic = 0").agg(*(f.alias(n) for n, f in {
-        "n": F.count("*"), "x": F.sum("size"), "y": F.sum("best"), "xx": F.sum(F.col("size") ** 2), "xy": F.sum(F.col("size") * F.col("best")),
-        "yy": F.sum(F.col("best") ** 2)}.items())).head()
-    n = clean.n or 0
-    slope = location = 0.0
-    scale = 0.5
-    if n >= 10:
-        var = clean.xx / n - (clean.x / n) ** 2
-        slope = max(0.0, (clean.xy / n - clean.x / n * clean.y / n) / var) if var > 1e-9 else 0.0
-        spread = max(0.0, clean.yy / n - (clean.y / n) ** 2 - slope ** 2 * max(var, 0.0))
-        scale = max(0.5, math.sqrt(6 * spread) / math.pi)  # moments of the Gumbel law; the floor covers clean texts without any hit
-        location = clean.y / n - slope * clean.x / n - np.euler_gamma * scale
+    clean = own.where("toxic = 0")
+    sums = clean.agg(F.count("*").alias("n"), F.coalesce(F.regr_slope("best", "size"), F.lit(0.0)).alias("slope")).head()
+    slope, location, scale = 0.0, 0.0, 0.5
+    if sums.n >= 10:  # median and upper decile of the Gumbel law; the floor covers clean texts without any hit
+        slope = max(0.0, sums.slope)
+        middle, upper = clean.agg(F.percentile_approx(F.col("best") - slope * F.col("size"), [0.5, 0.9], 10_000)).head()[0]
+        at_middle, at_upper = (-math.log(-math.log(q)) for q in (0.5, 0.9))
+        scale = max(0.5, (upper - middle) / (at_upper - at_middle))
+        location = middle - at_middle * scale
     model = ToxicityModel(weights, settings.gap, location, slope, scale, settings.significance, settings=settings)
 
     def of(rows):
@@ -242,7 +273,7 @@ def scored_segments(docs: DataFrame, weights: dict[str, float], settings: Toxici
 
 def fit(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings = ToxicitySettings()) -> tuple[ToxicityModel, DataFrame]:
     """The model, and the segment scores of all documents, which the calibration needs anyway."""
-    sample = labelled(labels, settings)
+    sample = without_copies(docs, labelled(labels, settings), settings)
     weights = term_weights(docs, sample, settings)
     scored = cut(scored_segments(docs, weights, settings))
     return fit_extremes(scored, sample, weights, settings), scored
