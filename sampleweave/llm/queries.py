@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import digests, mixing, personal, secrets, sentencepiece, simhash, toxicity
+from sampleweave.llm import digests, mixing, neighbours, personal, secrets, sentencepiece, simhash, styletree, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,18 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_styletree(spark: SparkSession, folder: str) -> DataFrame:
+    return styletree.extract(table(spark, folder, "pages"))
+
+
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(table(spark, folder, "pages"))
+
+
 def op7_digests(spark: SparkSession, folder: str) -> DataFrame:
     return digests.fingerprint_documents(table(spark, folder, "documents"))
 
@@ -46,5 +58,6 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sentencepiece, op2_toxicity, op3_simhash, op7_digests, op8_mixing, op9_personal, op10_secrets)}
-SQL: dict[str, str] = {}
+    op1_sentencepiece, op2_toxicity, op3_simhash, op4_styletree, op5_neighbours, op6_warc, op7_digests, op8_mixing, op9_personal, op10_secrets)}
+#: the other operators choose, learn or hash in ways that SQL does not have; their tests use brute force
+SQL: dict[str, str] = {"op6_warc": warc.SQL}
