@@ -103,7 +103,7 @@ def in_id_order(docs: DataFrame) -> DataFrame:
     if borders:
         known = [b for b in borders if b is not None]
         low = F.array(*(F.lit(-b).cast("long") for b in known)) if known else F.array().cast("array<long>")
-        part = F.when(F.col("doc_id").isNull(), len(known)).otherwise(F.size(F.filter(low, lambda x: x <= -F.col("doc_id"))))
+        part = F.when(F.col("doc_id").isNull(), len(borders)).otherwise(F.size(F.filter(low, lambda x: x <= -F.col("doc_id"))))
     own = own.withColumn("mark", F.xxhash64("text")).withColumn("own_part", part.cast("int"))
     opens = [(top[0].doc_id, top[0].mark, len(borders))] + [(b, firsts[b], k) for k, b in enumerate(borders)]
     guests = F.array(*(F.when(F.col("doc_id").eqNullSafe(F.lit(b).cast("long")) & (F.col("mark") == m), F.lit(k)) for b, m, k in opens))

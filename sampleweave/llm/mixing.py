@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sampleweave.llm.common import column
 from sampleweave.operators.keys import numbered
@@ -45,7 +46,7 @@ class MixSettings:
     prefix_width: int = 1024  # blocks summed by one group of the running sums
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def word_count(texts: pd.Series) -> pd.Series:
     """bytes.split without argument parts at exactly the six ASCII white spaces."""
     return texts.map(lambda b: len(b.split()) if b else 0).astype("int64")
@@ -68,7 +69,7 @@ def permuted(index: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarra
     return out.astype(np.int64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def permuted_position(index: pd.Series, size: pd.Series, salt: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), size.to_numpy(), salt.to_numpy()))
 
@@ -200,7 +201,7 @@ def first_words(text: str, words: int) -> str:
     return data[:at].decode("utf-8", "surrogatepass")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def leading_words(texts: pd.Series, words: pd.Series) -> pd.Series:
     return pd.Series([first_words(t, int(w)) for t, w in zip(texts, words, strict=True)], dtype=object)
 

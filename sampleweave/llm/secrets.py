@@ -148,7 +148,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     mark = F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string"))
     in_order = F.array_sort(F.collect_list(F.struct("start", "rule", mark.alias("mark"))))
     base = F.transform(F.filter("found", lambda x: x["rule"] < BASE), lambda x: x["mark"])
-    counts = [F.size(F.filter("found", lambda x, k=k: x["rule"] == k)).cast("long").alias(f"n_{rules[k].kind}") for k in range(BASE)]
+
+    def count_of(k: int) -> Column:
+        return F.size(F.filter("found", lambda x: x["rule"] == k)).cast("long").alias(f"n_{rules[k].kind}")
+
+    counts = [count_of(k) for k in range(BASE)]
     by_row = (every.groupBy("key").agg(in_order.alias("found"))
               .select("key", *counts, F.array_join(base, ",").alias("base"), F.array_join(F.transform("found", lambda x: x["mark"]), ",").alias("spans"),
                       F.size(F.filter("found", lambda x: x["rule"] >= BASE)).cast("long").alias("n_added")))
