@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import md5
 from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the id arithmetic: a prime modulus and three prime factors.
-MODULUS = 1_000_003
-ID_FACTOR = 7_919
-INDEX_FACTOR = 104_729
-SEED_FACTOR = 15_485_863
+# A uniform number is the first twelve hexadecimal digits of an MD5 over this many values.
+UNIFORM_SPAN = 1 << 48
 
 
 def rounded(value: Column, digits: int = 6) -> Column:
@@ -23,12 +21,13 @@ def rounded(value: Column, digits: int = 6) -> Column:
 def id_uniform(identity: Column, index: Column | int = 0, seed: int = 0) -> Column:
     """A number in [0, 1) fixed by (id, index, seed), the same on every run and partitioning."""
     index = index if isinstance(index, Column) else F.lit(index)
-    mixed = (
-        F.pmod(identity.cast("long"), F.lit(MODULUS)) * F.lit(ID_FACTOR)
-        + index.cast("long") * F.lit(INDEX_FACTOR)
-        + F.lit((seed * SEED_FACTOR) % MODULUS)
-    )
-    return F.pmod(mixed, F.lit(MODULUS)) / F.lit(float(MODULUS))
+    key = F.concat(identity.cast("long").cast("string"), F.lit(":"), index.cast("long").cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(UNIFORM_SPAN))
+
+
+def uniform_value(identity: int, index: int = 0, seed: int = 0) -> float:
+    """``id_uniform`` of plain numbers."""
+    return int(md5(f"{identity}:{index}:{seed}".encode()).hexdigest()[:12], 16) / UNIFORM_SPAN
 
 
 def folded_pareto(uniform: Column, skew: float, top: int) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_within
@@ -31,7 +31,8 @@ def user_positions(ratings: DataFrame, user_blocks: int, item_blocks: int, width
     """Co-group of rating summaries with the sorted users of each block.
 
     A co-group holds the users of one id range of one block and at most ``item_blocks``
-    summaries for each, so its size is bounded by width * item_blocks.
+    summaries for each, so its size is bounded by width * item_blocks. The position runs on over
+    the ranges of a block: a range starts where the counted ones before it end.
     Gives (block, chunk, user, position, n_item_blocks, first_item_block, n_ratings).
     """
     def keys(user: str) -> list[Column]:
@@ -51,6 +52,11 @@ def user_positions(ratings: DataFrame, user_blocks: int, item_blocks: int, width
                                           n_ratings=("n", "sum")).reset_index()
         return members.merge(facts, on="user")
 
-    return summaries.groupBy("block", "chunk").cogroup(listed.groupBy("block", "chunk")).applyInPandas(
+    placed = summaries.groupBy("block", "chunk").cogroup(listed.groupBy("block", "chunk")).applyInPandas(
         place, "block BIGINT, chunk BIGINT, user BIGINT, position BIGINT, n_item_blocks BIGINT, "
                "first_item_block BIGINT, n_ratings BIGINT")
+    before = Window.partitionBy("block").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (listed.groupBy("block", "chunk").agg(F.count("*").alias("n"))  # one row per id range
+              .select("block", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    return (placed.join(starts, ["block", "chunk"]).withColumn("position", F.col("position") + F.col("start"))
+            .drop("start"))

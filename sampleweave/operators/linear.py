@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, sqrt
+from functools import reduce
+from math import sqrt
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -19,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..functions.numbers import uniform_value
 from ..session import cut
 from .aggregates import sum_vectors
 from .keys import block_of, numbered
 
 BLOCK_BYTES = 32 * 1024 * 1024
+LITERAL_PLACES = 200
 
 
 def dual_step(data: Column, label: Column, alpha: Column, weights: Column, regularization: float,
@@ -38,11 +42,11 @@ def dual_step(data: Column, label: Column, alpha: Column, weights: Column, regul
 
 
 def local_ascent(data: np.ndarray, labels: np.ndarray, alphas: np.ndarray, weights: np.ndarray,
-                 strength: float, steps: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """``steps`` random coordinate steps on one block; gives the changes of alphas and weights."""
+                 strength: float, order: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinate steps on the rows in ``order``; gives the changes of alphas and weights."""
     now, w = alphas.copy(), weights.copy()
     squares = np.einsum("ij,ij->i", data, data)
-    for i in rng.integers(len(labels), size=steps):
+    for i in order:
         grad = (labels[i] * (data[i] @ w) - 1.0) * strength
         if grad == 0.0:
             continue
@@ -53,77 +57,99 @@ def local_ascent(data: np.ndarray, labels: np.ndarray, alphas: np.ndarray, weigh
 
 
 @dataclass(frozen=True)
-class PointBlocks:
-    """One row per block: (block, xs, ys), the block's points in index order, xs laid end to end."""
+class PlacedPoints:
+    """A table (place, block, data, label): the points numbered block by block, and stored in this order."""
 
     rows: DataFrame
-    blocks: int
+    spans: dict[int, tuple[int, int]]  # per block its first place and its number of points
     points: int
     size: int
 
 
-def packed_blocks(points: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES) -> PointBlocks:
-    """Block = index modulo blocks, as long as every block fits.
+def placed_points(points: DataFrame, blocks: int) -> PlacedPoints:
+    """Block = index modulo blocks; within a block points are in index order."""
+    own = points.select(block_of(F.col("index"), blocks).alias("block"), "index", "data", "label")
+    order = [F.col("block").asc(), F.col("index").asc(), F.xxhash64("data").asc(), F.col("label").asc()]
+    rows = cut(numbered(own, order, "place").select("place", "block", "data", "label"))
+    spans = {r["block"]: (r["first"], r["n"]) for r in rows.groupBy("block").agg(
+        F.min("place").alias("first"), F.count("*").alias("n")).collect()}  # one row per block
+    size = rows.agg(F.max(F.size("data")).alias("d")).first()["d"]
+    return PlacedPoints(rows, spans, sum(n for _, n in spans.values()), size)
 
-    More blocks are used than asked for if the points need them, and if the indices are so uneven
-    that one block would still be too large, the points are numbered and placed by their number.
-    """
-    facts = points.agg(F.count("*").alias("n"), F.max(F.size("data")).alias("d")).first()
-    most_rows = max(1, block_bytes // (8 * facts["d"]))
-    blocks = max(blocks, ceil(facts["n"] / most_rows))
-    placed = points.select(block_of(F.col("index"), blocks).alias("block"), "index", "data", "label")
-    largest = placed.groupBy("block").count().agg(F.max("count").alias("most")).first()["most"]
-    if largest > 2 * most_rows:
-        order = [F.col("index").asc(), F.xxhash64("data").asc(), F.col("label").asc()]
-        placed = numbered(points.select("index", "data", "label"), order).select(
-            block_of(F.col("position"), blocks).alias("block"), F.col("position").alias("index"), "data", "label")
-    entry = F.struct("index", "data", "label")
-    rows = (placed.groupBy("block").agg(F.sort_array(F.collect_list(entry)).alias("es"))
-            .select("block", F.flatten(F.transform("es", lambda e: e["data"])).alias("xs"),
-                    F.transform("es", lambda e: e["label"]).alias("ys")))
-    return PointBlocks(cut(rows), blocks, facts["n"], facts["d"])
+
+def drawn_places(placed: PlacedPoints, steps: range, seed: int) -> dict[int, list[int]]:
+    """For every block the places of the points that it visits in the given steps, counted over all rounds."""
+    return {block: [first + int(uniform_value(block, step, seed) * n) for step in steps]
+            for block, (first, n) in placed.spans.items()}
 
 
 @dataclass(frozen=True)
 class DualModel:
     weights: list[float]
-    alphas: DataFrame  # block, alphas
-    blocks: PointBlocks
+    alphas: DataFrame  # place, block, alpha of the points visited; all others have 0
+    blocks: PlacedPoints
 
 
 def train_dual(points: DataFrame, blocks: int = 10, outer: int = 10, inner: int = 10,
                regularization: float = 0.01, scaling: float = 1.0, seed: int = 42,
-               start: list[float] | None = None) -> DualModel:
+               start: list[float] | None = None, task_bytes: int = BLOCK_BYTES) -> DualModel:
     """Each round every block runs ``inner`` steps from the same weights; the scaled changes are summed.
 
-    The dual values are a table, so a lost executor loses no state. The random order of a
-    block depends on (seed, block, round) only.
+    A round reads only the points it has drawn, by (seed, block, step): at most ``inner`` per block. If these
+    could fill more than ``task_bytes`` in a task, the steps of the round run as several jobs in order, each of
+    which goes on from the last one's local weights and dual values; the model is the same for any such bound.
+    Dual values are a table of the points visited, so a lost executor loses no state.
     """
-    packed = packed_blocks(points, blocks)
-    size, share = packed.size, scaling / packed.blocks
-    strength = regularization * packed.points
+    placed = placed_points(points, blocks)
+    size, share = placed.size, scaling / blocks
+    strength = regularization * placed.points
     weights = np.array(start if start is not None else [0.0] * size)
-    state = packed.rows.select("block", F.transform("ys", lambda y: F.lit(0.0)).alias("alphas"))
+    most = max(1, task_bytes // (16 * size))
+    spark = points.sparkSession
+    duals = spark.createDataFrame([], "place BIGINT, block BIGINT, delta DOUBLE")
 
     for turn in range(outer):
-        def run(batches: Iterator[pd.DataFrame], w: np.ndarray = weights, turn: int = turn):
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    data = np.asarray(row.xs, dtype=float).reshape(-1, size)
-                    alphas = np.asarray(row.alphas, dtype=float)
-                    rng = np.random.default_rng([seed, int(row.block), turn])
-                    d_alpha, d_w = local_ascent(data, np.asarray(row.ys, dtype=float), alphas, w,
-                                                strength, inner, rng)
-                    yield pd.DataFrame({"block": [row.block], "alphas": [alphas + share * d_alpha],
-                                        "change": [share * d_w]})
-
-        state = cut(packed.rows.join(state.select("block", "alphas"), "block")
-                    .mapInPandas(run, "block BIGINT, alphas ARRAY<DOUBLE>, change ARRAY<DOUBLE>"))
-        change = np.zeros(size)
-        for row in sum_vectors(state, "change").collect():  # one row per feature
-            change[row["pos"]] = row["total"]
-        weights = weights + change
-    return DualModel(weights.tolist(), state.select("block", "alphas"), packed)
+        moved = spark.createDataFrame([], "place BIGINT, block BIGINT, delta DOUBLE")
+        local = {block: np.zeros(size) for block in placed.spans}
+        for first in range(0, inner, most):
+            steps = range(turn * inner + first, turn * inner + min(first + most, inner))
+            places = drawn_places(placed, steps, seed)
+
+            wanted = sorted({p for own in places.values() for p in own})
+            seen = duals.unionByName(moved).groupBy("place").agg(F.sum("delta").alias("alpha"))
+            rows = (rows_at(placed.rows, wanted).join(seen, "place", "left")
+                    .select("place", "block", "data", "label", F.coalesce("alpha", F.lit(0.0)).alias("alpha")))
+            stepped = cut(rows.groupBy("block").applyInPandas(
+                ascent_of_block(weights, local, places, strength),
+                "place BIGINT, block BIGINT, delta DOUBLE, change ARRAY<DOUBLE>"))
+            moved = cut(moved.unionByName(stepped.select("place", "block", "delta")).groupBy("place", "block").agg(F.sum("delta").alias("delta")))
+            for row in stepped.where("change is not null").select("block", "change").collect():  # one row per block
+                local[row["block"]] = local[row["block"]] + np.array(row["change"])
+        scaled = moved.withColumn("delta", F.col("delta") * share)
+        duals = cut(duals.unionByName(scaled).groupBy("place", "block").agg(F.sum("delta").alias("delta")))
+        weights = weights + share * np.sum([local[b] for b in sorted(local)], axis=0)
+    return DualModel(weights.tolist(), duals.withColumnRenamed("delta", "alpha"), placed)
+
+
+def ascent_of_block(weights: np.ndarray, local: dict[int, np.ndarray], places: dict[int, list[int]], strength: float):
+    """Runs the drawn steps of one block on its drawn points (place, block, data, label, alpha)."""
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        block = int(batch["block"].iloc[0])
+        at = {p: i for i, p in enumerate(batch["place"])}
+        delta, change = local_ascent(
+            np.stack(batch["data"].to_numpy()).astype(float), batch["label"].to_numpy(dtype=float), batch["alpha"].to_numpy(dtype=float),
+            weights + local[block], strength, [at[p] for p in places[block]])
+        return pd.DataFrame({"place": batch["place"], "block": block, "delta": delta,
+                             "change": [change] + [None] * (len(batch) - 1)})
+    return run
+
+
+def rows_at(rows: DataFrame, places: list[int]) -> DataFrame:
+    """The rows at some places. Few places are literals, which the scan of the stored order can skip by."""
+    if len(places) <= LITERAL_PLACES:
+        return rows.where(reduce(or_, [F.col("place") == p for p in places], F.lit(False)))
+    wanted = rows.sparkSession.createDataFrame([(p,) for p in places], "place BIGINT")
+    return rows.join(wanted, "place", "left_semi")
 
 
 def train_svm(points: DataFrame, blocks: int = 10, iterations: int = 100, regularization: float = 0.01,
@@ -145,7 +171,7 @@ def gap(points: DataFrame, model: DualModel, regularization: float) -> float:
     w = vectors.literal(model.weights)
     loss = points.agg(F.avg(F.greatest(
         F.lit(0.0), 1.0 - F.col("label") * vectors.dot(F.col("data"), w))).alias("l")).first()["l"]
-    dual = model.alphas.agg(F.sum(vectors.total(F.col("alphas"))).alias("a")).first()["a"]
+    dual = model.alphas.agg(F.coalesce(F.sum("alpha"), F.lit(0.0)).alias("a")).first()["a"]
     return regularization * float(np.dot(model.weights, model.weights)) + loss - dual / model.blocks.points
 
 
@@ -157,9 +183,12 @@ def predict(points: DataFrame, weights: list[float]) -> DataFrame:
 
 
 def score_samples(cells: DataFrame, weights: DataFrame) -> DataFrame:
-    """(sample_id, score, label) from long cells and (feature, weight); absent cells add nothing."""
-    return (cells.join(weights, "feature").groupBy("sample_id")
-            .agg(F.sum(F.col("weight") * F.col("value")).alias("score"))
+    """(sample_id, score, label) from long cells and (feature, weight); absent cells and weights add nothing.
+
+    Every sample of ``cells`` gets a score; one without any known feature scores 0.
+    """
+    return (cells.join(weights, "feature", "left").groupBy("sample_id")
+            .agg(F.coalesce(F.sum(F.col("weight") * F.col("value")), F.lit(0.0)).alias("score"))
             .withColumn("label", F.when(F.col("score") < 0, "Diseased").otherwise("Healthy")))
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions.numbers import ID_FACTOR, INDEX_FACTOR, MODULUS, SEED_FACTOR
+from ..functions.numbers import UNIFORM_SPAN
 
 
 def uniform(identity: str, index: int | str, seed: int) -> str:
-    shift = (seed * SEED_FACTOR) % MODULUS
-    return (f"((({identity} % {MODULUS}) * {ID_FACTOR} + {index} * {INDEX_FACTOR} + {shift}) % {MODULUS})"
-            f" / CAST({MODULUS} AS DOUBLE)")
+    key = f"CAST(CAST({identity} AS BIGINT) AS VARCHAR) || ':' || CAST({index} AS VARCHAR) || ':{seed}'"
+    return f"(CAST(('0x' || substr(md5({key}), 1, 12)) AS BIGINT) / CAST({UNIFORM_SPAN} AS DOUBLE))"
 
 
 def dense(source: str, name: str, where: str = "TRUE") -> list[tuple[str, str]]:
@@ -145,3 +144,39 @@ def gradient(points: str, size: int, rounds: int, stepsize: float) -> list[tuple
         parts += [(f"g_{k}", f"SELECT {grads} FROM (SELECT *, {fitted} - y AS r FROM {points}, w_{k - 1})"),
                   (f"w_{k}", f"SELECT {moved} FROM w_{k - 1}, g_{k}")]
     return parts + [("w", f"SELECT * FROM w_{rounds}")]
+
+
+def dual_ascent(points: str, size: int, seed: int, blocks: int, outer: int, inner: int, regularization: float,
+                scaling: float) -> list[tuple[str, str]]:
+    """``trained``(pos, weight): all rounds and steps unrolled; a block's local weights and moves are lists."""
+    strength = f"({regularization}::DOUBLE * (SELECT COUNT(*) FROM {points}))"
+    dot = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+    parts = [
+        ("placed", f"""SELECT row_number() OVER (ORDER BY index % {blocks}, index) AS place, index % {blocks} AS block, data, label FROM {points}"""),
+        ("spans", "SELECT block, MIN(place) AS first, COUNT(*) AS n FROM placed GROUP BY 1"),
+        ("w_0", f"SELECT list_transform(range({size}), lambda i: 0.0::DOUBLE) AS w"),
+        ("duals_0", "SELECT 0::BIGINT AS place, 0.0::DOUBLE AS alpha WHERE FALSE"),
+    ]
+    for t in range(outer):
+        parts.append((f"s_{t}_0", f"""SELECT block, w, CAST([] AS STRUCT(place BIGINT, delta DOUBLE)[]) AS moves FROM spans, w_{t}"""))
+        for k in range(inner):
+            drawn = f"b.first + CAST(floor({uniform('b.block', t * inner + k, seed)} * b.n) AS BIGINT)"
+            parts.append((f"s_{t}_{k + 1}", f"""
+                SELECT block, list_transform(list_zip(w, data), lambda z: z[1] + factor * z[2]) AS w,
+                       list_append(moves, {{'place': place, 'delta': new - now}}) AS moves
+                FROM (SELECT *, label * (new - now) / {strength} AS factor FROM (SELECT *, CASE WHEN grad = 0 THEN now WHEN square = 0 THEN 1.0::DOUBLE
+                                     ELSE greatest(least(now - grad / square, 1.0::DOUBLE), 0.0::DOUBLE) END AS new
+                      FROM (SELECT s.block, s.w, s.moves, p.place, p.data, p.label,
+                                   COALESCE(d.alpha, 0) + COALESCE(list_sum(list_transform(list_filter(s.moves, lambda m: m.place = p.place), lambda m: m.delta)), 0) AS now,
+                                   (p.label * {dot.format(a='p.data', b='s.w')} - 1.0::DOUBLE) * {strength} AS grad,
+                                   {dot.format(a='p.data', b='p.data')} AS square
+                            FROM s_{t}_{k} s JOIN spans b ON b.block = s.block JOIN placed p ON p.place = {drawn}
+                            LEFT JOIN duals_{t} d ON d.place = p.place)))"""))
+        share = f"{scaling}::DOUBLE / {blocks}"
+        parts += [
+            (f"duals_{t + 1}", f"""SELECT place, SUM(alpha) AS alpha FROM (SELECT * FROM duals_{t} UNION ALL
+                SELECT m.place, {share} * m.delta FROM (SELECT unnest(moves) AS m FROM s_{t}_{inner})) GROUP BY 1"""),
+            (f"w_{t + 1}", f"""SELECT list(v ORDER BY i) AS w FROM (
+                SELECT i, MAX(o.w[i]) + {share} * SUM(s.w[i] - o.w[i]) AS v FROM s_{t}_{inner} s, w_{t} o, (SELECT unnest(range(1, {size + 1})) AS i) GROUP BY i)"""),
+        ]
+    return parts + [("trained", f"SELECT unnest(range({size})) AS pos, unnest(w) AS weight FROM w_{outer}")]

@@ -81,22 +81,23 @@ def als_rank_10(spark, folder):
     return als.factorize(views.ratings(spark, folder), 10, REGULARIZATION, 10, SEED).users
 
 
+BRAND_MODEL = check_sql.als("brand_ratings", 2, REGULARIZATION, SEED)
 PRODUCT = """SELECT u.id AS "user", v.id AS item, round(u.f0 * v.f0 + u.f1 * v.f1, 4) AS predicted
              FROM users u CROSS JOIN items v"""
 
 
-@query(with_views(PRODUCT, "ratings", more=MODEL))
+@query(with_views(PRODUCT, "brand_ratings", more=BRAND_MODEL))
 def matrix_complete(spark, folder):
-    ratings = cut(views.ratings(spark, folder))
+    ratings = cut(views.brand_ratings(spark, folder))
     model = als.factorize(ratings, 2, REGULARIZATION, 2, SEED)
     return als.completed(model, 2, model.items.count()).withColumn("predicted", rounded(F.col("predicted"), 4))
 
 
 @query(with_views("""SELECT p."user", p.item, round(COALESCE(r.rating, p.predicted), 4) AS value, r.rating IS NOT NULL AS observed
-                     FROM product p LEFT JOIN ratings r ON p."user" = r."user" AND p.item = r.item""",
-                  "ratings", more=[*MODEL, ("product", PRODUCT)]))
+                     FROM product p LEFT JOIN brand_ratings r ON p."user" = r."user" AND p.item = r.item""",
+                  "brand_ratings", more=[*BRAND_MODEL, ("product", PRODUCT)]))
 def matrix_fill(spark, folder):
-    ratings = cut(views.ratings(spark, folder))
+    ratings = cut(views.brand_ratings(spark, folder))
     model = als.factorize(ratings, 2, REGULARIZATION, 2, SEED)
     cells = als.completed(model, 2, model.items.count()).withColumn("predicted", rounded(F.col("predicted"), 4))
     return als.filled(ratings, cells).withColumn("value", rounded(F.col("value"), 4))
@@ -142,14 +143,29 @@ def positions_of(weights: list[float], spark) -> DataFrame:
     return spark.createDataFrame([(k, w) for k, w in enumerate(weights)], "pos INT, weight DOUBLE")
 
 
-@query()
+COCOA = dict(blocks=10, outer=2, inner=3, regularization=0.01, scaling=1.0)
+SVM = dict(blocks=4, outer=3, inner=2, regularization=0.1, scaling=0.5)
+WEIGHTS = "SELECT CAST(pos AS INTEGER) AS pos, round(weight, 6) + 0.0 AS weight FROM trained"
+
+
+def trained(model: linear.DualModel, spark) -> DataFrame:
+    return positions_of(model.weights, spark).withColumn("weight", rounded(F.col("weight")))
+
+
+@query(with_views(WEIGHTS, "points", more=check_sql.dual_ascent("points", DIMENSIONS, SEED, **COCOA)))
 def cocoa(spark, folder):
-    return positions_of(linear.train_dual(views.points(spark, folder), 10, 10, 10, 0.01).weights, spark)
+    return trained(linear.train_dual(views.points(spark, folder), **COCOA, seed=SEED), spark)
 
 
-@query()
+@query(with_views(WEIGHTS, "points", more=check_sql.dual_ascent("points", DIMENSIONS, SEED, **SVM)))
 def svm_weights(spark, folder):
-    return positions_of(linear.train_svm(views.points(spark, folder), 10, iterations=20, stepsize=1.0).weights, spark)
+    model = linear.train_svm(views.points(spark, folder), SVM["blocks"], SVM["outer"], SVM["regularization"], SVM["scaling"], SEED, SVM["inner"])
+    return trained(model, spark)
+
+
+def cocoa_ten_rounds(spark, folder):
+    """Ten rounds of ten steps in ten blocks."""
+    return positions_of(linear.train_dual(views.points(spark, folder), 10, 10, 10, 0.01).weights, spark)
 
 
 # ---- regression --------------------------------------------------------------------------

@@ -149,7 +149,7 @@ def join_shuffle_hash(spark, folder):
 
 @query(with_views(f"""
     SELECT u.block, u.chunk, u."user", u.position, s.n_item_blocks, s.first_item_block, s.n_ratings
-    FROM (SELECT "user", block, chunk, row_number() OVER (PARTITION BY block, chunk ORDER BY "user") - 1 AS position
+    FROM (SELECT "user", block, chunk, row_number() OVER (PARTITION BY block ORDER BY "user") - 1 AS position
           FROM (SELECT DISTINCT "user", "user" % {BLOCKS} AS block, "user" // {BLOCKS * CHUNK} AS chunk FROM ratings)) u
     JOIN (SELECT "user", COUNT(DISTINCT item % {BLOCKS}) AS n_item_blocks, MIN(item % {BLOCKS}) AS first_item_block,
                  COUNT(*) AS n_ratings FROM ratings GROUP BY 1) s ON u."user" = s."user" """, "ratings"))
@@ -293,17 +293,17 @@ def rank_position(spark, folder):
     SELECT doc_id, len(string_split(text, ' ')) AS n_parts, contains(text, '?') AS has_mark,
            lang = 'en' AS is_english, source || '/' || CAST(doc_id AS VARCHAR) AS path,
            length(text) - length(regexp_replace(text, '[()]', '', 'g')) AS n_brackets,
-           TRY_CAST(regexp_extract(text, '[0-9]{1,9}') AS INTEGER) AS first_digits
+           TRY_CAST(regexp_extract(text, '[0-9]+') AS BIGINT) AS first_digits
     FROM documents""")
 def string_funcs(spark, folder):
     t = F.col("text")
-    digits = F.regexp_extract(t, "[0-9]{1,9}", 0)
+    digits = F.regexp_extract(t, "[0-9]+", 0)
     return table(spark, folder, "documents").select(
         "doc_id", F.size(F.split(t, " ", -1)).cast("long").alias("n_parts"), t.contains("?").alias("has_mark"),
         (F.col("lang") == "en").alias("is_english"),
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
         (F.length(t) - F.length(text.without_brackets(t))).cast("long").alias("n_brackets"),
-        digits.try_cast("int").alias("first_digits"))
+        digits.try_cast("long").alias("first_digits"))
 
 
 @query(f"""

@@ -6,11 +6,11 @@ another engine. Joins are ordered so that small results are joined into large on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ITEMS = 200
 POSITIVE_BELOW = 5
+LINE_RANGE = 64
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,27 +39,39 @@ def sample_sparse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
-    """(user, item, rating): customer by part class, average quantity."""
+    """(user, item, rating): customer by part, average quantity."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy(F.col("o_custkey").alias("user"),
-                     F.pmod("l_partkey", F.lit(ITEMS)).alias("item"))
+                     F.col("l_partkey").alias("item"))
             .agg(F.avg("l_quantity").alias("rating")))
 
 
+def brand_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """(user, item, rating): customer by the number of the part's brand, for queries whose result is every cell."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    brands = table(spark, folder, "part").select("p_partkey", F.regexp_extract("p_brand", "[0-9]+", 0).cast("long").alias("item"))
+    return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(brands, F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy(F.col("o_custkey").alias("user"), "item").agg(F.avg("l_quantity").alias("rating")))
+
+
 def link_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """(src, dst, n): part to the first part of the next line of its order, and how often.
+    """(src, dst, n): part to the part of the next line of its order (by line, part, supplier), and how often.
 
-    The next line is reduced to one part before the join, so a large order gives no pairs of lines.
+    An order is read in ranges of line numbers, so a very long one fills no task; the last line of a range goes on to
+    the first of the next one that has lines.
     """
-    lines = (table(spark, folder, "lineitem")
-             .groupBy("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src")).agg(F.count("*").alias("n")))
-    following = (table(spark, folder, "lineitem")
-                 .groupBy("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"))
-                 .agg(F.min("l_partkey").alias("dst")))
-    return (lines.join(following, ["l_orderkey", "l_linenumber"])
-            .groupBy("src", "dst").agg(F.sum("n").alias("n")))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                    F.floor(F.col("l_linenumber") / LINE_RANGE).alias("range"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    within = Window.partitionBy("l_orderkey", "range").orderBy(*order)
+    lines = lines.withColumn("dst", F.lead("l_partkey").over(within))
+    first = (lines.groupBy("l_orderkey", "range").agg(F.min(F.struct(*order)).alias("least"))  # one row per range
+             .withColumn("opens", F.lead("least.l_partkey").over(Window.partitionBy("l_orderkey").orderBy("range"))).drop("least"))
+    lines = lines.join(first, ["l_orderkey", "range"]).withColumn("dst", F.coalesce("dst", "opens"))
+    return (lines.where("dst is not null").groupBy(F.col("l_partkey").alias("src"), "dst").agg(F.count("*").alias("n")))
 
 
 def links(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,17 +132,17 @@ SQL = {
         SELECT user_id AS sample_id, event_type || '_' || CAST(hour(ts) AS VARCHAR) AS feature,
                round(SUM(value), 6) AS value
         FROM events GROUP BY 1, 2"""),
-    "ratings": ((), f"""
-        SELECT o_custkey AS "user", l_partkey % {ITEMS} AS item, AVG(l_quantity) AS rating
+    "ratings": ((), """
+        SELECT o_custkey AS "user", l_partkey AS item, AVG(l_quantity) AS rating
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"""),
-    "following": ((), """
-        SELECT l_orderkey, l_linenumber - 1 AS l_linenumber, MIN(l_partkey) AS dst
-        FROM lineitem GROUP BY 1, 2"""),
-    "link_counts": (("following",), """
-        SELECT l.l_partkey AS src, f.dst, COUNT(*) AS n
-        FROM lineitem l JOIN following f
-          ON l.l_orderkey = f.l_orderkey AND l.l_linenumber = f.l_linenumber
-        GROUP BY 1, 2"""),
+    "brand_ratings": ((), """
+        SELECT o_custkey AS "user", CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS item, AVG(l_quantity) AS rating
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"""),
+    "link_counts": ((), """
+        SELECT src, dst, COUNT(*) AS n
+        FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
+              FROM lineitem)
+        WHERE dst IS NOT NULL GROUP BY 1, 2"""),
     "links": (("link_counts",), "SELECT src, dst FROM link_counts"),
     "nodes": (("links",), "SELECT src AS id FROM links UNION SELECT dst FROM links"),
     "edges_weighted": (("link_counts",), """

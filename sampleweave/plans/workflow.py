@@ -29,7 +29,7 @@ class Settings:
     regression_stepsize: float = 0.05
     blocks: int = 8
     threshold: float = 0.9
-    max_features: int = 25_000
+    max_features: int | None = None  # keep all
     excluded: list[str] = field(default_factory=list)
     include_self: bool = True
     rank_rounds: int = graph.MAX_ROUNDS
@@ -96,12 +96,14 @@ def group_network(cells: DataFrame, dictionary: DataFrame, settings: Settings) -
 def analyse(training: DataFrame, test: DataFrame, settings: Settings = Settings()) -> Analysis:
     """``training``: (sample_id, grp, feature, value); ``test``: (sample_id, feature, value)."""
     training = cut(filters.exclude(training, "feature", settings.excluded))
-    dictionary = cut(matrix.feature_dictionary(training).filter(F.col("feature_idx") <= settings.max_features)
-                     .select("feature", "feature_idx"))
+    dictionary = matrix.feature_dictionary(training).select("feature", "feature_idx")
+    if settings.max_features is not None:
+        dictionary = dictionary.filter(F.col("feature_idx") <= settings.max_features)
+    dictionary = cut(dictionary)
     labels = cut(training.select("sample_id", "grp").distinct()
                  .withColumn("label", matrix.label_of(F.col("grp"))))
-    cells = filters.first_features(training, dictionary, settings.max_features).select(
-        "sample_id", "feature", "value")
+    cells = (training if settings.max_features is None
+             else filters.first_features(training, dictionary, settings.max_features)).select("sample_id", "feature", "value")
     cells = cut(completed_cells(cells, dictionary, settings) if settings.completion else cells)
 
     weights = cut(trained_weights(cells, labels, dictionary, settings))

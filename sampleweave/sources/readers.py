@@ -34,12 +34,12 @@ def read_samples(spark: SparkSession, folder: str) -> DataFrame:
     the last one that names a count, else the second. Header rows and ids with ``?`` drop out.
     """
     lines = (spark.read.option("pathGlobFilter", SAMPLE_GLOB).text(folder)
-             .select(F.col("_metadata.file_name").alias("sample_id"),
-                     F.split("value", "\t").alias("fields")))
+             .select(F.col("_metadata.file_name").alias("sample_id"), F.col("_metadata.file_block_start").alias("at_start"),
+                     F.monotonically_increasing_id().alias("line"), F.split("value", "\t").alias("fields")))
     # the first field is the name column, whatever it says
     places = F.transform("fields", lambda h, i: F.when((i > 0) & is_count_header(h), i))
-    headers = (lines.select("sample_id", F.array_max(places).alias("at")).filter(F.col("at").isNotNull())
-               .groupBy("sample_id").agg(F.max("at").alias("at")))
+    # the header is a file's first line: the first one of the part of the file that starts at byte 0
+    headers = (lines.filter("at_start = 0").groupBy("sample_id").agg(F.min_by(F.array_max(places), "line").alias("at")))
     rows = lines.join(headers, "sample_id", "left")
     rows = rows.select("sample_id", F.get("fields", F.lit(0)).alias("feature"),
                        F.get("fields", F.coalesce("at", F.lit(1))).alias("count_text"))

@@ -1,8 +1,9 @@
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sampleweave.functions import text, vectors
+from sampleweave.functions import numbers, text, vectors
 from sampleweave.operators import aggregates, filters, joins, keys, matrix, ranking
 
 from toy import CELLS, RATINGS, dense
@@ -92,6 +93,19 @@ def test_cogroup_positions(spark):
         members = sorted(u for u in {u for u, _, _ in RATINGS} if u % 2 == block)
         assert [r["user"] for r in sorted(got, key=lambda r: r["position"]) if r["block"] == block] == members
     assert sum(r["n_ratings"] for r in got) == len(RATINGS)
+    narrow = joins.user_positions(ratings(spark), 2, 3, 2).collect()
+    assert len({r["chunk"] for r in narrow}) > 1
+    assert {(r["user"], r["position"]) for r in narrow} == {(r["user"], r["position"]) for r in got}
+
+
+def test_uniform_numbers_are_independent(spark):
+    rows_ = spark.range(20_000).select(*(numbers.id_uniform(F.col("id"), k, 5).alias(f"u{k}") for k in (0, 1))).toPandas()
+    assert rows_["u0"].nunique() == 20_000 and abs(rows_["u0"].corr(rows_["u1"])) < 0.03
+    table = np.histogram2d(rows_["u0"], rows_["u1"], bins=8)[0]
+    assert ((table - 312.5) ** 2 / 312.5).sum() < 120  # chi-square, 63 degrees of freedom
+    assert abs((rows_["u1"] - rows_["u0"]).std() - 6 ** -0.5) < 0.01
+    one = spark.range(7, 8).select(numbers.id_uniform(F.col("id"), 3, 9)).first()[0]
+    assert one == numbers.uniform_value(7, 3, 9)
 
 
 def test_joins(spark):
