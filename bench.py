@@ -4,6 +4,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -52,6 +53,7 @@ def run(spark, plan):
 def main():
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", os.environ.get("SHARED_FOLDER") or tempfile.mkdtemp(prefix="shared-"))
              .config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from ..session import broadcast_within
 from .keys import block_of, chunk_of
 
-TINY_ROWS = 100_000
+TINY_BYTES = 16 * 1024 * 1024
 
 
-def join_tiny(big: DataFrame, tiny: DataFrame, on, tiny_rows: int = TINY_ROWS) -> DataFrame:
+def join_tiny(big: DataFrame, tiny: DataFrame, on, tiny_bytes: int = TINY_BYTES) -> DataFrame:
     """Inner join that broadcasts ``tiny`` if it is seen to be tiny; else Spark's own choice."""
-    return big.join(broadcast_within(tiny, tiny_rows), on)
+    return big.join(broadcast_within(tiny, tiny_bytes), on)
 
 
 def join_shuffle_hash(probe: DataFrame, build: DataFrame, on) -> DataFrame:

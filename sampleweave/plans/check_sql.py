@@ -10,6 +10,11 @@ def uniform(identity: str, index: int | str, seed: int) -> str:
     return f"(CAST(('0x' || substr(md5({key}), 1, 12)) AS BIGINT) / CAST({UNIFORM_SPAN} AS DOUBLE))"
 
 
+def gaussian(identity: str, index: str, seed: int) -> str:
+    return (f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {uniform(identity, index, seed)}))"
+            f" * cos(2 * pi() * {uniform(identity, f'({index} + 1)', seed)}))")
+
+
 def dense(source: str, name: str, where: str = "TRUE") -> list[tuple[str, str]]:
     """``name``: all samples by all features of ``source``, zero-filled."""
     return [

@@ -382,9 +382,23 @@ def gen_reads(spark, folder):
         part.select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("book")))
 
 
-@query()
+RATED = dict(mean_count=20.0, std_count=5.0, mean=3.0, std=1.0)
+RATED_SEED = 7
+
+
+@query(f"""
+    WITH sizes AS (SELECT n AS songs, (SELECT MIN(p) FROM (SELECT unnest(range(greatest(n, 2), 2 * n + 4)) AS p)
+                        WHERE NOT list_bool_or(list_transform(range(2, CAST(floor(sqrt(p)) AS BIGINT) + 1), lambda d: p % d = 0)) IS TRUE) AS prime
+                   FROM (SELECT COUNT(*) AS n FROM part)),
+    walks AS (SELECT c_custkey AS "user", songs, prime,
+                     CAST(greatest(0, least(songs, round({check_sql.gaussian('c_custkey', '0', RATED_SEED)} * {RATED['std_count']} + {RATED['mean_count']}))) AS BIGINT) AS n,
+                     CAST(floor({check_sql.uniform('c_custkey', 2, RATED_SEED)} * (prime - 1)) AS BIGINT) + 1 AS stride,
+                     CAST(floor({check_sql.uniform('c_custkey', 3, RATED_SEED)} * prime) AS BIGINT) AS first
+              FROM customer, sizes),
+    drawn AS (SELECT "user", unnest(list_filter(list_transform(range(0, n + prime - songs + 1), lambda j: (stride * j + first) % prime),
+                                                lambda x: x < songs)[1:n]) + 1 AS item FROM walks)
+    SELECT "user", item, round({check_sql.gaussian('"user"', '(item * 2 + 10)', RATED_SEED)} * {RATED['std']} + {RATED['mean']}, 6) AS rating FROM drawn""")
 def gen_ratings(spark, folder):
     songs = table(spark, folder, "part").count()
-    return generators.sparse_ratings(table(spark, folder, "customer").select("c_custkey"), "c_custkey", songs,
-                                     mean_count=20.0, std_count=5.0, mean=3.0, std=1.0)
-
+    drawn = generators.sparse_ratings(table(spark, folder, "customer").select("c_custkey"), "c_custkey", songs, **RATED, seed=RATED_SEED)
+    return drawn.withColumn("rating", rounded(F.col("rating")))

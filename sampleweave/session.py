@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,9 +46,14 @@ def materialize(*frames: DataFrame) -> tuple[DataFrame, ...]:
     return tuple(cut(frame) for frame in frames)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if ``df`` is counted to have at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def broadcast_within(df: DataFrame, max_bytes: int) -> DataFrame:
+    """Hint a broadcast only if ``df`` is counted to hold at most ``max_bytes``: its values as text and 16 bytes a row.
+
+    The side is computed once, into the shared folder.
+    """
+    df = cut(df)
+    width = reduce(add, [F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in df.columns], F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width).alias("bytes")).first()["bytes"] or 0) <= max_bytes else df
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import isqrt, pi
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,27 +30,36 @@ def named_reads(reads: DataFrame, countries: DataFrame, books: DataFrame) -> Dat
             .select("draw_id", "country", "book"))
 
 
+def least_prime(n: int) -> int:
+    """The least prime that is not below ``n``."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def gaussian(identity: Column, index: Column | int, seed: int) -> Column:
+    """A standard normal number fixed by (id, index, seed), from two uniform ones."""
+    at = index if isinstance(index, Column) else F.lit(index)
+    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - id_uniform(identity, at, seed)))
+    return radius * F.cos(F.lit(2 * pi) * id_uniform(identity, at + 1, seed))
+
+
 def sparse_ratings(listeners: DataFrame, listener: str, songs: int, mean_count: float,
                    std_count: float, mean: float, std: float, seed: int = 7) -> DataFrame:
-    """Ratings (user, item, rating): per listener a Gaussian share of all songs, Gaussian values.
+    """Ratings (user, item, rating): per listener a Gaussian number of distinct songs, Gaussian values.
 
-    Choosing each song with probability p is the same as drawing a binomial count and then that
-    many distinct songs, so the work grows with the ratings and not with listeners x songs.
+    The songs are the first ``count`` numbers up to ``songs`` of a random walk with a fixed stride modulo the
+    least prime that is not below it, so the work grows with the ratings and not with listeners x songs.
     """
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                users, items, values = [], [], []
-                for user in batch[listener].iloc[start:start + 256]:
-                    rng = np.random.default_rng([seed, int(user) % (2**63)])
-                    share = (rng.normal() * std_count + mean_count) / songs
-                    count = rng.binomial(songs, min(max(share, 0.0), 1.0))
-                    items.append(np.sort(rng.choice(songs, count, replace=False)) + 1)
-                    values.append(rng.normal(mean, std, count))
-                    users.append(np.full(count, user, dtype=np.int64))
-                yield pd.DataFrame({"user": np.concatenate(users), "item": np.concatenate(items),
-                                    "rating": np.concatenate(values)})
-
-    return (listeners.select(F.col(listener).cast("long").alias(listener))
-            .mapInPandas(draw, "user BIGINT, item BIGINT, rating DOUBLE"))
-
+    user = F.col("user")
+    prime = least_prime(songs)
+    count = F.greatest(F.lit(0), F.least(F.lit(songs), F.round(gaussian(user, 0, seed) * std_count + mean_count))).cast("long")
+    stride = F.floor(id_uniform(user, 2, seed) * (prime - 1)).cast("long") + 1
+    first = F.floor(id_uniform(user, 3, seed) * prime).cast("long")
+    walk = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") + (prime - songs)), lambda j: (F.col("stride") * j + F.col("first")) % prime)
+    drawn = (listeners.select(F.col(listener).cast("long").alias("user"))
+             .select("user", count.alias("n"), stride.alias("stride"), first.alias("first"))
+             .select("user", F.explode(F.slice(F.filter(walk, lambda x: x < songs), F.lit(1), F.col("n"))).alias("song")))
+    item = F.col("song") + 1
+    return drawn.select("user", item.alias("item"), (gaussian(user, item * 2 + 10, seed) * std + mean).alias("rating"))

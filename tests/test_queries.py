@@ -39,7 +39,7 @@ def test_query_agrees_with_sql(spark, db, name):
 def test_registration():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     own = {name for name in contract.queries() if name in contract.QUERIES}
-    assert own - set(contract.oracle_sql()) == {"gen_ratings"}
+    assert own <= set(contract.oracle_sql())
 
 
 def test_entry_has_rows(spark):

@@ -113,7 +113,7 @@ def test_joins(spark):
     tiny = spark.createDataFrame([(1, "one")], "k BIGINT, name STRING")
     want = [(1, "a", "one"), (1, "c", "one")]
     assert rows(joins.join_tiny(big, tiny, "k")) == want
-    assert rows(joins.join_tiny(big, tiny, "k", tiny_rows=0)) == want
+    assert rows(joins.join_tiny(big, tiny, "k", tiny_bytes=0)) == want
     assert rows(joins.join_shuffle_hash(big, tiny, "k")) == want
     a, b = (d.withColumn("block", keys.block_of(F.col("k"), 2)).drop("k") for d in (big, tiny))
     assert joins.join_by_block(a, b, 2).count() == 2
