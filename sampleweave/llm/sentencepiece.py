@@ -41,7 +41,8 @@ from sampleweave.session import cut
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = np.iinfo(np.int64).max
-CACHE_WORDS = 400_000
+SLICE = 1_000_000  # bytes of text that a worker encodes at once
+CACHE_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -81,6 +82,18 @@ class PairRanks:
         return out
 
 
+@dataclass(frozen=True)
+class Decoder:
+    """What turns ids into text."""
+
+    text: list[str]
+    byte_of: dict[int, int]
+    hidden: set[int]
+    special: set[int]
+    unknown_id: int
+    prefix: bool
+
+
 class Vocabulary:
     """A model's pieces as arrays: a trie over characters, scores, and for BPE the merge history of every piece.
 
@@ -111,6 +124,7 @@ class Vocabulary:
         if self.bpe:
             number = self.merge_history(number)
         self.known = self.answers = None
+        self.numbers = list(range(self.size))
         self.longest = max(map(len, number), default=1)
         self.length = np.array([len(t) for t in self.text] + [1, 0])
         self.trie(number)
@@ -164,6 +178,9 @@ class Vocabulary:
             elif p:
                 self.next[row[p[:-1]], self.char[ord(p[-1])]] = n
 
+    def decoder(self) -> Decoder:
+        return Decoder(self.text, self.byte_of, self.hidden, self.special, self.unknown_id, self.prefix)
+
     def codes(self, text: str) -> np.ndarray:
         return self.char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
@@ -298,7 +315,7 @@ class Vocabulary:
             values = value[rows, lengths]
             for k, own, v in zip(block, pieces, values.tolist(), strict=True):
                 own = [p for p in own if p >= 0]
-                out[k] = (self.ids(own, words[k]) if self.size in own else tuple(own), v)
+                out[k] = (self.ids(own, words[k]) if self.size in own else tuple(map(self.numbers.__getitem__, own)), v)
         return out
 
     def normal(self, text: str) -> str:
@@ -496,6 +513,12 @@ def boundary_states(matrices: DataFrame, group: int) -> DataFrame:
 
 def encode(docs: DataFrame, settings: EncodeSettings = EncodeSettings()) -> DataFrame:
     """``docs`` with the column ``ids`` instead of any of that name; every row, whatever its length."""
+    short, long = encoded_parts(docs, settings)
+    return short if long is None else short.unionByName(long)
+
+
+def encoded_parts(docs: DataFrame, settings: EncodeSettings) -> tuple[DataFrame, DataFrame | None]:
+    """The texts of one chunk and, if there are any, those of several."""
     spark, margin = docs.sparkSession, 32
     encoder, size = shared_encoder(spark, settings), settings.chunk
     keep = [c for c in docs.columns if c not in ("ids", "text")]
@@ -505,7 +528,7 @@ def encode(docs: DataFrame, settings: EncodeSettings = EncodeSettings()) -> Data
     def at_once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder()
         for batch in batches:
-            step = max(1, int(batch.num_rows * 2_000_000 / max(1, batch.nbytes)))
+            step = max(1, int(batch.num_rows * SLICE / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 ids = e.whole([e.v.normal(t or "") for t in part.column("text").to_pylist()])
@@ -516,7 +539,7 @@ def encode(docs: DataFrame, settings: EncodeSettings = EncodeSettings()) -> Data
 
     long_rows = cut(docs.where(is_long).select(*(f"`{c}`" for c in keep), text.alias("text")).withColumn("__row", F.monotonically_increasing_id()))
     if long_rows.isEmpty():
-        return short
+        return short, None
 
     def windows(rows: Iterable[tuple]) -> Iterator[tuple]:
         v = encoder().v
@@ -544,10 +567,10 @@ def encode(docs: DataFrame, settings: EncodeSettings = EncodeSettings()) -> Data
     pieces = (map_rows(given, traced, "row long, chunk int, ids array<int>").groupBy("row")
               .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids")))
     long = long_rows.join(pieces, F.col("__row") == F.col("row")).select(*(f"`{c}`" for c in keep), "text", "ids")
-    return short.unionByName(long)
+    return short, long
 
 
-def decode_ids(v: Vocabulary, ids: Iterable[int]) -> str:
+def decode_ids(v: Decoder, ids: Iterable[int]) -> str:
     ids, out, held = list(ids), [], bytearray()
     if v.special.isdisjoint(ids):
         text = "".join(map(v.text.__getitem__, ids)).replace(SPACE, " ")
@@ -569,11 +592,11 @@ def decode_ids(v: Vocabulary, ids: Iterable[int]) -> str:
 
 def decode(encoded: DataFrame, settings: EncodeSettings = EncodeSettings()) -> DataFrame:
     """``encoded`` with the column ``decoded``, the text of its ``ids`` (null for null)."""
-    encoder = shared_encoder(encoded.sparkSession, settings)
+    sent = encoded.sparkSession.sparkContext.broadcast(Vocabulary(settings.model).decoder())
 
     @F.pandas_udf("string")
     def back(ids: pd.Series) -> pd.Series:
-        v = encoder().v
+        v = sent.value
         return pd.Series([None if x is None else decode_ids(v, x.tolist()) for x in ids], index=ids.index, dtype=object)
 
     return encoded.withColumn("decoded", back("ids"))
@@ -583,15 +606,19 @@ def encode_documents(docs: DataFrame, settings: EncodeSettings = EncodeSettings(
     """doc_id, n_tokens, ids, decoded_sha256 and exact (decoding gives the text back; null counts as empty) for every row."""
     own = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     encoded = encode(own, settings)
-    encoder = shared_encoder(docs.sparkSession, settings)
-
-    @F.pandas_udf("sha string, exact boolean")
-    def check(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        v, rows = encoder().v, []
-        for x, t in zip(ids, texts, strict=True):
-            d = decode_ids(v, x.tolist())
-            rows.append((hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest(), d == (t or "")))
-        return pd.DataFrame(rows, columns=["sha", "exact"])
-
-    return encoded.withColumn("back", check("ids", "text")).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("back.sha").alias("decoded_sha256"), F.col("back.exact").alias("exact"))
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(settings.model).decoder())
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = sent.value
+        for batch in batches:
+            step = max(1, int(batch.num_rows * SLICE / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                back = [decode_ids(v, x) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), pa.array([len(x) for x in part.column("ids")], pa.int64()), part.column("ids"),
+                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]),
+                    pa.array([t == (own or "") for t, own in zip(back, part.column("text").to_pylist(), strict=True)])],
+                    names=["doc_id", "n_tokens", "ids", "decoded_sha256", "exact"])
+
+    return encoded.select("doc_id", "text", "ids").mapInArrow(check, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")
