@@ -16,6 +16,7 @@ from ..session import cut
 FEATURE_BLOCK = 256
 SAMPLE_CHUNK = 4_096
 CORRELATION_DIGITS = 9
+TREE_FAN = 8
 
 
 def feature_stats(cells: DataFrame, n_samples: int) -> DataFrame:
@@ -38,17 +39,58 @@ def feature_stats(cells: DataFrame, n_samples: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class PairSums:
-    """Sum of a*b for every unordered feature pair, by dictionary place; and the dictionary."""
+    """Sum of a*b for every feature pair, as one packed matrix per pair of blocks; and the dictionary."""
 
-    sums: DataFrame        # block_a, pos_a, block_b, pos_b, total
+    products: DataFrame    # block_a, block_b, product
     dictionary: DataFrame  # feature, block, pos
 
-    def named(self, facts: DataFrame) -> DataFrame:
-        """Sums with both features' columns of ``facts`` (one row per feature), suffixed _a, _b."""
-        known = self.dictionary.join(facts, "feature")
-        a = known.select(*[F.col(c).alias(f"{c}_a") for c in known.columns])
-        b = known.select(*[F.col(c).alias(f"{c}_b") for c in known.columns])
-        return self.sums.join(a, ["block_a", "pos_a"]).join(b, ["block_b", "pos_b"])
+    def pairs(self, facts: DataFrame, n_samples: int, least: float | None = None) -> DataFrame:
+        """(feature_a, feature_b, total, cross, correlation) of the unordered pairs, from (feature, rest, centered_norm).
+
+        With ``least``, only pairs whose |correlation| is not below it (but for rounding) leave the task that
+        holds their matrix; there is no row for any other pair.
+        """
+        entry = F.struct("pos", "feature", "rest", "centered_norm")
+        known = self.dictionary.join(facts, "feature").groupBy("block").agg(F.sort_array(F.collect_list(entry)).alias("es"))
+        part = lambda name: F.transform("es", lambda e: e[name])
+        rows = self.products
+        for side in "ab":
+            rows = rows.join(known.select(F.col("block").alias(f"block_{side}"), part("feature").alias(f"names_{side}"),
+                                          part("rest").alias(f"rest_{side}"), part("centered_norm").alias(f"norm_{side}")), f"block_{side}")
+
+        def unpack(group: pd.DataFrame) -> pd.DataFrame:
+            row = group.iloc[0]
+            rest_a, rest_b, norm_a, norm_b = (np.asarray(row[c], dtype=float) for c in ("rest_a", "rest_b", "norm_a", "norm_b"))
+            total = np.frombuffer(row["product"]).reshape(len(rest_a), len(rest_b))
+            cross = total - n_samples * np.outer(rest_a, rest_b)
+            norms = np.outer(norm_a, norm_b)
+            correlation = np.divide(cross, norms, out=np.full_like(cross, np.nan), where=norms != 0)
+            keep = np.ones(cross.shape, bool) if least is None else np.abs(correlation) > least - 10.0 ** (1 - CORRELATION_DIGITS)
+            if row["block_a"] == row["block_b"]:
+                keep = np.triu(keep)
+            i, j = np.nonzero(keep)
+            return pd.DataFrame({"feature_a": np.asarray(row["names_a"], dtype=object)[i], "feature_b": np.asarray(row["names_b"], dtype=object)[j],
+                                 "total": total[i, j], "cross": cross[i, j], "correlation": correlation[i, j]})
+
+        kind = self.dictionary.schema["feature"].dataType.simpleString()
+        return rows.groupBy("block_a", "block_b").applyInPandas(
+            unpack, f"feature_a {kind}, feature_b {kind}, total DOUBLE, cross DOUBLE, correlation DOUBLE")
+
+
+def added_up(parts: DataFrame, n_chunks: int, fan: int = TREE_FAN) -> DataFrame:
+    """Packed products added over the chunks, ``fan`` at a time, so that a task never holds more than that."""
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(group["product"].iloc[0]).copy()
+        for more in group["product"].iloc[1:]:
+            total += np.frombuffer(more)
+        return pd.DataFrame({"block_a": group["block_a"].iloc[:1], "block_b": group["block_b"].iloc[:1],
+                             "chunk": group["chunk"].iloc[:1], "product": [total.tobytes()]})
+
+    while n_chunks > 1:
+        parts = (parts.withColumn("chunk", F.floor(F.col("chunk") / fan).cast("int")).groupBy("block_a", "block_b", "chunk")
+                 .applyInPandas(add, "block_a INT, block_b INT, chunk INT, product BINARY"))
+        n_chunks = ceil(n_chunks / fan)
+    return parts.select("block_a", "block_b", "product")
 
 
 def pair_sums(cells: DataFrame, features: DataFrame, n_samples: int, column: str = "value",
@@ -58,8 +100,8 @@ def pair_sums(cells: DataFrame, features: DataFrame, n_samples: int, column: str
     Features fall into blocks and samples into chunks; one task group multiplies one pair of
     feature blocks over one chunk, so a group is bounded by 2 * block * chunk cells whatever the
     data, and each cell is shipped once per feature block instead of once per partner feature.
-    The chunk sums are added by an ordinary aggregate. ``cells`` is read once per use and should
-    be a table.
+    A group gives one packed matrix, and these are added chunk-wise in a tree. ``cells`` is read once
+    per use and should be a table.
     """
     n_blocks = max(1, ceil(features.count() / block))
     n_chunks = max(1, ceil(n_samples / chunk))
@@ -91,18 +133,14 @@ def pair_sums(cells: DataFrame, features: DataFrame, n_samples: int, column: str
         rows, ids = pd.factorize(group["sample_id"])
         left = filled(group, rows, len(ids), a)
         right = left if a == b else filled(group, rows, len(ids), b)
-        product = left.T @ right
-        at = np.triu_indices(widths[a]) if a == b else np.indices(product.shape).reshape(2, -1)
-        return pd.DataFrame({"block_a": a, "pos_a": at[0], "block_b": b, "pos_b": at[1],
-                             "total": product[at[0], at[1]]})
+        return pd.DataFrame({"block_a": [a], "block_b": [b], "chunk": [int(key[2])], "product": [(left.T @ right).tobytes()]})
 
     if set(widths) != set(range(n_blocks)):
         # a block without features has no cells of its own, so it must not be asked for
         shipped = shipped.filter(F.col("a").isin(list(widths)) & F.col("b").isin(list(widths)))
     parts = shipped.groupBy("a", "b", "chunk").applyInPandas(
-        multiply, "block_a INT, pos_a INT, block_b INT, pos_b INT, total DOUBLE")
-    sums = parts.groupBy("block_a", "pos_a", "block_b", "pos_b").agg(F.sum("total").alias("total"))
-    return PairSums(sums, dictionary)
+        multiply, "block_a INT, block_b INT, chunk INT, product BINARY")
+    return PairSums(added_up(parts, n_chunks), dictionary)
 
 
 def in_name_order(pairs: DataFrame) -> DataFrame:
@@ -117,12 +155,14 @@ def feature_products(cells: DataFrame, block: int = FEATURE_BLOCK, chunk: int =
     cells = cut(cells.select("sample_id", "feature", "value"))
     features = cells.select("feature").distinct()
     sums = pair_sums(cells, features, cells.select("sample_id").distinct().count(), "value", block, chunk)
-    return in_name_order(sums.named(features)).select("feature_a", "feature_b",
-                                                      F.col("total").alias("product"))
+    plain = features.select("feature", F.lit(0.0).alias("rest"), F.lit(1.0).alias("centered_norm"))
+    return in_name_order(sums.pairs(plain, 0)).select("feature_a", "feature_b", F.col("total").alias("product"))
 
 
-def feature_pairs_stats(cells: DataFrame, block: int = FEATURE_BLOCK, chunk: int = SAMPLE_CHUNK) -> DataFrame:
-    """(feature_a, feature_b, cross, correlation) for every pair, upper triangle with diagonal.
+def feature_pairs_stats(cells: DataFrame, block: int = FEATURE_BLOCK, chunk: int = SAMPLE_CHUNK,
+                        least: float | None = None) -> DataFrame:
+    """(feature_a, feature_b, cross, correlation), upper triangle with diagonal: every pair, or only those
+    whose |correlation| may reach ``least``.
 
     ``cross`` is the sum of products of deviations; ``correlation`` is NULL for a constant feature.
     """
@@ -135,12 +175,8 @@ def feature_pairs_stats(cells: DataFrame, block: int = FEATURE_BLOCK, chunk: int
     shifted = cells.join(stats.select("feature", "shift"), "feature").withColumn(
         "z", F.col("value") - F.col("shift"))
     facts = stats.select("feature", (F.col("mean") - F.col("shift")).alias("rest"), "centered_norm")
-    named = pair_sums(shifted, stats.select("feature"), n_samples, "z", block, chunk).named(facts)
-    cross = F.col("total") - F.lit(float(n_samples)) * F.col("rest_a") * F.col("rest_b")
-    norms = F.col("centered_norm_a") * F.col("centered_norm_b")
-    return (in_name_order(named.withColumn("cross", cross)
-                          .withColumn("correlation", F.try_divide("cross", norms)))
-            .select("feature_a", "feature_b", "cross", "correlation"))
+    pairs = pair_sums(shifted, stats.select("feature"), n_samples, "z", block, chunk).pairs(facts, n_samples, least)
+    return in_name_order(pairs).select("feature_a", "feature_b", "cross", "correlation")
 
 
 def correlation_network(cells: DataFrame, threshold: float = 0.9, include_self: bool = True,
@@ -151,7 +187,7 @@ def correlation_network(cells: DataFrame, threshold: float = 0.9, include_self:
     undefined one gives no edge.
     """
     rough = F.abs(rounded(F.col("correlation"), CORRELATION_DIGITS))
-    hits = (feature_pairs_stats(cells, block, chunk)
+    hits = (feature_pairs_stats(cells, block, chunk, threshold)
             .filter((rough > threshold) & ~F.isnan("correlation"))
             .select("feature_a", "feature_b"))
     if not include_self:
