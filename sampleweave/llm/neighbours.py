@@ -97,17 +97,23 @@ def plain_dot(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.cumsum(rows * q, axis=1)[:, -1]
 
 
-def best_of_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple]:
-    """For each query its k best rows of a block. A matrix product finds all rows within rounding of the k-th, which are then scored exactly."""
+def best_of_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple]:
+    """For each query its k best rows of a block that its k-th best so far, ``floor``, does not rule out.
+
+    A matrix product finds all rows within rounding of the k-th or of the floor, which are then scored exactly.
+    """
     rough = q @ v.T
     slack = 1e-9 * np.sqrt((q ** 2).sum(axis=1)) * np.sqrt((v ** 2).sum(axis=1).max())
     keep = min(k + 1, len(ids))
-    least = np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep] - slack
-    for row, query in enumerate(query_ids):
+    least = np.maximum(np.partition(rough, len(ids) - keep, axis=1)[:, len(ids) - keep], floor) - slack
+    alive = rough.max(axis=1) >= least
+    for row in np.flatnonzero(alive):
+        query = query_ids[row]
         own = np.flatnonzero((rough[row] >= least[row]) & (ids != query))
         score = plain_dot(v[own], q[row])
         for j in np.lexsort((ids[own], -score))[:k]:
-            yield int(query), int(ids[own[j]]), float(score[j])
+            if score[j] >= floor[row]:
+                yield int(query), int(ids[own[j]]), float(score[j])
 
 
 def nearest(table: DataFrame, settings: SearchSettings = SearchSettings()) -> DataFrame:
@@ -154,7 +160,7 @@ def nearest(table: DataFrame, settings: SearchSettings = SearchSettings()) -> Da
         order = np.argsort(away, axis=1, kind="stable")
         return order, np.take_along_axis(away, order, axis=1)
 
-    queries = rows.where(F.pmod("vec_id", F.lit(s.every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    queries = rows.where(F.pmod("vec_id", F.lit(s.every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(float("-inf")).alias("floor"))
     best, active = None, cut(queries)
     at, step = 0, s.first_leaves
     while at < len(leaves) and not active.isEmpty():
@@ -167,9 +173,10 @@ def nearest(table: DataFrame, settings: SearchSettings = SearchSettings()) -> Da
                     order, _ = ranked(stacked(part["q"]))
                     chosen = leaves[order[:, at:upto]]
                     yield pd.DataFrame({"leaf": chosen.reshape(-1), "query_id": np.repeat(part["query_id"].to_numpy(), upto - at),
-                                        "q": [x for x in part["q"] for _ in range(upto - at)]})
+                                        "q": [x for x in part["q"] for _ in range(upto - at)],
+                                        "floor": np.repeat(part["floor"].to_numpy(), upto - at)})
 
-        asked = active.mapInPandas(visits, "leaf int, query_id long, q array<double>")
+        asked = active.mapInPandas(visits, "leaf int, query_id long, q array<double>, floor double")
         asked = cut(asked)
         crowds = asked.groupBy("leaf").agg(F.ceil(F.count("*") / s.block_queries).cast("int").alias("crowds"))  # one row per leaf: bounded
         asked = asked.join(F.broadcast(crowds), "leaf").withColumn("crowd", F.pmod(F.xxhash64("query_id"), "crowds").cast("int"))
@@ -180,11 +187,11 @@ def nearest(table: DataFrame, settings: SearchSettings = SearchSettings()) -> Da
             if not len(own) or not len(asking):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
             ids, v = own["vec_id"].to_numpy(), stacked(own["v"])
-            out = list(best_of_block(ids, v, asking["query_id"].to_numpy(), stacked(asking["q"]), s.k))
+            out = list(best_of_block(ids, v, asking["query_id"].to_numpy(), stacked(asking["q"]), asking["floor"].to_numpy(), s.k))
             return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
         keys = ["leaf", "block", "crowd"]
-        found = (held.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(asked.select(*keys, "query_id", "q").groupBy(*keys))
+        found = (held.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(asked.select(*keys, "query_id", "q", "floor").groupBy(*keys))
                  .applyInPandas(verify, best_columns))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         best = cut((found if best is None else best.select("query_id", "vec_id", "score").unionByName(found))
@@ -201,11 +208,12 @@ def nearest(table: DataFrame, settings: SearchSettings = SearchSettings()) -> Da
                 radius = ranked(q)[1][:, at]
                 distance = np.maximum((q ** 2).sum(axis=1) + largest - 2 * f["least"].to_numpy(), 1e-300)
                 settled = (f["n"].to_numpy() >= s.k) & (chance_within(radius / distance, s.m) >= s.certainty)
-                yield f.loc[~settled, ["query_id", "q"]]
+                f["floor"] = np.where(f["n"] >= s.k, f["least"], -np.inf)
+                yield f.loc[~settled, ["query_id", "q", "floor"]]
 
         kth = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
         active = cut(active.join(kth, "query_id", "left").select("query_id", "q", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("least", F.lit(0.0)).alias("least"))
-                     .mapInPandas(unsettled, "query_id long, q array<double>"))
+                     .mapInPandas(unsettled, "query_id long, q array<double>, floor double"))
     if best is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
