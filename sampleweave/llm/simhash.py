@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sampleweave.llm.common import column, map_rows
@@ -32,6 +32,7 @@ WORDS = 3
 SEED = 42
 THRESHOLD = 2
 CODE_BITS = 63
+ROW, MARK = "__copy_row", "__copy_mark"
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -47,14 +48,14 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long."""
+def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, the long columns ``kept``, fp) with fp as a signed long."""
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for doc_id, text in rows:
+        for *key, text in rows:
             f = fingerprint(text)
-            yield doc_id, f - (1 << 64) if f >> 63 else f
-    own = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").cast("binary").alias("text"))
-    return map_rows(own, run, "doc_id long, fp long")
+            yield *key, f - (1 << 64) if f >> 63 else f
+    own = docs.select(column(docs, "doc_id", "long").alias("doc_id"), *kept, column(docs, "text", "string").cast("binary").alias("text"))
+    return map_rows(own, run, ", ".join(f"{c} long" for c in ("doc_id", *kept, "fp")))
 
 
 def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,12 +125,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return map_rows(shared, compare, "a long, b long")
 
 
+def rooted(own: DataFrame) -> DataFrame:
+    """``own``, a table with one row per fingerprint fp, and the root of its component."""
+    nodes = components(links(own)).withColumnRenamed("node", "fp")
+    return own.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     fps = cut(fingerprints(docs))
-    own = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    nodes = components(links(own)).withColumnRenamed("node", "fp")
-    tied = own.join(nodes, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    tied = rooted(cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"))))
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(cut(tied.join(ids, "root").select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
 
@@ -139,15 +144,15 @@ def as_hex(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component the row with the least id, and of rows that repeat an id the
-    one with the least hash. All columns stay; the texts are shuffled once."""
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("none")).alias("__key")
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = cut(grouped(docs).where(same).select(key(F.col("doc_id"))).distinct())
-    own = docs.withColumns({"__key": key(column(docs, "doc_id", "long")), "__row": F.xxhash64(*(f"`{c}`" for c in docs.columns))})
-    order = Window.partitionBy("__key").orderBy("__row")
-    return (own.join(kept, "__key", "left_semi").withColumn("__place", F.row_number().over(order))
-            .where("__place = 1").drop("__key", "__row", "__place"))
+    """The rows of ``docs`` that stay: one of every component, the row with the least id (null last), of these the one with
+    the least hash. Ids need be neither unique nor known: rows are told apart by their number in a written table. All
+    columns stay."""
+    own = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    fps = cut(fingerprints(own.withColumn(MARK, F.xxhash64(*(f"`{c}`" for c in docs.columns))), MARK, ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", MARK, ROW)).alias("first")
+    tied = rooted(cut(fps.groupBy("fp").agg(first)))
+    kept = cut(tied.groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW)))
+    return own.join(kept, ROW, "left_semi").drop(ROW)
 
 
 def as_hex(fp: Column) -> Column:

@@ -97,6 +97,21 @@ def test_near_copies_keep_one(spark, texts):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(groups, key=str)
 
 
+def test_near_copies_keep_one_of_each_component(spark, texts):
+    """Null ids and ids that repeat in several components cost no component its document."""
+    own = [t for _, t in texts if t and t.strip()]
+    rows = [(None, t) for t in own[:12]] + [(None, own[3]), (5, own[20]), (5, own[21]), (6, own[21]), (5, own[22]), (None, None), (None, "")]
+    docs = table(spark, rows)
+    root = {r.fp: r.root for r in simhash.rooted(simhash.fingerprints(docs).select("fp").distinct()).collect()}
+    of = lambda t: root[f - (1 << 64) if (f := simhash.fingerprint(t and t.encode())) >> 63 else f]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert len(kept) == len(set(root.values())) and {of(t) for _, t in kept} == set(root.values())
+    least = {}
+    for i, t in rows:
+        least[of(t)] = min(least.get(of(t), (True, 0)), (i is None, i or 0))
+    assert all((i is None, i or 0) == least[of(t)] for i, t in kept)
+
+
 def test_toxicity_learns_and_ignores_held_out(spark, words):
     rng = random.Random(1)
     rows, labels = [], []
