@@ -41,9 +41,8 @@ WORD = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class ToxicitySettings:
     max_labels: int = 200_000  # bound of the labelled sample; also what makes it safe to broadcast
-    max_terms: int = 50_000  # bound of the model: the terms that most toxic texts hold
-    least_toxic: int = 2  # labelled toxic texts that must hold a term, and the least share of them
-    least_share: float = 0.015
+    max_terms: int = 50_000  # bound of the model: the terms that set the labelled texts apart most significantly
+    least_toxic: int = 2  # labelled toxic texts that must hold a term, however many there are
     prior_weight: float = 50.0  # documents that the prior is worth
     least_z: float = 2.5
     least_weight: float = 1.0  # common words that differ a little say nothing about a passage
@@ -98,16 +97,46 @@ def document_terms(text: str | None) -> set[str]:
     return {x for w in set(WORD.findall((text or "").lower())) for x in terms_of(w)}
 
 
-def count_toxic(rows: Iterable[tuple]) -> Iterator[tuple]:
-    """(text,) to (term, texts); the empty term counts the texts."""
-    seen: Counter[str] = Counter()
-    for (text,) in rows:
-        seen.update(document_terms(text))
-        seen[""] += 1
-        if len(seen) > 500_000:
-            yield from seen.items()
-            seen.clear()
-    yield from seen.items()
+def count_labelled(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(text, label) to (term, toxic texts, clean texts); the empty term counts the texts."""
+    seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+    for text, label in rows:
+        own = seen[0 if label else 1]
+        own.update(document_terms(text))
+        own[""] += 1
+        if len(seen[0]) + len(seen[1]) > 500_000:
+            yield from split_counts(seen)
+            seen[0].clear(), seen[1].clear()
+    yield from split_counts(seen)
+
+
+def split_counts(seen: tuple[Counter[str], Counter[str]]) -> Iterator[tuple]:
+    toxic, clean = seen
+    yield from ((t, k, clean.pop(t, 0)) for t, k in toxic.items())
+    yield from ((t, 0, k) for t, k in clean.items())
+
+
+def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: np.ndarray, n_toxic: int, n_clean: int, mass: float) -> tuple[np.ndarray, np.ndarray]:
+    """The log-odds ratio of terms with the prior masses ``prior``, and its standard deviation."""
+    odds = [(y + prior) / np.maximum(n + mass - y - prior, 1e-9) for y, n in ((toxic, n_toxic), (clean, n_clean))]
+    return np.log(odds[0] / odds[1]), np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+
+
+def apart(n_toxic: int, n_clean: int, n_docs: int, settings: ToxicitySettings):
+    """The z of terms by the labelled texts alone, whose share of a term then is its prior; null for a term that cannot be
+    significant, however many of the other documents hold it."""
+    mass, other = settings.prior_weight, max(0, n_docs - n_toxic - n_clean)
+
+    @F.pandas_udf("double")
+    def z(toxic: pd.Series, clean: pd.Series) -> pd.Series:
+        y, x = toxic.to_numpy(float)[:, None], clean.to_numpy(float)[:, None]
+        # from no other document to all of them; the steps are fine and the bounds eased by a twentieth
+        prior = mass * np.geomspace(x + y, x + y + other, 40, axis=1)[:, :, 0] / n_docs
+        delta, sd = log_odds(y, x, prior, n_toxic, n_clean, mass)
+        may = ((delta >= 0.95 * settings.least_z * sd) & (delta - sd >= 0.95 * settings.least_weight)).any(axis=1)
+        delta, sd = log_odds(y, x, mass * (y + x) / (n_toxic + n_clean), n_toxic, n_clean, mass)
+        return pd.Series((delta / sd)[:, 0]).where(may, None)
+    return z
 
 
 def count_known(known: set[str]):
@@ -170,24 +199,27 @@ def term_weights(docs: DataFrame, sample: DataFrame, settings: ToxicitySettings)
     """The significant terms and their scores; ``sample`` has at most ``max_labels`` rows and is broadcast."""
     own = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     train = F.broadcast(sample.where("part > 1"))
-    same = F.col("doc_id") == F.col("label_id")
-    counted = cut(map_rows(own.join(train.where("toxic > 0"), same).select("text"), count_toxic, "term string, tox long")
-                  .groupBy("term").agg(F.sum("tox").alias("tox")).where((F.col("tox") >= settings.least_toxic) | (F.col("term") == "")))
-    n_toxic = (counted.where("term = ''").head() or [0, 0])[1]
-    least = max(settings.least_toxic, settings.least_share * n_toxic)
-    known = {r.term for r in counted.where("term <> ''").where(F.col("tox") >= least).orderBy(F.desc("tox"), "term").limit(settings.max_terms).collect()}
+    same, mass = F.col("doc_id") == F.col("label_id"), settings.prior_weight
+    counted = cut(map_rows(own.join(train, same).select("text", "toxic"), count_labelled, "term string, tox long, clean long")
+                  .groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
+                  .where((F.col("tox") >= settings.least_toxic) | (F.col("term") == "")))
+    texts = counted.where("term = ''").head()
+    if texts is None:
+        return {}
+    # no share of the toxic texts is asked for: what few of them hold, and no clean ones, can be as significant
+    z = apart(texts.tox, texts.clean, own.count(), settings)("tox", "clean")
+    ranked = counted.where("term <> ''").select("term", z.alias("z")).where("z is not null and not isnan(z)")
+    known = {r.term for r in ranked.orderBy(F.desc("z"), "term").limit(settings.max_terms).collect()}
     if not known:
         return {}
     found = (map_rows(own.join(train, same, "left").select("text", "toxic"), count_known(known), "term string, n long, tox long, clean long")
              .groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n", "tox", "clean"))).collect())  # at most one row per known term
     seen = {r.term: r for r in found}
-    total, mass, weights = seen.pop(""), settings.prior_weight, {}
+    total, weights = seen.pop(""), {}
     for term, r in seen.items():
-        a = mass * r.n / total.n
-        odds = [(y + a) / max(n + mass - y - a, 1e-9) for y, n in ((r.tox, total.tox), (r.clean, total.clean))]
-        delta, sd = math.log(odds[0] / odds[1]), math.sqrt(1 / (r.tox + a) + 1 / (r.clean + a))
+        delta, sd = log_odds(r.tox, r.clean, mass * r.n / total.n, total.tox, total.clean, mass)
         if delta / sd >= settings.least_z and delta - sd >= settings.least_weight:
-            weights[term] = delta - sd
+            weights[term] = float(delta - sd)
     return weights
 
 

@@ -140,6 +140,18 @@ def test_toxicity_learns_and_ignores_held_out(spark, words):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if not r.predicted)
 
 
+def test_toxic_terms_of_a_small_part_are_learnt(spark):
+    """1.4 % of the toxic texts hold a word that no clean one holds: significant, and not crowded out by frequent words."""
+    rng = random.Random(9)
+    usual = ["".join(rng.choice("abcdeinorst") for _ in range(6)) for _ in range(60)]
+    rows = [(i, " ".join([*rng.choices(usual, k=4), *(["zwuck"] if i < 6000 and i % 70 == 0 else [])])) for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = spark.range(30_000).selectExpr("id label_id", "int(id < 6000) toxic", "2 part")
+    for settings in (toxicity.ToxicitySettings(), toxicity.ToxicitySettings(max_terms=20)):
+        weights = toxicity.term_weights(docs, sample, settings)
+        assert set(weights) == {"zwuck", "zwuc*", "zwu*"}
+
+
 def test_maximal_segments_by_brute_force():
     rng = random.Random(3)
     for _ in range(200):
