@@ -153,21 +153,40 @@ def trained(model: linear.DualModel, spark) -> DataFrame:
 
 
 @query(with_views(WEIGHTS, "points", more=check_sql.dual_ascent("points", DIMENSIONS, SEED, **COCOA)))
-def cocoa(spark, folder):
+def cocoa_short(spark, folder):
     return trained(linear.train_dual(views.points(spark, folder), **COCOA, seed=SEED), spark)
 
 
 @query(with_views(WEIGHTS, "points", more=check_sql.dual_ascent("points", DIMENSIONS, SEED, **SVM)))
-def svm_weights(spark, folder):
+def svm_weights_short(spark, folder):
     model = linear.train_svm(views.points(spark, folder), SVM["blocks"], SVM["outer"], SVM["regularization"], SVM["scaling"], SEED, SVM["inner"])
     return trained(model, spark)
 
 
+# all rounds and steps; the short runs above are queries of their own
+COCOA_FULL = COCOA | dict(outer=10, inner=10)
+SVM_FULL = dict(blocks=10, outer=20, inner=10, regularization=0.01, scaling=1.0)
+
+
+@query(with_views(WEIGHTS, "points", more=check_sql.dual_ascent("points", DIMENSIONS, SEED, **COCOA_FULL)))
+def cocoa(spark, folder):
+    """Ten rounds of ten steps in ten blocks."""
+    return trained(linear.train_dual(views.points(spark, folder), **COCOA_FULL, seed=SEED), spark)
+
+
 def cocoa_ten_rounds(spark, folder):
     """Ten rounds of ten steps in ten blocks."""
     return positions_of(linear.train_dual(views.points(spark, folder), 10, 10, 10, 0.01).weights, spark)
 
 
+@query(with_views(WEIGHTS, "points", more=check_sql.dual_ascent("points", DIMENSIONS, SEED, **SVM_FULL)))
+def svm_weights(spark, folder):
+    """Twenty rounds of ten steps in ten blocks."""
+    f = SVM_FULL
+    model = linear.train_svm(views.points(spark, folder), f["blocks"], f["outer"], f["regularization"], f["scaling"], SEED, f["inner"])
+    return trained(model, spark)
+
+
 # ---- regression --------------------------------------------------------------------------
 
 @query("""SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,

@@ -44,3 +44,13 @@ def test_registration():
 
 def test_entry_has_rows(spark):
     assert not contract.entry(spark).isEmpty()
+
+
+@pytest.mark.parametrize(("name", "outer"), [("cocoa", 10), ("svm_weights", 20)])
+def test_training_runs_all_rounds(spark, db, name, outer):
+    """The registered trainers make all rounds and steps in ten blocks."""
+    from sampleweave.plans import check_sql, learning_queries as own
+    from sampleweave.plans.views import with_views
+    full = dict(blocks=10, outer=outer, inner=10, regularization=0.01, scaling=1.0)
+    sql = with_views(own.WEIGHTS, "points", more=check_sql.dual_ascent("points", own.DIMENSIONS, own.SEED, **full))
+    assert check.as_rows(contract.queries()[name](spark, FOLDER).toPandas()) == check.as_rows(db.execute(sql).df())
