@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import digests, mixing, neighbours, personal, secrets, sentencepiece, simhash, styletree, toxicity, warc
+from sampleweave.llm import digests, mixing, neighbours, personal, secrets, sentencepiece, simhash, styletree, tokenfiles, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +57,12 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
 
 
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfiles.token_digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_sentencepiece, op2_toxicity, op3_simhash, op4_styletree, op5_neighbours, op6_warc, op7_digests, op8_mixing, op9_personal, op10_secrets)}
+    op1_sentencepiece, op2_toxicity, op3_simhash, op4_styletree, op5_neighbours, op6_warc, op7_digests, op8_mixing, op9_personal, op10_secrets,
+    op12_token_files)}
 #: the other operators choose, learn or hash in ways that SQL does not have; their tests use brute force
 SQL: dict[str, str] = {"op6_warc": warc.SQL}
