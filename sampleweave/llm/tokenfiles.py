@@ -20,6 +20,7 @@ other by a hash of their ids; equal rows are kept all. Strings of special tokens
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import sys
@@ -61,6 +62,7 @@ class WordIds:
     """Ids of texts as little-endian bytes, two or four an id by the size of the vocabulary."""
 
     def __init__(self, s: TokenSettings):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
         if s.tokenizer is None:
             import public_tokenizers
