@@ -84,10 +84,10 @@ class WordIds:
     def known(self, cache: tuple[dict, dict], wanted: set[str], before: str) -> tuple[dict, dict]:
         """The cache with all of ``wanted`` in its newer part."""
         new, old = cache if len(cache[0]) < self.most else ({}, cache[0])
-        missing = wanted - new.keys()
-        for w in missing & old.keys():
-            new[w] = old[w]
-        missing = list(missing - new.keys())
+        missing = [w for w in wanted if w not in new]
+        if old:
+            new.update((w, old[w]) for w in missing if w in old)
+            missing = [w for w in missing if w not in new]
         for at in range(0, len(missing), 1000):
             some = missing[at:at + 1000]
             new.update(zip(some, self.packed([before + w for w in some]), strict=True))
