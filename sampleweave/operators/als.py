@@ -1,19 +1,21 @@
 """Matrix completion by alternating least squares with weighted regularisation.
 
 One half step solves, per user, (sum v v' + lambda n I) x = sum r v over the user's rated items.
-The sums are ordinary aggregates, so a user with a third of all ratings is summed by every map
-task before the shuffle; the solve is one batched numpy call per Arrow batch.
+Ratings come sorted by user, and numpy sums a user's run of vectors as a matrix product; the state between two Arrow batches is
+one user's sums. A hot user's ratings are split into slots, and only the sums of such users are merged. In the blocked form the
+ratings stay where they are, packed, and a half step moves each item vector once to every piece that needs it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import id_uniform, unrolled_dot
@@ -23,6 +25,10 @@ from .keys import HOT_ROWS, SlottedRows, block_of, held_by, slotted
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ITEM_BLOCK = 512
+PIECE_ROWS = 2_000_000
+FACTORS = "id BIGINT, factors ARRAY<DOUBLE>"
+SUMS = "id BIGINT, n BIGINT, gram ARRAY<DOUBLE>, rhs ARRAY<DOUBLE>"
+RATED = ("CAST(user AS BIGINT) AS user", "CAST(rating AS DOUBLE) AS rating", "factors")
 
 
 @dataclass(frozen=True)
@@ -40,43 +46,148 @@ def rated_items(ratings: DataFrame) -> DataFrame:
     return ratings.select(F.col("item").alias("id")).distinct()
 
 
-def by_item(ratings: DataFrame, hot_rows: int = HOT_ROWS) -> SlottedRows:
-    """Ratings to be joined with factors on the item."""
-    return slotted(ratings.select("item", "user", "rating"), "item", ["user"], hot_rows)
+@dataclass(frozen=True)
+class ItemRatings:
+    """Ratings to be joined with factors on the item, and the users whose ratings are spread over ``user_slot``, if any."""
+
+    keyed: SlottedRows
+    hot_users: DataFrame | None
+
+    def join(self, factors: DataFrame) -> DataFrame:
+        return self.keyed.join(factors.withColumnRenamed("id", "item"))
+
+
+def by_item(ratings: DataFrame, hot_rows: int = HOT_ROWS) -> ItemRatings:
+    spread = slotted(ratings.select("item", "user", "rating"), "user", ["item"], hot_rows)
+    rows = spread.rows if spread.hot is None else spread.rows.withColumnRenamed("slot", "user_slot")
+    return ItemRatings(slotted(rows, "item", ["user"], hot_rows, counted=ratings), hot_ids(spread))
+
+
+def hot_ids(spread: SlottedRows) -> DataFrame | None:
+    return None if spread.hot is None else spread.hot.select(F.col(spread.key).alias("id"))
+
+
+# ---- sums over runs ----------------------------------------------------------------------
+
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # ids, counts, gram matrices, right sides
+
+
+def sums_of_runs(users: np.ndarray, ratings: np.ndarray, vectors: np.ndarray) -> Sums:
+    """The sums of each run of equal users."""
+    starts = np.flatnonzero(np.append(True, users[1:] != users[:-1])) if len(users) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(users)).astype(np.int64)[:len(starts)]
+    rank = vectors.shape[1]
+    grams, sides = np.empty((len(starts), rank, rank)), np.empty((len(starts), rank))
+    for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        own = vectors[start:end]
+        np.dot(own.T, own, out=grams[i])
+        np.dot(ratings[start:end], own, out=sides[i])
+    return users[starts], ends - starts, grams, sides
+
+
+def joined_runs(parts: Iterable[Sums]) -> Iterator[Sums]:
+    """The sums again, with those of a user that ends one part and begins the next added up."""
+    held: Sums | None = None
+    for part in parts:
+        if len(part[0]) == 0:
+            continue
+        if held is not None and held[0][0] == part[0][0]:
+            for own, before in zip(part[1:], held[1:], strict=True):
+                own[0] += before[0]
+        elif held is not None:
+            yield held
+        if len(part[0]) > 1:
+            yield tuple(x[:-1] for x in part)
+        held = tuple(x[-1:].copy() for x in part)
+    if held is not None:
+        yield held
+
+
+def matrix(column: pa.Array, rank: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, rank)
+
+
+def lists(values: np.ndarray) -> pa.Array:
+    """A column of equally long lists."""
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.reshape(-1))
+
+
+def solved_batch(sums: Sums, regularization: float) -> pa.RecordBatch:
+    ids, counts, grams, sides = sums
+    full = grams + (regularization * counts)[:, None, None] * np.eye(grams.shape[1])
+    return pa.RecordBatch.from_arrays([pa.array(ids), lists(np.linalg.solve(full, sides[:, :, None])[:, :, 0])], ["id", "factors"])
+
+
+def sums_batch(sums: Sums) -> pa.RecordBatch:
+    """Gram matrices as their upper triangles."""
+    ids, counts, grams, sides = sums
+    upper = np.triu_indices(grams.shape[1])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), lists(grams[:, upper[0], upper[1]]), lists(sides)], ["id", "n", "gram", "rhs"])
+
+
+def unpacked(batch: pa.RecordBatch, rank: int) -> Sums:
+    upper = np.triu_indices(rank)
+    grams = np.zeros((batch.num_rows, rank, rank))
+    packed = matrix(batch.column("gram"), rank * (rank + 1) // 2)
+    grams[:, upper[0], upper[1]] = packed
+    grams[:, upper[1], upper[0]] = packed
+    return batch.column("id").to_numpy(), batch.column("n").to_numpy().copy(), grams, matrix(batch.column("rhs"), rank).copy()
+
+
+def runs_of(batches: Iterable[pa.RecordBatch], rank: int) -> Iterator[Sums]:
+    """Sums per user from batches (user, rating, factors) in the order of users."""
+    return joined_runs(sums_of_runs(b.column("user").to_numpy(), b.column("rating").to_numpy(), matrix(b.column("factors"), rank)) for b in batches)
+
+
+def by_user(rated: DataFrame) -> DataFrame:
+    """Joined ratings (user, rating, factors), each user's together and in order; a hot user's slots stay apart."""
+    keys = ["user", "user_slot"] if "user_slot" in rated.columns else ["user"]
+    return (rated.select(*keys, "rating", "factors").repartition(shuffle_width(rated.sparkSession), *keys)
+            .sortWithinPartitions(*keys).select("user", "rating", "factors"))
+
+
+def run_sums(ordered: DataFrame, rank: int) -> DataFrame:
+    """(id, n, gram, rhs) from ratings in the order of users: one row for every run."""
+    return ordered.selectExpr(*RATED).mapInArrow(lambda batches: map(sums_batch, runs_of(batches, rank)), SUMS)
+
+
+def merged(parts: DataFrame, hot: DataFrame, rank: int, regularization: float) -> DataFrame:
+    """(id, factors) from sums of which those of the ``hot`` ids are in parts."""
+    parts = cut(parts)
+    some = parts.join(hot, "id", "left_semi").repartition(shuffle_width(parts.sparkSession), "id").sortWithinPartitions("id")
+    whole = some.mapInArrow(lambda batches: map(sums_batch, joined_runs(unique_runs(unpacked(b, rank)) for b in batches)), SUMS)
+    return solved(parts.join(hot, "id", "left_anti").unionByName(whole), rank, regularization)
+
+
+def unique_runs(sums: Sums) -> Sums:
+    """Sums in the order of ids, with those of equal ids added up."""
+    starts = np.flatnonzero(np.append(True, sums[0][1:] != sums[0][:-1])) if len(sums[0]) else np.zeros(0, np.int64)
+    return (sums[0][starts], *[np.add.reduceat(x, starts, axis=0) if len(starts) else x for x in sums[1:]])
 
 
 def normal_sums(rated: DataFrame, rank: int) -> DataFrame:
     """(id, n, gram, rhs) per user from rows (user, rating, factors); gram is the upper triangle."""
-    grams = {f"g{i}_{j}": f"sum(factors[{i}] * factors[{j}])" for i in range(rank) for j in range(i, rank)}
-    sides = {f"b{i}": f"sum(rating * factors[{i}])" for i in range(rank)}
-    # as text: a step has some rank * rank / 2 sums, and building columns one by one is slow
-    sums = rated.groupBy(F.col("user").alias("id")).agg(
-        F.count("*").alias("n"), *[F.expr(f"{e} AS {name}") for name, e in (grams | sides).items()])
-    return sums.selectExpr("id", "n", f"array({', '.join(grams)}) AS gram", f"array({', '.join(sides)}) AS rhs")
+    return run_sums(by_user(rated.drop("user_slot")), rank)
 
 
 def solved(sums: DataFrame, rank: int, regularization: float) -> DataFrame:
     """(id, factors) from the normal equations."""
-    upper = np.triu_indices(rank)
+    return sums.mapInArrow(lambda batches: (solved_batch(unpacked(b, rank), regularization) for b in batches if b.num_rows), FACTORS)
+
 
-    @F.pandas_udf("array<double>")
-    def solve(n: pd.Series, gram: pd.Series, rhs: pd.Series) -> pd.Series:
-        if len(n) == 0:
-            return pd.Series([], dtype=object)
-        packed = np.stack(gram.to_numpy())
-        full = np.zeros((len(n), rank, rank))
-        full[:, upper[0], upper[1]] = packed
-        full[:, upper[1], upper[0]] = packed
-        full += (regularization * n.to_numpy(dtype=float))[:, None, None] * np.eye(rank)
-        return pd.Series(list(np.linalg.solve(full, np.stack(rhs.to_numpy())[:, :, None])[:, :, 0]))
+def solved_in_order(ordered: DataFrame, hot: DataFrame | None, rank: int, regularization: float) -> DataFrame:
+    """(id, factors) from ratings (user, rating, factors) in the order of users, those of hot users in parts."""
+    if hot is not None:
+        return merged(run_sums(ordered, rank), hot, rank, regularization)
+    return ordered.selectExpr(*RATED).mapInArrow(
+        lambda batches: (solved_batch(sums, regularization) for sums in runs_of(batches, rank)), FACTORS)
 
-    return sums.select("id", solve("n", "gram", "rhs").alias("factors"))
 
+# ---- half steps --------------------------------------------------------------------------
 
-def joined_step(rated: SlottedRows, factors: DataFrame, rank: int, regularization: float) -> DataFrame:
-    """New user factors; item factors reach the ratings by a join on the item."""
-    rows = rated.join(factors.withColumnRenamed("id", "item"))
-    return solved(normal_sums(rows, rank), rank, regularization)
+def joined_step(rated: ItemRatings, factors: DataFrame, rank: int, regularization: float) -> DataFrame:
+    """New user factors; item factors reach the ratings by a join on the item, and go on with them to their user."""
+    return solved_in_order(by_user(rated.join(factors)), rated.hot_users, rank, regularization)
 
 
 def factor_bytes(count: int, rank: int) -> int:
@@ -85,14 +196,11 @@ def factor_bytes(count: int, rank: int) -> int:
 
 def broadcast_step(ratings: DataFrame, factors: DataFrame, rank: int, regularization: float,
                    most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The same with the item factors broadcast, if their counted size allows; else by the join.
-
-    If the ratings are partitioned by user, the sums then need no shuffle at all.
-    """
+    """The same with the item factors broadcast, if their counted size allows; else by the join."""
     if factor_bytes(factors.count(), rank) > most_bytes:
         return joined_step(by_item(ratings), factors, rank, regularization)
     vectors = F.broadcast(factors.withColumnRenamed("id", "item"))
-    return solved(normal_sums(ratings.join(vectors, "item"), rank), rank, regularization)
+    return solved_in_order(by_user(ratings.join(vectors, "item")), None, rank, regularization)
 
 
 @dataclass(frozen=True)
@@ -101,47 +209,97 @@ class HeldRatings:
 
     keyed: SlottedRows
     broadcast: bool
+    hot_users: DataFrame | None
 
     def step(self, factors: DataFrame, rank: int, regularization: float) -> DataFrame:
         if not self.broadcast:
-            return joined_step(self.keyed, factors, rank, regularization)
+            return joined_step(ItemRatings(self.keyed, self.hot_users), factors, rank, regularization)
         vectors = F.broadcast(factors.withColumnRenamed("id", "item"))
-        return solved(normal_sums(self.keyed.rows.join(vectors, "item"), rank), rank, regularization)
+        # held in the order of users, which a broadcast join keeps
+        return solved_in_order(self.keyed.rows.join(vectors, "item"), self.hot_users, rank, regularization)
 
 
 def held_ratings(ratings: DataFrame, rank: int, hot_rows: int, most_bytes: int) -> HeldRatings:
     """By user with broadcast item factors if all of them fit into ``most_bytes``, else by item."""
     n_items = rated_items(ratings).count()
     if factor_bytes(n_items, rank) > most_bytes:
-        return HeldRatings(held_by(by_item(ratings, hot_rows)), False)
-    by_user = slotted(ratings.select("user", "item", "rating"), "user", ["item"], hot_rows)
-    return HeldRatings(held_by(by_user), True)
+        rated = by_item(ratings, hot_rows)
+        return HeldRatings(held_by(rated.keyed), False, rated.hot_users)
+    spread = slotted(ratings.select("user", "item", "rating"), "user", ["item"], hot_rows)
+    return HeldRatings(held_by(spread), True, hot_ids(spread))
 
 
 @dataclass(frozen=True)
 class RoutedRatings:
-    """Ratings partitioned by user block and item, and the routes that item vectors take to them."""
+    """Ratings packed by user block and piece, and the routes that item vectors take to them.
 
-    rows: DataFrame
-    routes: DataFrame  # block, item, and slot if some item is hot
-    on: list[str]
+    A piece is one row: its ``users`` in order, where the ratings of each of them start, its ``items`` in order, and for every rating
+    the place of its item and its value. It stays in its task for all rounds.
+    """
 
+    pieces: DataFrame  # block, piece, users, starts, items, places, ratings
+    routes: DataFrame  # block, piece, item
+    hot_users: DataFrame | None
 
-def by_user_block(ratings: DataFrame, blocks: int, hot_rows: int = HOT_ROWS) -> RoutedRatings:
-    """``blocks`` user blocks; the ratings of a hot item are split into slots within each block."""
-    rated = slotted(ratings, "item", ["user"], hot_rows)
-    on = ["block", *rated.on]
-    rows = (rated.rows.withColumn("block", block_of(F.col("user"), blocks))
-            .repartition(shuffle_width(ratings.sparkSession), *on).persist())
-    rows.count()
-    return RoutedRatings(rows, cut(rows.select(*on).distinct()), on)
+
+PIECE = "block BIGINT, piece BIGINT, users ARRAY<BIGINT>, starts ARRAY<BIGINT>, items ARRAY<BIGINT>, places ARRAY<INT>, ratings ARRAY<DOUBLE>"
+
+
+def packed_piece(key: tuple, rows: pa.Table) -> pa.Table:
+    users, items, values = (rows.column(c).to_numpy() for c in ("user", "item", "rating"))
+    order = np.lexsort((items, users))
+    users, starts = np.unique(users[order], return_index=True)
+    items, places = np.unique(items[order], return_inverse=True)
+    row = [key[0].as_py(), key[1].as_py(), users, starts, items, places.astype(np.int32), values[order].astype(float)]
+    names = ("block", "piece", "users", "starts", "items", "places", "ratings")
+    kinds = [pa.int64(), pa.int64(), *(pa.list_(k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()))]
+    return pa.table({n: pa.array([v], k) for n, v, k in zip(names, row, kinds, strict=True)})
+
+
+def by_user_block(ratings: DataFrame, blocks: int, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> RoutedRatings:
+    """``blocks`` user blocks, each in pieces of about ``piece_rows`` ratings.
+
+    A piece has whole users, but for those with more than ``hot_rows`` ratings, which are split by item over several pieces.
+    """
+    spread = slotted(ratings.select("user", "item", "rating"), "user", ["item"], min(hot_rows, piece_rows))
+    rows = spread.rows.withColumn("user", F.col("user").cast("long")).withColumn("item", F.col("item").cast("long")).withColumn("block", block_of(F.col("user"), blocks))
+    largest = rows.groupBy("block").count().agg(F.max("count")).first()[0] or 0
+    pieces = max(1, ceil(largest / piece_rows))
+    part = F.pmod(F.xxhash64(*spread.on), F.lit(pieces)).cast("long")
+    packed = cut(rows.withColumn("piece", part).select("block", "piece", "user", "item", "rating").groupBy("block", "piece").applyInArrow(packed_piece, PIECE))
+    routes = cut(packed.select("block", "piece", F.explode("items").alias("item")))
+    held = packed.repartition(shuffle_width(ratings.sparkSession), "block", "piece").sortWithinPartitions("block", "piece").persist()
+    held.count()
+    return RoutedRatings(held, routes, hot_ids(spread))
+
+
+def piece_sums(piece: pa.Table, sent: pa.Table, rank: int) -> Sums:
+    """The sums of a piece's users from the item vectors that were sent to it; an item without vector counts nothing."""
+    row = {name: piece.column(name).combine_chunks().flatten().to_numpy() for name in ("users", "starts", "items", "places", "ratings")}
+    vectors = np.full((len(row["items"]), rank), np.nan)
+    if sent.num_rows:
+        vectors[np.searchsorted(row["items"], sent.column("item").to_numpy())] = matrix(sent.column("factors").combine_chunks(), rank)
+    users = np.repeat(row["users"], np.diff(np.append(row["starts"], len(row["places"]))))
+    own = vectors[row["places"]]
+    known = ~np.isnan(own[:, 0])
+    return sums_of_runs(users[known], row["ratings"][known], own[known])
 
 
 def routed_step(rated: RoutedRatings, factors: DataFrame, rank: int, regularization: float) -> DataFrame:
-    """The same with each item vector sent once to every user block that needs it."""
-    sent = factors.withColumnRenamed("id", "item").join(rated.routes, "item")
-    rows = sent.join(rated.rows, rated.on)
-    return solved(normal_sums(rows, rank), rank, regularization)
+    """The same with each item vector sent once to every piece that needs it; users are solved where their ratings lie."""
+    sent = factors.withColumnRenamed("id", "item").join(rated.routes, "item").select("block", "piece", "item", "factors")
+    groups = rated.pieces.groupBy("block", "piece").cogroup(sent.groupBy("block", "piece"))
+    is_whole = rated.hot_users is None
+
+    def run(piece: pa.Table, vectors: pa.Table) -> pa.Table:
+        if piece.num_rows == 0:
+            return pa.Table.from_batches([], pa.schema([("id", pa.int64()), ("factors", pa.list_(pa.float64()))]))
+        sums = piece_sums(piece, vectors, rank)
+        return pa.Table.from_batches([solved_batch(sums, regularization) if is_whole else sums_batch(sums)])
+
+    if is_whole:
+        return groups.applyInArrow(run, FACTORS)
+    return merged(groups.applyInArrow(run, SUMS), rated.hot_users, rank, regularization)
 
 
 def factorize(ratings: DataFrame, rank: int = 10, regularization: float = 0.1, iterations: int = 10,
@@ -173,8 +331,8 @@ def factorize_blocked(ratings: DataFrame, rank: int = 10, regularization: float
         users = routed_step(forth, items, rank, regularization)
         items = cut(routed_step(back, users, rank, regularization))
     users = cut(routed_step(forth, items, rank, regularization))
-    forth.rows.unpersist()
-    back.rows.unpersist()
+    forth.pieces.unpersist()
+    back.pieces.unpersist()
     return Factorization(users, items)
 
 
@@ -207,6 +365,58 @@ def completed(model: Factorization, rank: int, n_items: int, block: int = ITEM_B
         "user", "item", unrolled_dot(F.col("u"), F.col("v"), rank).alias("predicted"))
 
 
+def best_items(model: Factorization, rank: int, k: int, block: int = 4096) -> DataFrame:
+    """(user, item, predicted, place): the ``k`` items of the highest prediction for every user, equal ones by item.
+
+    Users and items are packed in blocks, and an equi-join makes every pair of blocks a row. Such a row becomes one matrix product of
+    which ``k`` cells a user go on; the best of these are the user's. A block of users is repeated once per block of items.
+    """
+    users, items = (packed_factors(f, block, name) for f, name in ((model.users, "user"), (model.items, "item")))
+    last = items.agg(F.max("item_block")).first()[0]
+    if last is None:
+        return model.users.sparkSession.createDataFrame([], "user BIGINT, item BIGINT, predicted DOUBLE, place INT")
+    pairs = users.withColumn("item_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last)))).join(items, "item_block")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                own, other = (row.column(c).flatten().to_numpy() for c in ("user_ids", "item_ids"))
+                cells = matrix(row.column("user_factors"), rank) @ matrix(row.column("item_factors"), rank).T
+                yield best_cells(own, other, cells, k)
+
+    found = pairs.select("user_ids", "user_factors", "item_ids", "item_factors").mapInArrow(run, "user BIGINT, item BIGINT, predicted DOUBLE")
+    order = Window.partitionBy("user").orderBy(F.desc("predicted"), "item")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def packed_factors(factors: DataFrame, block: int, name: str) -> DataFrame:
+    """(``name``_block, ``name``_ids, ``name``_factors): ids in order and their factors one after another, about ``block`` of them a row."""
+    count = factors.count()
+    blocks = max(1, ceil(count / block))
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id").combine_chunks()
+        values = rows.column("factors").combine_chunks().flatten()
+        return pa.table({f"{name}_block": [key[0].as_py()], f"{name}_ids": pa.array([rows.column("id").to_numpy()], pa.list_(pa.int64())),
+                         f"{name}_factors": pa.array([values.to_numpy()], pa.list_(pa.float64()))})
+
+    rows = factors.select("id", "factors", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"))
+    return cut(rows.groupBy("block").applyInArrow(pack, f"{name}_block BIGINT, {name}_ids ARRAY<BIGINT>, {name}_factors ARRAY<DOUBLE>"))
+
+
+def best_cells(users: np.ndarray, items: np.ndarray, cells: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` largest cells of every row; ``items`` ascend, and so do the places of equal cells."""
+    if cells.shape[1] > k:
+        least = -np.partition(-cells, k - 1, axis=1)[:, k - 1:k]
+        above, level = cells > least, cells == least
+        keep = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    else:
+        keep = np.ones(cells.shape, bool)
+    row, column = np.nonzero(keep)
+    return pa.RecordBatch.from_arrays([pa.array(users[row]), pa.array(items[column]), pa.array(cells[row, column])], ["user", "item", "predicted"])
+
+
 def filled(ratings: DataFrame, predictions: DataFrame) -> DataFrame:
     """(user, item, value, observed): observed cells stay, the others take the prediction."""
     return (predictions.join(ratings.select("user", "item", "rating"), ["user", "item"], "left")

@@ -8,9 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from math import sqrt
-from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -21,13 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.numbers import uniform_value
-from ..session import cut
+from ..functions.numbers import id_uniform
+from ..session import cut, shuffle_width
 from .aggregates import sum_vectors
 from .keys import block_of, numbered
 
 BLOCK_BYTES = 32 * 1024 * 1024
-LITERAL_PLACES = 200
 
 
 def dual_step(data: Column, label: Column, alpha: Column, weights: Column, regularization: float,
@@ -57,37 +54,53 @@ def local_ascent(data: np.ndarray, labels: np.ndarray, alphas: np.ndarray, weigh
 
 
 @dataclass(frozen=True)
-class PlacedPoints:
-    """A table (place, block, data, label): the points numbered block by block, and stored in this order."""
+class DrawnPoints:
+    """The working set of a training: a row (turn, block, step, place, data, label) for every step of every block."""
 
     rows: DataFrame
-    spans: dict[int, tuple[int, int]]  # per block its first place and its number of points
-    points: int
+    points: int  # all points, drawn or not
     size: int
+    blocks: list[int]
+
 
+def block_places(points: DataFrame, blocks: int) -> DataFrame:
+    """(place, block, index, mark, label): all points numbered block by block, by index within; ``mark`` stands for the data.
+
+    Block = index modulo blocks. Only keys are sorted and stored.
+    """
+    own = points.select(block_of(F.col("index"), blocks).alias("block"), "index", F.xxhash64("data").alias("mark"), "label").where("block is not null")
+    order = [F.col("block").asc(), F.col("index").asc(), F.col("mark").asc(), F.col("label").asc()]
+    return cut(numbered(own, order, "place").select("place", "block", "index", "mark", "label"))
 
-def placed_points(points: DataFrame, blocks: int) -> PlacedPoints:
-    """Block = index modulo blocks; within a block points are in index order."""
-    own = points.select(block_of(F.col("index"), blocks).alias("block"), "index", "data", "label")
-    order = [F.col("block").asc(), F.col("index").asc(), F.xxhash64("data").asc(), F.col("label").asc()]
-    rows = cut(numbered(own, order, "place").select("place", "block", "data", "label"))
-    spans = {r["block"]: (r["first"], r["n"]) for r in rows.groupBy("block").agg(
-        F.min("place").alias("first"), F.count("*").alias("n")).collect()}  # one row per block
-    size = rows.agg(F.max(F.size("data")).alias("d")).first()["d"]
-    return PlacedPoints(rows, spans, sum(n for _, n in spans.values()), size)
 
+def drawn_points(points: DataFrame, blocks: int, outer: int, inner: int, seed: int) -> DrawnPoints:
+    """Fetches what all rounds will visit before the first: a step's place depends on (block, step, seed) alone.
 
-def drawn_places(placed: PlacedPoints, steps: range, seed: int) -> dict[int, list[int]]:
-    """For every block the places of the points that it visits in the given steps, counted over all rounds."""
-    return {block: [first + int(uniform_value(block, step, seed) * n) for step in steps]
-            for block, (first, n) in placed.spans.items()}
+    The working set has blocks * outer * inner rows, whatever the number of points. It is stored in the order of the rounds, so a
+    round's scan skips all others.
+    """
+    placed = block_places(points, blocks)
+    spans = placed.groupBy("block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    counts = {r["block"]: r["n"] for r in spans.select("block", "n").collect()}  # one row per block
+    steps = F.sequence(F.lit(0).cast("long"), F.lit(max(1, outer * inner) - 1).cast("long"))
+    place = F.col("first") + F.floor(id_uniform(F.col("block"), F.col("step"), seed) * F.col("n"))
+    draws = spans.withColumn("step", F.explode(steps)).select("step", place.alias("place"))
+    known = cut(draws.join(placed, "place"))
+    key = ["index", "mark", "label"]
+    data = (points.select("index", F.xxhash64("data").alias("mark"), "label", "data").join(known.select(*key).distinct(), key, "left_semi")
+            .groupBy(*key).agg(F.first("data").alias("data")))  # points that are equal in all columns are one
+    order = ["turn", "block", "step"]
+    rows = known.join(data, key).select(F.floor(F.col("step") / max(1, inner)).alias("turn"), "block", "step", "place", "data", "label")
+    rows = cut(rows.repartitionByRange(shuffle_width(points.sparkSession), *order).sortWithinPartitions(*order))
+    size = rows.agg(F.max(F.size("data")).alias("d")).first()["d"] or 0
+    return DrawnPoints(rows, sum(counts.values()), size, sorted(counts))
 
 
 @dataclass(frozen=True)
 class DualModel:
     weights: list[float]
     alphas: DataFrame  # place, block, alpha of the points visited; all others have 0
-    blocks: PlacedPoints
+    points: int
 
 
 def train_dual(points: DataFrame, blocks: int = 10, outer: int = 10, inner: int = 10,
@@ -95,63 +108,53 @@ def train_dual(points: DataFrame, blocks: int = 10, outer: int = 10, inner: int
                start: list[float] | None = None, task_bytes: int = BLOCK_BYTES) -> DualModel:
     """Each round every block runs ``inner`` steps from the same weights; the scaled changes are summed.
 
-    A round reads only the points it has drawn, by (seed, block, step): at most ``inner`` per block. If these
-    could fill more than ``task_bytes`` in a task, the steps of the round run as several jobs in order, each of
-    which goes on from the last one's local weights and dual values; the model is the same for any such bound.
-    Dual values are a table of the points visited, so a lost executor loses no state.
+    The points of all rounds are fetched once (``drawn_points``); a round is one job over its own rows. If a block's rows of a
+    round could fill more than ``task_bytes``, the steps run as several jobs in order, each of which goes on from the last one's
+    local weights and dual values; the model is the same for any such bound. The driver holds the weights, and a dual value for each
+    point visited: at most blocks * outer * inner, a choice of the caller. A lost executor loses no state.
     """
-    placed = placed_points(points, blocks)
-    size, share = placed.size, scaling / blocks
-    strength = regularization * placed.points
+    drawn = drawn_points(points, blocks, outer, inner, seed)
+    size, share = drawn.size, scaling / blocks
+    strength = regularization * drawn.points
     weights = np.array(start if start is not None else [0.0] * size)
-    most = max(1, task_bytes // (16 * size))
-    spark = points.sparkSession
-    duals = spark.createDataFrame([], "place BIGINT, block BIGINT, delta DOUBLE")
+    most = max(1, task_bytes // (16 * max(1, size)))
+    duals: dict[tuple[int, int], float] = {}
 
     for turn in range(outer):
-        moved = spark.createDataFrame([], "place BIGINT, block BIGINT, delta DOUBLE")
-        local = {block: np.zeros(size) for block in placed.spans}
-        for first in range(0, inner, most):
-            steps = range(turn * inner + first, turn * inner + min(first + most, inner))
-            places = drawn_places(placed, steps, seed)
-
-            wanted = sorted({p for own in places.values() for p in own})
-            seen = duals.unionByName(moved).groupBy("place").agg(F.sum("delta").alias("alpha"))
-            rows = (rows_at(placed.rows, wanted).join(seen, "place", "left")
-                    .select("place", "block", "data", "label", F.coalesce("alpha", F.lit(0.0)).alias("alpha")))
-            stepped = cut(rows.groupBy("block").applyInPandas(
-                ascent_of_block(weights, local, places, strength),
-                "place BIGINT, block BIGINT, delta DOUBLE, change ARRAY<DOUBLE>"))
-            moved = cut(moved.unionByName(stepped.select("place", "block", "delta")).groupBy("place", "block").agg(F.sum("delta").alias("delta")))
-            for row in stepped.where("change is not null").select("block", "change").collect():  # one row per block
+        moved: dict[tuple[int, int], float] = {}
+        local = {block: np.zeros(size) for block in drawn.blocks}
+        for first in range(turn * inner, (turn + 1) * inner, most):
+            last = min(first + most, (turn + 1) * inner)
+            rows = drawn.rows.where((F.col("turn") == turn) & (F.col("step") >= first) & (F.col("step") < last))
+            now = {key: duals.get(key, 0.0) + moved.get(key, 0.0) for key in duals.keys() | moved.keys()}
+            stepped = rows.groupBy("block").applyInPandas(
+                ascent_of_block(weights, local, now, strength), "block BIGINT, places ARRAY<BIGINT>, deltas ARRAY<DOUBLE>, change ARRAY<DOUBLE>")
+            for row in stepped.collect():  # one row per block
                 local[row["block"]] = local[row["block"]] + np.array(row["change"])
-        scaled = moved.withColumn("delta", F.col("delta") * share)
-        duals = cut(duals.unionByName(scaled).groupBy("place", "block").agg(F.sum("delta").alias("delta")))
+                for place, delta in zip(row["places"], row["deltas"], strict=True):
+                    key = (row["block"], place)
+                    moved[key] = moved.get(key, 0.0) + delta
+        for key, delta in moved.items():
+            duals[key] = duals.get(key, 0.0) + delta * share
         weights = weights + share * np.sum([local[b] for b in sorted(local)], axis=0)
-    return DualModel(weights.tolist(), duals.withColumnRenamed("delta", "alpha"), placed)
+    alphas = points.sparkSession.createDataFrame([(p, b, a) for (b, p), a in sorted(duals.items())], "place BIGINT, block BIGINT, alpha DOUBLE")
+    return DualModel(weights.tolist(), alphas, drawn.points)
 
 
-def ascent_of_block(weights: np.ndarray, local: dict[int, np.ndarray], places: dict[int, list[int]], strength: float):
-    """Runs the drawn steps of one block on its drawn points (place, block, data, label, alpha)."""
+def ascent_of_block(weights: np.ndarray, local: dict[int, np.ndarray], duals: dict[tuple[int, int], float], strength: float):
+    """Runs the steps of one block in order over their rows (block, step, place, data, label)."""
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         block = int(batch["block"].iloc[0])
-        at = {p: i for i, p in enumerate(batch["place"])}
+        batch = batch.sort_values("step")
+        places, first, order = np.unique(batch["place"].to_numpy(), return_index=True, return_inverse=True)
+        own = batch.iloc[first]
         delta, change = local_ascent(
-            np.stack(batch["data"].to_numpy()).astype(float), batch["label"].to_numpy(dtype=float), batch["alpha"].to_numpy(dtype=float),
-            weights + local[block], strength, [at[p] for p in places[block]])
-        return pd.DataFrame({"place": batch["place"], "block": block, "delta": delta,
-                             "change": [change] + [None] * (len(batch) - 1)})
+            np.stack(own["data"].to_numpy()).astype(float), own["label"].to_numpy(dtype=float),
+            np.array([duals.get((block, int(p)), 0.0) for p in places]), weights + local[block], strength, order.tolist())
+        return pd.DataFrame({"block": [block], "places": [places], "deltas": [delta], "change": [change]})
     return run
 
 
-def rows_at(rows: DataFrame, places: list[int]) -> DataFrame:
-    """The rows at some places. Few places are literals, which the scan of the stored order can skip by."""
-    if len(places) <= LITERAL_PLACES:
-        return rows.where(reduce(or_, [F.col("place") == p for p in places], F.lit(False)))
-    wanted = rows.sparkSession.createDataFrame([(p,) for p in places], "place BIGINT")
-    return rows.join(wanted, "place", "left_semi")
-
-
 def train_svm(points: DataFrame, blocks: int = 10, iterations: int = 100, regularization: float = 0.01,
               stepsize: float = 0.01, seed: int = 42, inner: int = 10) -> DualModel:
     return train_dual(points, blocks, iterations, inner, regularization, stepsize, seed)
@@ -172,7 +175,7 @@ def gap(points: DataFrame, model: DualModel, regularization: float) -> float:
     loss = points.agg(F.avg(F.greatest(
         F.lit(0.0), 1.0 - F.col("label") * vectors.dot(F.col("data"), w))).alias("l")).first()["l"]
     dual = model.alphas.agg(F.coalesce(F.sum("alpha"), F.lit(0.0)).alias("a")).first()["a"]
-    return regularization * float(np.dot(model.weights, model.weights)) + loss - dual / model.blocks.points
+    return regularization * float(np.dot(model.weights, model.weights)) + loss - dual / model.points
 
 
 def predict(points: DataFrame, weights: list[float]) -> DataFrame:

@@ -77,8 +77,51 @@ def als_blocked(spark, folder):
 
 
 def als_rank_10(spark, folder):
-    """Rank 10 and 10 iterations, factors broadcast or joined by their size."""
-    return als.factorize(views.ratings(spark, folder), 10, REGULARIZATION, 10, SEED).users
+    """Rank 10 and 10 iterations, by joins."""
+    return als.factorize(views.ratings(spark, folder), 10, REGULARIZATION, 10, SEED, most_bytes=0).users
+
+
+WIDE = 50
+
+
+@query(with_views(f"""
+    SELECT r."user" AS id, COUNT(*) AS n, round(SUM(v.square), 6) AS trace, round(SUM(v.total * v.total), 5) AS gram, round(SUM(r.rating * v.total), 5) AS rhs
+    FROM ratings r JOIN (SELECT id, list_sum(f) AS total, list_sum(list_transform(f, lambda x: x * x)) AS square
+                         FROM (SELECT id, list_transform(range({WIDE}), lambda k: {check_sql.uniform('id', 'k', SEED)}) AS f
+                               FROM (SELECT DISTINCT item AS id FROM ratings))) v ON v.id = r.item
+    GROUP BY 1""", "ratings"))
+def als_gram_wide(spark, folder):
+    """Normal equations at rank 50: the trace and the sum of all cells of each user's matrix, and the sum of the right side."""
+    ratings = cut(views.ratings(spark, folder))
+    sums = als.normal_sums(als.by_item(ratings).join(start(ratings, WIDE)), WIDE)
+    diagonal = [i * WIDE - i * (i - 1) // 2 for i in range(WIDE)]
+    trace = F.aggregate(F.array(*[F.lit(d) for d in diagonal]), F.lit(0.0), lambda t, d: t + F.get("gram", d))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
+    return (sums.withColumn("trace", trace)
+            .select("id", "n", rounded(F.col("trace")).alias("trace"), rounded(2 * total(F.col("gram")) - F.col("trace"), 5).alias("gram"),
+                    rounded(total(F.col("rhs")), 5).alias("rhs")))
+
+
+@query(with_views("""SELECT r."user", r.item, round(r.rating, 6) AS rating, round(u.f0 * v.f0 + u.f1 * v.f1, 4) AS predicted
+                     FROM ratings r JOIN users u ON u.id = r."user" JOIN items v ON v.id = r.item""", "ratings", more=MODEL))
+def predict_cells(spark, folder):
+    """Predictions for the given cells, here those that were rated."""
+    ratings = cut(views.ratings(spark, folder))
+    model = als.factorize_blocked(ratings, 2, REGULARIZATION, 2, SEED)
+    return als.predicted(ratings, model, 2).withColumn("rating", rounded(F.col("rating"))).withColumn("predicted", rounded(F.col("predicted"), 4))
+
+
+BEST = 5
+
+
+@query(with_views(f"""SELECT "user", item, round(predicted, 4) AS predicted, place
+    FROM (SELECT u.id AS "user", v.id AS item, u.f0 * v.f0 + u.f1 * v.f1 AS predicted,
+                 CAST(row_number() OVER (PARTITION BY u.id ORDER BY u.f0 * v.f0 + u.f1 * v.f1 DESC, v.id) AS INTEGER) AS place FROM users u CROSS JOIN items v)
+    WHERE place <= {BEST}""", "brand_ratings", more=check_sql.als("brand_ratings", 2, REGULARIZATION, SEED)))
+def recommend_topk(spark, folder):
+    """The five items of the highest prediction for every user."""
+    model = als.factorize(cut(views.brand_ratings(spark, folder)), 2, REGULARIZATION, 2, SEED)
+    return als.best_items(model, 2, BEST).withColumn("predicted", rounded(F.col("predicted"), 4))
 
 
 BRAND_MODEL = check_sql.als("brand_ratings", 2, REGULARIZATION, SEED)

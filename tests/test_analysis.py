@@ -155,7 +155,66 @@ def test_als_by_blocks(spark, solved):
     start = als.start_factors(als.rated_items(ratings(spark)), 3)
     plain = als.joined_step(als.by_item(ratings(spark)), start, 3, 0.1)
     a, b = ({r["id"]: r["factors"] for r in f.collect()} for f in (als.routed_step(routed, start, 3, 0.1), plain))
-    assert "slot" in routed.on and all(a[k] == pytest.approx(b[k]) for k in b)
+    assert routed.hot_users is not None and set(a) == set(b) and all(a[k] == pytest.approx(b[k]) for k in b)
+    pieces = als.by_user_block(ratings(spark), 2, piece_rows=3)
+    c = {r["id"]: r["factors"] for r in als.routed_step(pieces, start, 3, 0.1).collect()}
+    assert pieces.pieces.count() > 2 and set(c) == set(b) and all(c[k] == pytest.approx(b[k]) for k in b)
+
+
+def test_blocks_exchange_nothing_after_the_join(spark):
+    """A half step moves vectors to the pieces; users are solved there, so nothing is exchanged above the co-group, and the pieces stay."""
+    start = als.start_factors(als.rated_items(ratings(spark)), 3)
+    plan = als.routed_step(als.by_user_block(ratings(spark), 4), start, 3, 0.1)._jdf.queryExecution().executedPlan().toString()
+    above, _, below = plan.partition("FlatMapCoGroupsInArrow")
+    assert below and "Exchange" not in above
+    left = below[:below.index("InMemoryRelation")]
+    assert "Exchange" not in left
+
+
+def test_rank_fifty(spark):
+    """One half step at rank 50 by all three ways against numpy; a hot user's parts are merged."""
+    rng = np.random.default_rng(2)
+    rated = [(int(u), int(i), float(r)) for u, i, r in zip(rng.integers(0, 6, 400), rng.permutation(400) % 60, rng.random(400))]
+    rated = list({(u, i): (u, i, r) for u, i, r in rated}.values()) + [(9, i, 1.5) for i in range(60)]
+    vectors = rng.random((60, 50))
+    df = spark.createDataFrame(rated, "user BIGINT, item BIGINT, rating DOUBLE")
+    factors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id BIGINT, factors ARRAY<DOUBLE>")
+    want = {}
+    for u in {u for u, _, _ in rated}:
+        v = vectors[[i for x, i, _ in rated if x == u]]
+        want[u] = np.linalg.solve(v.T @ v + 0.1 * len(v) * np.eye(50), v.T @ np.array([r for x, _, r in rated if x == u]))
+    for hot in (1_000_000, 50):
+        for step in (als.joined_step(als.by_item(df, hot), factors, 50, 0.1), als.routed_step(als.by_user_block(df, 3, hot), factors, 50, 0.1),
+                     als.held_ratings(df, 50, hot, 1 << 20).step(factors, 50, 0.1)):
+            got = {r["id"]: r["factors"] for r in step.collect()}
+            assert set(got) == set(want) and all(got[u] == pytest.approx(want[u].tolist(), rel=1e-8) for u in want)
+
+
+def test_runs_over_batches():
+    """A user's run may be cut anywhere."""
+    rng = np.random.default_rng(0)
+    users, values, vectors = np.sort(rng.integers(0, 5, 40)), rng.random(40), rng.random((40, 3))
+    whole = als.sums_of_runs(users, values, vectors)
+    for cuts in ([], [1], [20], list(range(40)), [5, 5, 39]):
+        at = [0, *cuts, 40]
+        parts = list(als.joined_runs(als.sums_of_runs(users[a:b], values[a:b], vectors[a:b]) for a, b in zip(at, at[1:])))
+        for k in range(4):
+            assert np.concatenate([p[k] for p in parts]) == pytest.approx(whole[k])
+
+
+def test_best_items(spark, solved):
+    model = als.factorize(ratings(spark), 3, 0.1, 2)
+    users, items = solved
+    for block, k in ((2, 2), (512, 3), (3, 100)):
+        want = {(u, i, p + 1) for u in users for p, i in enumerate(sorted(items, key=lambda i: (-float(users[u] @ items[i]), i))[:k])}
+        found = als.best_items(model, 3, k, block=block)
+        assert {(r["user"], r["item"], r["place"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode(item_ids" not in plan
+    none = als.Factorization(model.users, model.items.limit(0))
+    assert als.best_items(none, 3, 2).count() == 0
+    flat = als.best_cells(np.array([7]), np.array([1, 2, 3, 4]), np.array([[1.0, 2.0, 1.0, 1.0]]), 2)
+    assert flat.column("item").to_pylist() == [1, 2]
 
 
 def test_objective_falls(spark):
@@ -203,8 +262,9 @@ def test_dual_ascent_matches_plain_numpy(spark):
         w += change
     assert model.weights == pytest.approx(w.tolist())
     got = np.zeros(10)
+    first = linear.block_places(points(spark), 4).filter("block = 2").agg(F.min("place")).first()[0]
     for r in model.alphas.filter("block = 2").collect():
-        got[r["place"] - model.blocks.spans[2][0]] = r["alpha"]
+        got[r["place"] - first] = r["alpha"]
     assert got == pytest.approx(alphas[2])
 
 
@@ -218,15 +278,40 @@ def test_training_does_not_depend_on_partitioning(spark):
     assert a == pytest.approx(b)
 
 
-def test_training_does_not_depend_on_sizes(spark, monkeypatch):
-    """Bytes per task and the way of picking rows change the jobs, not the model; blocks stay as given."""
+def test_training_does_not_depend_on_sizes(spark):
+    """Bytes per task change the jobs, not the model; blocks stay as given."""
     want = linear.train_dual(points(spark), 3, 2, 7, 0.1)
     for task_bytes in (1, 16 * 3 * 2, 1 << 30):
-        monkeypatch.setattr(linear, "LITERAL_PLACES", task_bytes % 3)
         got = linear.train_dual(points(spark), 3, 2, 7, 0.1, task_bytes=task_bytes)
-        assert got.weights == pytest.approx(want.weights, abs=1e-12) and set(got.blocks.spans) == {0, 1, 2}
-    same_index = linear.placed_points(points(spark).withColumn("index", F.lit(0)), 4)
-    assert same_index.spans == {0: (1, 40)}
+        assert got.weights == pytest.approx(want.weights, abs=1e-12)
+        assert {r["block"] for r in got.alphas.collect()} == {0, 1, 2}
+    places = linear.block_places(points(spark).withColumn("index", F.lit(0)), 4).agg(F.min("block"), F.max("block"), F.min("place"), F.max("place")).first()
+    assert tuple(places) == (0, 0, 1, 40)
+
+
+def test_working_set_holds_all_rounds(spark):
+    """A row per step, with equal points told apart by place only; no points and no steps are defined, too."""
+    same = points(spark).unionByName(points(spark)).unionByName(points(spark).filter("index = 3"))
+    drawn = linear.drawn_points(same, 4, 5, 6, 42)
+    assert drawn.rows.count() == 4 * 5 * 6 and drawn.points == 81 and drawn.blocks == [0, 1, 2, 3] and drawn.size == 3
+    own = {p[0]: (list(p[1]), p[2]) for p in toy.POINTS}
+    index_of = {r["place"]: r["index"] for r in linear.block_places(same, 4).collect()}
+    for r in drawn.rows.collect():
+        assert (list(r["data"]), r["label"]) == own[index_of[r["place"]]] and r["turn"] == r["step"] // 6
+    assert linear.train_dual(points(spark), 4, 0, 5).weights == [0.0] * 3
+    assert linear.train_dual(points(spark).limit(0), 4, 2, 5).weights == []
+
+
+def test_a_round_reads_the_working_set_alone(spark):
+    """More rounds start no more than two jobs each, and none of these reads the points."""
+    tracker = spark.sparkContext.statusTracker()
+    counts = []
+    for outer in (1, 6):
+        spark.sparkContext.setJobGroup(f"rounds-{outer}", "")
+        linear.train_dual(points(spark), 4, outer, 5, 0.1)
+        counts.append(len(tracker.getJobIdsForGroup(f"rounds-{outer}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] - counts[0] <= 2 * 5
 
 
 def test_one_dual_step(spark):
