@@ -87,22 +87,32 @@ class WordIds:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def resolved(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not in the newer part of the cache.
+        """Brings words into the newer part of the cache; gives the ids of those that run over lines, which are not kept.
 
         A letter and the mark behind it never share a token, nor do a word and the line behind it, so these are learnt apart.
         """
-        parts = {w: LINE.split(w) if "\n" in w else [w] for w in missing}
-        bare = {w: own[0][:-1] if own[0][-1:] in self.ends and own[0][-2:-1].isalpha() else own[0] for w, own in parts.items()}
         words, old = self.words
-        self.learn({b for b in bare.values() if b not in words}, words, old)
-        for w, b in bare.items():
-            if (first := parts[w][0]) not in words:
-                words[first] = words[b] + self.ends[first[-1]]
-        heads = self.of_heads([h for own in parts.values() for h in own[1:]], "\n")
-        out = {}
-        for w, own in parts.items():
-            out[w] = words[own[0]] if len(own) == 1 else words[own[0]] + b"".join([heads[h] for h in own[1:]])
-        return out
+        todo, marked, lines = set(), [], {}
+
+        def want(w: str) -> None:
+            if w not in words:
+                if w[-1:] in self.ends and w[-2:-1].isalpha():
+                    marked.append(w)
+                    w = w[:-1]
+                todo.add(w)
+
+        for w in missing:
+            if "\n" in w:
+                lines[w] = LINE.split(w)
+                w = lines[w][0]
+            want(w)
+        self.learn({w for w in todo if w not in words}, words, old)
+        for w in marked:
+            words[w] = words[w[:-1]] + self.ends[w[-1]]
+        heads = self.of_heads([h for own in lines.values() for h in own[1:]], "\n")
+        for w, own in lines.items():
+            lines[w] = words[own[0]] + b"".join([heads[h] for h in own[1:]])
+        return lines
 
     def of_heads(self, words: list[str], before: str) -> dict[str, bytes]:
         """Ids of words that begin a text or, behind a line feed, a line."""
@@ -138,8 +148,10 @@ class WordIds:
         first, *words = WORD.split(text)
         ids = list(map(self.words[0].get, words))
         if None in ids:
-            found = self.resolved({w for w, own in zip(words, ids, strict=True) if own is None})
-            ids = [found[w] if own is None else own for w, own in zip(words, ids, strict=True)]
+            gaps = [i for i, own in enumerate(ids) if own is None]
+            lines, known = self.resolved({words[i] for i in gaps}), self.words[0]
+            for i in gaps:
+                ids[i] = known.get(words[i]) or lines[words[i]]
         lines = LINE.split(first)
         behind = self.of_heads(lines[1:], "\n")
         return self.of_heads(lines[:1], "")[lines[0]] + b"".join([behind[h] for h in lines[1:]] + ids)
