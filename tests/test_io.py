@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sampleweave.operators import als, exports
 from sampleweave.session import cut, materialize, shared_folder
-from sampleweave.sources import generators, readers, writers
+from sampleweave.sources import generators, readers, sample_files, writers
 
 
 def rows(df):
@@ -136,3 +136,36 @@ def test_start_factors_do_not_depend_on_partitioning(spark):
     assert a == rows(als.start_factors(ids.repartition(7), 3))
     assert all(0 <= x < 1 for _, f in a for x in f)
     assert a != rows(als.start_factors(ids, 3, seed=1))
+
+
+# ---- sample files as a data source --------------------------------------------------------
+
+FILES = {
+    "b.mirna.quantification.txt": "miRNA_ID\tread_count\treads_per_million_miRNA_mapped\tcross-mapped\nx\t3\t1.5\tN\ny?\t1\t1.0\tN\nz\t4\t2\tY",
+    "a.rsem.genes.normalized_results": "gene_id\tnormalized_count\r\nx|1\t7.25\r\nw|2\tnone\r\ngene_id\tnormalized_count\r\n",
+    "c.mirna.quantification.txt": "count\tother\nx\t1\ny\n\nq\t2\t9",
+    "d.mirna.quantification.txt": "",
+    "notes.txt": "x\t1\n",
+}
+
+
+def test_sample_format_equals_the_text_scan(spark, tmp_path):
+    for name, body in FILES.items():
+        (tmp_path / name).write_bytes(body.encode())
+    want = {("b.mirna.quantification.txt", "x", 1.5), ("b.mirna.quantification.txt", "z", 2.0), ("a.rsem.genes.normalized_results", "x|1", 7.25),
+            ("c.mirna.quantification.txt", "x", 1.0), ("c.mirna.quantification.txt", "q", 2.0)}
+    for task_bytes in (1, sample_files.TASK_BYTES):
+        assert {tuple(r) for r in sample_files.read_sample_files(spark, str(tmp_path), task_bytes).collect()} == want
+    text = {tuple(r) for r in readers.read_samples(spark, str(tmp_path)).collect()}
+    assert {(s, f.strip(), v) for s, f, v in text} == want
+
+
+def test_sample_format_round_trip(spark, tmp_path):
+    rows = [(s, f"f{k}", k / 7) for s in range(5) for k in range(s, 30)]
+    sample_files.write_sample_files(spark.createDataFrame(rows, "sample_id INT, feature STRING, value DOUBLE"), f"{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"{s}.mirna.quantification.txt" for s in range(5)]
+    got = {(int(r["sample_id"].split(".")[0]), r["feature"], r["value"]) for r in sample_files.read_sample_files(spark, f"{tmp_path}/out").collect()}
+    assert got == set(rows)
+    sample_files.write_sample_files(spark.createDataFrame([], "sample_id INT, feature STRING, value DOUBLE"), f"{tmp_path}/none")
+    (tmp_path / "none").mkdir(exist_ok=True)
+    assert sample_files.read_sample_files(spark, f"{tmp_path}/none").count() == 0
