@@ -192,6 +192,11 @@ def correlation_network(cells: DataFrame, threshold: float = 0.9, include_self:
             .select("feature_a", "feature_b"))
     if not include_self:
         hits = hits.filter("feature_a <> feature_b")
+    return both_directions(hits)
+
+
+def both_directions(hits: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight 1) of unordered pairs (feature_a, feature_b); a pair of equal ones gives one edge."""
     ends = F.when(F.col("feature_a") == F.col("feature_b"),
                   F.array(F.struct(F.col("feature_a").alias("src"), F.col("feature_b").alias("dst")))
                   ).otherwise(F.array(

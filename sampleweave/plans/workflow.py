@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import als, exports, filters, graph, linear, matrix, ranking, statistics
+from ..operators import als, exports, filters, graph, linear, lowrank, matrix, ranking, statistics
 from ..session import cut
 from ..sources import readers, writers
 
@@ -56,8 +56,15 @@ class Analysis:
     differences: DataFrame  # feature, position_a, position_b, difference
 
 
-def completed_cells(cells: DataFrame, dictionary: DataFrame, settings: Settings) -> DataFrame:
-    """Cells of the completed matrix. Only cells given are ratings; absent ones are unknown."""
+@dataclass(frozen=True)
+class Completed:
+    cells: DataFrame     # sample_id, feature, value: every cell
+    samples: DataFrame   # id, sample_id, factors
+    features: DataFrame  # feature, factors
+
+
+def completed(cells: DataFrame, dictionary: DataFrame, settings: Settings) -> Completed:
+    """The completed matrix and its factors. Only cells given are ratings; absent ones are unknown."""
     samples = cut(matrix.sample_index(cells))
     names = dictionary.select("feature", "feature_idx")
     ratings = cut(cells.join(samples, "sample_id").join(names, "feature").select(
@@ -67,8 +74,10 @@ def completed_cells(cells: DataFrame, dictionary: DataFrame, settings: Settings)
     found = als.completed(model, settings.factors, model.items.count())
     found = (als.filled(ratings, found).select("user", "item", "value") if settings.keep_observed
              else found.withColumnRenamed("predicted", "value"))
-    return (found.join(samples, found["user"] == samples["sample_idx"])
-            .join(names, F.col("item") == F.col("feature_idx")).select("sample_id", "feature", "value"))
+    found = (found.join(samples, found["user"] == samples["sample_idx"])
+             .join(names, F.col("item") == F.col("feature_idx")).select("sample_id", "feature", "value"))
+    return Completed(found, model.users.join(samples, F.col("id") == F.col("sample_idx")).select("id", "sample_id", "factors"),
+                     model.items.join(names, F.col("id") == F.col("feature_idx")).select("feature", "factors"))
 
 
 def trained_weights(cells: DataFrame, labels: DataFrame, dictionary: DataFrame, settings: Settings) -> DataFrame:
@@ -84,8 +93,16 @@ def trained_weights(cells: DataFrame, labels: DataFrame, dictionary: DataFrame,
     return linear.weights_frame(cells.sparkSession, dictionary, weights)
 
 
-def group_network(cells: DataFrame, dictionary: DataFrame, settings: Settings) -> Network:
-    edges = cut(statistics.correlation_network(cells, settings.threshold, settings.include_self))
+def group_edges(cells: DataFrame, whole: Completed | None, members: DataFrame, settings: Settings) -> DataFrame:
+    """The network of some samples: from the factors if these make all cells, else from the cells."""
+    if whole is None or settings.keep_observed:
+        return statistics.correlation_network(cells.join(members, "sample_id", "left_semi"), settings.threshold, settings.include_self)
+    return lowrank.factor_network(whole.samples.join(members, "sample_id", "left_semi"), whole.features, settings.factors,
+                                  settings.threshold, settings.include_self)
+
+
+def group_network(edges: DataFrame, dictionary: DataFrame, settings: Settings) -> Network:
+    edges = cut(edges)
     pages = dictionary.select(F.col("feature").alias("id"))
     ranks = graph.pagerank(pages, edges, dictionary.count(), max_rounds=settings.rank_rounds)
     vertices = pages.withColumn("value", F.col("id"))
@@ -104,7 +121,8 @@ def analyse(training: DataFrame, test: DataFrame, settings: Settings = Settings(
                  .withColumn("label", matrix.label_of(F.col("grp"))))
     cells = (training if settings.max_features is None
              else filters.first_features(training, dictionary, settings.max_features)).select("sample_id", "feature", "value")
-    cells = cut(completed_cells(cells, dictionary, settings) if settings.completion else cells)
+    whole = completed(cells, dictionary, settings) if settings.completion else None
+    cells = cut(cells if whole is None else whole.cells)
 
     weights = cut(trained_weights(cells, labels, dictionary, settings))
     scores = linear.score_samples(filters.exclude(test, "feature", settings.excluded), weights)
@@ -112,7 +130,7 @@ def analyse(training: DataFrame, test: DataFrame, settings: Settings = Settings(
     networks = {}
     for group in GROUPS:
         members = labels.filter(F.col("grp") == group).select("sample_id")
-        networks[group] = group_network(cells.join(members, "sample_id", "left_semi"), dictionary, settings)
+        networks[group] = group_network(group_edges(cells, whole, members, settings), dictionary, settings)
     differences = ranking.rank_difference(networks["healthy"].ranks, networks["diseased"].ranks, "id", "rank")
     return Analysis(dictionary, cells, labels, weights, scores, networks,
                     differences.withColumnRenamed("id", "feature"))
