@@ -24,9 +24,11 @@ sign U+2581 comes back as a space.
 from __future__ import annotations
 
 import hashlib
+import re
+import sys
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,6 +45,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = np.iinfo(np.int64).max
 SLICE = 1_000_000  # bytes of text that a worker encodes at once
 CACHE_WORDS = 150_000
+MARKS = ".,;:!?"
+LINES = re.compile("(\n)")
 
 
 @dataclass(frozen=True)
@@ -124,7 +128,6 @@ class Vocabulary:
         if self.bpe:
             number = self.merge_history(number)
         self.known = self.answers = None
-        self.numbers = list(range(self.size))
         self.longest = max(map(len, number), default=1)
         self.length = np.array([len(t) for t in self.text] + [1, 0])
         self.trie(number)
@@ -289,8 +292,8 @@ class Vocabulary:
             end -= int(size[end])
         return out[::-1]
 
-    def encode_words(self, words: list[str]) -> list[tuple[tuple[int, ...], float]]:
-        """Ids and value of every word, in blocks of words of like length."""
+    def encode_words(self, words: list[str]) -> list[tuple[bytes, float]]:
+        """Ids (32 bits each) and value of every word, in blocks of words of like length."""
         out: list = [None] * len(words)
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
         at = 0
@@ -311,11 +314,13 @@ class Vocabulary:
             while (ends > 0).any():  # all rows step back together; finished ones repeat a mark
                 steps.append(np.where(ends > 0, last[rows, ends], -1))
                 ends = ends - np.where(ends > 0, size[rows, ends], 0)
-            pieces = np.stack(steps[::-1], axis=1).tolist() if steps else [[] for _ in block]
-            values = value[rows, lengths]
-            for k, own, v in zip(block, pieces, values.tolist(), strict=True):
-                own = [p for p in own if p >= 0]
-                out[k] = (self.ids(own, words[k]) if self.size in own else tuple(map(self.numbers.__getitem__, own)), v)
+            pieces = np.stack(steps[::-1], axis=1) if steps else np.zeros((len(block), 0), np.int32)
+            values, foreign = value[rows, lengths].tolist(), (pieces == self.size).any(axis=1).tolist()
+            flat, ends = pieces[pieces >= 0], np.cumsum((pieces >= 0).sum(axis=1)).tolist()
+            data, begin = flat.astype(np.int32).tobytes(), 0
+            for k, end, v, f in zip(block, ends, values, foreign, strict=True):
+                out[k] = (np.array(self.ids(flat[begin:end], words[k]), np.int32).tobytes() if f else data[4 * begin:4 * end], v)
+                begin = end
         return out
 
     def normal(self, text: str) -> str:
@@ -337,22 +342,62 @@ def words_of(normal: str) -> list[str]:
 
 
 class Encoder:
-    """A worker's vocabulary and word cache."""
+    """A worker's vocabulary and word cache, whose newer generation has all words of the texts at hand."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.cache = vocabulary, {}
+        self.v, self.cache, self.older = vocabulary, {}, {}
+        own = {c: int(vocabulary.node_piece[vocabulary.first[vocabulary.char[ord(c)]]]) for c in MARKS if vocabulary.char[ord(c)]}
+        self.marks = {c: p for c, p in own.items() if p >= 0} if vocabulary.bpe else {}
+        self.foreign = np.array([*vocabulary.byte_of, vocabulary.unknown_id])  # these do not tell which piece they stand for
 
-    def words(self, texts: list[list[str]]) -> None:
-        new = list({w for t in texts for w in t} - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list({w for t in texts for w in t})
-        self.cache.update(zip(new, self.v.encode_words(new), strict=True))
+    def words(self, texts: list[list[str]]) -> dict[str, tuple[bytes, float]]:
+        """Brings all words into the cache; gives those that run over lines, which are not kept.
 
-    def whole(self, normals: list[str]) -> list[list[int]]:
+        A line feed that the vocabulary lacks parts a word into ones of their own. A word with a mark at its end is the
+        word and the mark, if the model lets the mark follow its last piece.
+        """
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
+        cache, lines = self.cache, {}
+        new = {w for t in texts for w in t if w not in cache}
+        if self.v.char[ord("\n")] == 0:
+            lines = {w: [p for p in LINES.split(w) if p] for w in new if "\n" in w}
+            new = (new - lines.keys()).union(*lines.values()) if lines else new
+        new = self.fetched(new)
+        marked = [w for w in new if w[-1] in self.marks and len(w) > 1]
+        rest = self.fetched({w for w in new if w[-1] not in self.marks or len(w) == 1} | {w[:-1] for w in marked})
+        cache.update(zip(rest, self.v.encode_words(rest), strict=True))
+        if marked:
+            before = np.array([np.frombuffer(cache[w[:-1]][0][-4:], np.int32)[0] for w in marked])
+            mark = np.array([self.marks[w[-1]] for w in marked])
+            fits = self.v.follows(before, mark) & ~np.isin(before, self.foreign)
+            cache.update((w, (cache[w[:-1]][0] + m.to_bytes(4, "little"), 0.0)) for w, m, ok in zip(marked, mark.tolist(), fits.tolist(), strict=True) if ok)
+            rest = [w for w, ok in zip(marked, fits.tolist(), strict=True) if not ok]
+            cache.update(zip(rest, self.v.encode_words(rest), strict=True))
+        for w, own in lines.items():
+            found = [cache[p] for p in own]
+            lines[w] = (b"".join([x[0] for x in found]), sum(x[1] for x in found))
+        return lines
+
+    def fetched(self, words: set[str]) -> list[str]:
+        """Brings words of the older generation over; gives those that neither has."""
+        cache, older = self.cache, self.older
+        new = [w for w in words if w not in cache]
+        cache.update((w, older[w]) for w in new if w in older)
+        return [w for w in new if w not in cache]
+
+    def whole(self, normals: list[str]) -> list[bytes]:
         texts = [words_of(t) for t in normals]
-        self.words(texts)
-        return [list(chain.from_iterable(self.cache[w][0] for w in t)) for t in texts]
+        lines = self.words(texts)
+        get = self.cache.get
+        return [b"".join([(get(w) or lines[w])[0] for w in t]) for t in texts]
+
+    def inner(self, text: str) -> tuple[bytes, float]:
+        """Ids and value of what lies between two safe places."""
+        words = words_of(text)
+        lines = self.words([words])
+        found = [self.cache.get(w) or lines[w] for w in words]
+        return b"".join([x[0] for x in found]), sum(x[1] for x in found)
 
     def crossing(self, text: str, at: int) -> list[tuple[int, int]]:
         """(overrun, piece) of all pieces in ``text`` that begin before ``at`` and end there or later, in a fixed order."""
@@ -405,13 +450,12 @@ class Encoder:
         if safe is None:
             return filled(self.head(window, begin, end, entries, True), end - begin, out)
         lead = self.head(window, begin, safe[0], entries, False)[0][:, safe[0] - begin]
-        inner = words_of(window[safe[0]:safe[1]])
-        self.words([inner])
+        value = self.inner(window[safe[0]:safe[1]])[1]
         if safe[1] == end:  # the boundary itself is safe: whatever piece ends there, what follows does not depend on it
             tail = np.array([0.0 if j == 0 else -np.inf for j, _ in exits])
         else:
             tail = filled(self.head(window, safe[1], end, [(0, self.v.size + 1)], True), end - safe[1], np.full((1, len(exits)), -np.inf))[0]
-        return lead[:, None] + sum(self.cache[w][1] for w in inner) + tail[None, :]
+        return lead[:, None] + value + tail[None, :]
 
     def between(self, window: str, begin: int, end: int, first: bool, entry: int, leave: int) -> list[int]:
         """Ids of the pieces of the best path that begin in the chunk, given its boundary states."""
@@ -431,27 +475,26 @@ class Encoder:
         if safe is None:
             return path(begin, last_begin, state) + list(self.v.ids([piece], window[last_begin:]))
         out = path(begin, safe[0], state)
-        inner = words_of(window[safe[0]:safe[1]])
-        self.words([inner])
-        out += chain.from_iterable(self.cache[w][0] for w in inner)
+        out += np.frombuffer(self.inner(window[safe[0]:safe[1]])[0], np.int32).tolist()
         if safe[1] < end:
             out += path(safe[1], last_begin, (0, self.v.size + 1)) + list(self.v.ids([piece], window[last_begin:]))
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def shared_encoder(spark: SparkSession, settings: EncodeSettings):
-    """A function that gives a worker its encoder; the vocabulary is broadcast once per call."""
+    """A function that gives a worker its encoder; the vocabulary is broadcast once per call.
+
+    The encoder outlasts a task, so it cannot lie in this module, which travels with each task anew.
+    """
     sent = spark.sparkContext.broadcast(Vocabulary(settings.model))
-    name = f"{settings.model}-{id(sent)}"
+    name = f"{settings.model}-{uuid.uuid4().hex}"
 
     def get() -> Encoder:
-        if name not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[name] = Encoder(sent.value)
-        return _ENCODERS[name]
+        kept = sys.__dict__.setdefault("_kept_piece_encoders", {})
+        if name not in kept:
+            kept.clear()
+            kept[name] = Encoder(sent.value)
+        return kept[name]
     return get
 
 
@@ -511,6 +554,19 @@ def boundary_states(matrices: DataFrame, group: int) -> DataFrame:
             .applyInPandas(descend("chunk", True), "row long, chunk int, entry int, leave int"))
 
 
+def id_lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or the first longer one of its kind that is not taken (names are compared without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def encode(docs: DataFrame, settings: EncodeSettings = EncodeSettings()) -> DataFrame:
     """``docs`` with the column ``ids`` instead of any of that name; every row, whatever its length."""
     short, long = encoded_parts(docs, settings)
@@ -519,7 +575,8 @@ def encode(docs: DataFrame, settings: EncodeSettings = EncodeSettings()) -> Data
 
 def encoded_parts(docs: DataFrame, settings: EncodeSettings) -> tuple[DataFrame, DataFrame | None]:
     """The texts of one chunk and, if there are any, those of several."""
-    spark, margin = docs.sparkSession, 32
+    spark = docs.sparkSession
+    marker = fresh("__row", docs.columns)
     encoder, size = shared_encoder(spark, settings), settings.chunk
     keep = [c for c in docs.columns if c not in ("ids", "text")]
     text = column(docs, "text", "string")
@@ -532,17 +589,18 @@ def encoded_parts(docs: DataFrame, settings: EncodeSettings) -> tuple[DataFrame,
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 ids = e.whole([e.v.normal(t or "") for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, id_lists(ids)], names=[*part.schema.names, "ids"])
 
     own = docs.where(~is_long).select(*(f"`{c}`" for c in keep), text.alias("text"))
     short = own.mapInArrow(at_once, T.StructType([*own.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
-    long_rows = cut(docs.where(is_long).select(*(f"`{c}`" for c in keep), text.alias("text")).withColumn("__row", F.monotonically_increasing_id()))
+    long_rows = cut(docs.where(is_long).select(*(f"`{c}`" for c in keep), text.alias("text")).withColumn(marker, F.monotonically_increasing_id()))
     if long_rows.isEmpty():
         return short, None
 
     def windows(rows: Iterable[tuple]) -> Iterator[tuple]:
         v = encoder().v
+        margin = max(32, v.longest)
         for row, own in rows:
             normal = v.normal(own)
             for k, at in enumerate(range(0, len(normal), size)):
@@ -561,12 +619,12 @@ def encoded_parts(docs: DataFrame, settings: EncodeSettings) -> tuple[DataFrame,
         for row, k, begin, end, window, entry, leave in rows:
             yield row, k, e.between(window, begin, end, k == 0, entry, leave)
 
-    chunks = cut(map_rows(long_rows.select("__row", "text"), windows, "row long, chunk int, begin int, end int, window string"))
+    chunks = cut(map_rows(long_rows.select(marker, "text"), windows, "row long, chunk int, begin int, end int, window string"))
     states = boundary_states(cut(map_rows(chunks, matrices, "row long, chunk int, n_in int, matrix binary")), settings.group)
     given = chunks.join(states, ["row", "chunk"]).select("row", "chunk", "begin", "end", "window", "entry", "leave")
     pieces = (map_rows(given, traced, "row long, chunk int, ids array<int>").groupBy("row")
               .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids")))
-    long = long_rows.join(pieces, F.col("__row") == F.col("row")).select(*(f"`{c}`" for c in keep), "text", "ids")
+    long = long_rows.join(pieces.withColumnRenamed("row", marker), marker).select(*(f"`{c}`" for c in keep), "text", "ids")
     return short, long
 
 

@@ -8,8 +8,9 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from sampleweave.llm import digests, personal, secrets, sentencepiece, simhash, toxicity
+from sampleweave.llm import digests, mixing, personal, secrets, sentencepiece, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint int, ids string"
 
@@ -308,3 +309,23 @@ def test_empty_tables(spark):
     for df in (simhash.grouped(none), toxicity.score_documents(none, labels), personal.find_personal(none), secrets.find_secrets(none),
                digests.fingerprint_documents(none), sentencepiece.encode_documents(none), simhash.keep_one(none)):
         assert df.count() == 0
+
+
+CLASHING = {"row": 1, "chunk": 2, "key": "k", "part": 3, "epoch": 4, "end": 5, "begin": 6, "block": 7, "size": 8, "fp": 9, "root": 10, "score": 0.5, "place": 11, "__row": 12}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as the stages' own ones, and a text of several chunks, go through all five stages."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(words) + str(rng.randrange(50)) for _ in range(40)), *CLASHING.values()) for i in range(30)]
+    rows.append((30, " ".join(rng.choice(words) + str(k) for k in range(9000)), *CLASHING.values()))
+    kinds = ", ".join(f"`{c}` {'string' if isinstance(x, str) else 'double' if isinstance(x, float) else 'long'}" for c, x in CLASHING.items())
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {kinds}").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(31)], "doc_id long, quality long, toxic long")
+    extra = list(CLASHING)
+    for stage in (lambda d: toxicity.keep_clean(d, labels), simhash.keep_one, personal.redacted, mixing.mixture, sentencepiece.encode):
+        got = stage(docs)
+        assert set(docs.columns) <= set(got.columns)
+        for r in got.select(*(f"`{c}`" for c in extra)).distinct().collect():
+            assert tuple(r) == tuple(CLASHING.values())
