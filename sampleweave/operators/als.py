@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import id_uniform, unrolled_dot
-from ..session import cut, shuffle_width
+from ..session import Rounds, cut, shuffle_width
 from .filters import transpose_ratings
 from .keys import HOT_ROWS, SlottedRows, block_of, held_by, slotted
 
@@ -311,10 +311,10 @@ def factorize(ratings: DataFrame, rank: int = 10, regularization: float = 0.1, i
     ratings = cut(ratings.select("user", "item", "rating"))
     forth = held_ratings(ratings, rank, hot_rows, most_bytes)
     back = held_ratings(transpose_ratings(ratings), rank, hot_rows, most_bytes)
-    items = start_factors(rated_items(ratings), rank, seed)
+    items, rounds = start_factors(rated_items(ratings), rank, seed), Rounds(ratings.sparkSession)
     for _ in range(iterations):
         users = forth.step(items, rank, regularization)
-        items = cut(back.step(users, rank, regularization))
+        items = rounds.commit(back.step(users, rank, regularization))
     users = cut(forth.step(items, rank, regularization))
     forth.keyed.rows.unpersist()
     back.keyed.rows.unpersist()
@@ -326,10 +326,10 @@ def factorize_blocked(ratings: DataFrame, rank: int = 10, regularization: float
     """``factorize`` with blocked users and items and routed vectors."""
     ratings = cut(ratings.select("user", "item", "rating"))
     forth, back = by_user_block(ratings, user_blocks), by_user_block(transpose_ratings(ratings), item_blocks)
-    items = start_factors(rated_items(ratings), rank, seed)
+    items, rounds = start_factors(rated_items(ratings), rank, seed), Rounds(ratings.sparkSession)
     for _ in range(iterations):
         users = routed_step(forth, items, rank, regularization)
-        items = cut(routed_step(back, users, rank, regularization))
+        items = rounds.commit(routed_step(back, users, rank, regularization))
     users = cut(routed_step(forth, items, rank, regularization))
     forth.pieces.unpersist()
     back.pieces.unpersist()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numbers import rounded
-from ..session import cut
+from ..session import Rounds, cut
 from .keys import HOT_ROWS, SlottedRows, held_by, slotted
 
 DAMPING = 0.85
@@ -79,6 +79,7 @@ def pagerank(pages: DataFrame, links: DataFrame, n_pages: int, damping: float =
     edges = held_by(shares(links, hot_rows))
     base = (1.0 - damping) / n_pages
     ranks = pages.select("id", F.lit(1.0 / n_pages).alias("rank"))
+    rounds = Rounds(pages.sparkSession)
     for _ in range(max_rounds):
         given = passed_on(ranks, edges).select(
             F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("part"),
@@ -87,7 +88,7 @@ def pagerank(pages: DataFrame, links: DataFrame, n_pages: int, damping: float =
         # the greatest move is a by-product of the job that writes the round, and the same
         # if a lost task is run again
         moves = Observation()
-        ranks = cut(given.unionByName(own).groupBy("id")
+        ranks = rounds.commit(given.unionByName(own).groupBy("id")
                     .agg(F.sum("part").alias("part"), F.max("before").alias("before"))
                     .filter(F.col("part").isNotNull())
                     .select("id", (F.col("part") * damping + base).alias("rank"), "before")
@@ -110,13 +111,13 @@ def pagerank_fixed(links: DataFrame, nodes: DataFrame, n_nodes: int, rounds: int
     edges = held_by(shares(links, hot_rows))
     nodes = cut(nodes.select("id").distinct())
     base = nodes.select("id", F.lit((1.0 - damping) / n_nodes).alias("part"))
-    ranks = nodes.select("id", F.lit(1.0 / n_nodes).alias("rank"))
+    ranks, tables = nodes.select("id", F.lit(1.0 / n_nodes).alias("rank")), Rounds(links.sparkSession)
     for done in range(1, rounds + 1):
         given = passed_on(ranks, edges).select(
             F.col("dst").alias("id"), (F.col("rank") * F.col("share") * damping).alias("part"))
         ranks = given.unionByName(base).groupBy("id").agg(F.sum("part").alias("rank"))
         if done % cut_every == 0 or done == rounds:
-            ranks = cut(ranks)
+            ranks = tables.commit(ranks)
     edges.rows.unpersist()
     return ranks
 
@@ -147,6 +148,7 @@ def communities(vertices: DataFrame, edges: DataFrame, rounds: int = COMMUNITY_R
     """
     links = held_by(slotted(cut(undirected(edges)), "src", ["dst"], hot_rows))
     state = vertices.select("id", F.col("value").alias("label"), F.lit(1.0).alias("score"))
+    tables = Rounds(vertices.sparkSession)
     for turn in range(1, rounds + 1):
         votes = passed_on(state, links).groupBy(F.col("dst").alias("id"), "label").agg(
             F.sum(F.col("score") * F.col("weight")).alias("summed"),
@@ -163,7 +165,7 @@ def communities(vertices: DataFrame, edges: DataFrame, rounds: int = COMMUNITY_R
             F.min("offer").alias("offer"), F.max("label").alias("label"), F.max("score").alias("score"))
         attenuated = F.col("offer.best") - F.when(
             F.col("offer.label") == F.col("label"), 0.0).otherwise(delta / turn)
-        state = cut(merged.filter(F.col("label").isNotNull()).select(
+        state = tables.commit(merged.filter(F.col("label").isNotNull()).select(
             "id", F.coalesce("offer.label", "label").alias("label"),
             F.when(F.col("offer").isNull(), F.col("score")).otherwise(attenuated).alias("score")))
     links.rows.unpersist()

@@ -41,6 +41,32 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """The tables of a loop's rounds, in one folder of the shared folder.
+
+    ``commit`` writes a round's table and deletes those before the last ``keep``, so a loop of any length holds ``keep`` + 1 tables at
+    most. A round may read the ``keep`` tables before it, and nothing that is still to be computed may need an older one.
+    """
+
+    def __init__(self, spark: SparkSession, keep: int = 2):
+        self.spark, self.keep = spark, keep
+        self.folder, self.tables = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", []
+
+    def commit(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.tables.append(path)
+        while len(self.tables) > self.keep:
+            delete(self.spark, self.tables.pop(0))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the library's own through Spark's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(*frames: DataFrame) -> tuple[DataFrame, ...]:
     """``cut`` for several frames at once."""
     return tuple(cut(frame) for frame in frames)

@@ -1,8 +1,10 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from sampleweave.operators import als, exports
-from sampleweave.session import cut, materialize, shared_folder
+from sampleweave.session import Rounds, cut, materialize, shared_folder
 from sampleweave.sources import generators, readers, sample_files, writers
 
 
@@ -169,3 +171,12 @@ def test_sample_format_round_trip(spark, tmp_path):
     sample_files.write_sample_files(spark.createDataFrame([], "sample_id INT, feature STRING, value DOUBLE"), f"{tmp_path}/none")
     (tmp_path / "none").mkdir(exist_ok=True)
     assert sample_files.read_sample_files(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_rounds_keep_their_last_tables(spark):
+    rounds = Rounds(spark, keep=2)
+    state, alive = spark.range(5), []
+    for turn in range(6):
+        state = rounds.commit(state.select((F.col("id") + 1).alias("id")))
+        alive.append(len(list(Path(rounds.folder.removeprefix("file:")).iterdir())))
+    assert rows(state) == [(k,) for k in range(6, 11)] and max(alive) <= 3 and alive[-1] == 2
