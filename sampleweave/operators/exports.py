@@ -74,6 +74,14 @@ def libsvm_lines(rows: DataFrame, shown=None) -> DataFrame:
                                                 F.array_join(parts, " ")).alias("line"))
 
 
+def sparse_libsvm_lines(rows: DataFrame, shown=None) -> DataFrame:
+    """``label i:v ...`` of the given values only, from (sample_id, label, indices, values)."""
+    shown = shown or (lambda v: v.cast("string"))
+    parts = F.transform(F.arrays_zip("indices", "values"), lambda e: F.concat_ws(":", (e["indices"] + 1).cast("string"), shown(e["values"])))
+    return rows.select("sample_id", F.concat_ws(" ", F.col("label").cast("int").cast("string"),
+                                                F.when(F.size(parts) > 0, F.array_join(parts, " "))).alias("line"))
+
+
 def labelled_vectors(rows: DataFrame) -> DataFrame:
     """(label, features) for Spark's own learners and for the LibSVM writer."""
     return rows.select(F.col("label").cast("double").alias("label"),

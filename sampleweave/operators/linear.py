@@ -1,7 +1,8 @@
 """Linear classification by distributed dual coordinate ascent, prediction and regression.
 
 Only the weight vector, one number per feature, ever reaches the driver. Points have
-(index BIGINT, data ARRAY<DOUBLE>, label DOUBLE) with labels +1 and -1.
+(index BIGINT, data ARRAY<DOUBLE>, label DOUBLE) with labels +1 and -1. For dual ascent they may be sparse: with a column
+``indices`` (from 0), ``data`` holds the values there and ``size`` the length of the whole row.
 """
 
 from __future__ import annotations
@@ -68,11 +69,16 @@ def block_places(points: DataFrame, blocks: int) -> DataFrame:
 
     Block = index modulo blocks. Only keys are sorted and stored.
     """
-    own = points.select(block_of(F.col("index"), blocks).alias("block"), "index", F.xxhash64("data").alias("mark"), "label").where("block is not null")
+    own = points.select(block_of(F.col("index"), blocks).alias("block"), "index", F.xxhash64(*contents(points)).alias("mark"), "label").where("block is not null")
     order = [F.col("block").asc(), F.col("index").asc(), F.col("mark").asc(), F.col("label").asc()]
     return cut(numbered(own, order, "place").select("place", "block", "index", "mark", "label"))
 
 
+def contents(points: DataFrame) -> list[str]:
+    """The columns of a point's data: dense or sparse."""
+    return ["size", "indices", "data"] if "indices" in points.columns else ["data"]
+
+
 def drawn_points(points: DataFrame, blocks: int, outer: int, inner: int, seed: int) -> DrawnPoints:
     """Fetches what all rounds will visit before the first: a step's place depends on (block, step, seed) alone.
 
@@ -87,12 +93,13 @@ def drawn_points(points: DataFrame, blocks: int, outer: int, inner: int, seed: i
     draws = spans.withColumn("step", F.explode(steps)).select("step", place.alias("place"))
     known = cut(draws.join(placed, "place"))
     key = ["index", "mark", "label"]
-    data = (points.select("index", F.xxhash64("data").alias("mark"), "label", "data").join(known.select(*key).distinct(), key, "left_semi")
-            .groupBy(*key).agg(F.first("data").alias("data")))  # points that are equal in all columns are one
+    own = contents(points)
+    data = (points.select("index", F.xxhash64(*own).alias("mark"), "label", *own).join(known.select(*key).distinct(), key, "left_semi")
+            .groupBy(*key).agg(*[F.first(c).alias(c) for c in own]))  # points that are equal in all columns are one
     order = ["turn", "block", "step"]
-    rows = known.join(data, key).select(F.floor(F.col("step") / max(1, inner)).alias("turn"), "block", "step", "place", "data", "label")
+    rows = known.join(data, key).select(F.floor(F.col("step") / max(1, inner)).alias("turn"), "block", "step", "place", *own, "label")
     rows = cut(rows.repartitionByRange(shuffle_width(points.sparkSession), *order).sortWithinPartitions(*order))
-    size = rows.agg(F.max(F.size("data")).alias("d")).first()["d"] or 0
+    size = rows.agg(F.max("size" if "size" in own else F.size("data")).alias("d")).first()["d"] or 0
     return DrawnPoints(rows, sum(counts.values()), size, sorted(counts))
 
 
@@ -149,12 +156,22 @@ def ascent_of_block(weights: np.ndarray, local: dict[int, np.ndarray], duals: di
         places, first, order = np.unique(batch["place"].to_numpy(), return_index=True, return_inverse=True)
         own = batch.iloc[first]
         delta, change = local_ascent(
-            np.stack(own["data"].to_numpy()).astype(float), own["label"].to_numpy(dtype=float),
+            dense_rows(own, len(weights)), own["label"].to_numpy(dtype=float),
             np.array([duals.get((block, int(p)), 0.0) for p in places]), weights + local[block], strength, order.tolist())
         return pd.DataFrame({"block": [block], "places": [places], "deltas": [delta], "change": [change]})
     return run
 
 
+def dense_rows(batch: pd.DataFrame, size: int) -> np.ndarray:
+    """The drawn points of a task as a matrix."""
+    if "indices" not in batch:
+        return np.stack(batch["data"].to_numpy()).astype(float)
+    out = np.zeros((len(batch), size))
+    for row, at, values in zip(out, batch["indices"], batch["data"], strict=True):
+        row[np.asarray(at, dtype=np.int64)] = values
+    return out
+
+
 def train_svm(points: DataFrame, blocks: int = 10, iterations: int = 100, regularization: float = 0.01,
               stepsize: float = 0.01, seed: int = 42, inner: int = 10) -> DualModel:
     return train_dual(points, blocks, iterations, inner, regularization, stepsize, seed)

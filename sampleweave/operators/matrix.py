@@ -80,6 +80,20 @@ def labelled_rows(cells: DataFrame, labels: DataFrame, dictionary: DataFrame) ->
             .select("sample_id", "label", F.transform("es", lambda e: e["value"]).alias("values")))
 
 
+def sparse_rows(cells: DataFrame, labels: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """One row per labelled sample: (sample_id, label, size, indices, values), indices from 0 in ascending order.
+
+    Only given cells of the dictionary's features are held, so nothing is zero-filled; a sample without any has empty lists.
+    """
+    size = dictionary.agg(F.max("feature_idx")).first()[0] or 0
+    entry = F.struct((F.col("feature_idx") - 1).alias("i"), F.col("value").cast("double").alias("v"))
+    given = (cells.join(dictionary.select("feature", "feature_idx"), "feature")
+             .groupBy("sample_id").agg(F.sort_array(F.collect_list(entry)).alias("es")))
+    part = lambda name, kind: F.coalesce(F.transform("es", lambda e: e[name]), F.array().cast(f"array<{kind}>"))
+    return (labels.select("sample_id", "label").join(given, "sample_id", "left")
+            .select("sample_id", "label", F.lit(size).cast("long").alias("size"), part("i", "bigint").alias("indices"), part("v", "double").alias("values")))
+
+
 def transposed(dense: DataFrame, width: int = 4_096) -> DataFrame:
     """Rows by feature: (feature, chunk, values), values in sample order, in sample-range chunks."""
     entry = F.struct("sample_id", "value")

@@ -94,6 +94,33 @@ def matrix_labeled(spark, folder):
     return labelled(spark, folder).select("sample_id", "label", joined(whole, ",").alias("vals"))
 
 
+SPARSE = ("numbered", "SELECT feature, row_number() OVER (ORDER BY feature) AS i FROM (SELECT DISTINCT feature FROM sample_sparse)")
+
+
+def sparse(spark, folder):
+    """Sparse rows of the event matrix; a sample is labelled by the parity of its id."""
+    cells = cut(views.sample_sparse(spark, folder))
+    labels = cells.select("sample_id", F.when(F.pmod("sample_id", F.lit(2)) == 0, 1).otherwise(-1).alias("label")).distinct()
+    by_name = matrix.numbered(cells.select("feature").distinct(), [F.col("feature").asc()], "feature_idx")
+    return matrix.sparse_rows(cells, labels, cut(by_name))
+
+
+@query(with_views("""
+    SELECT sample_id, CASE WHEN sample_id % 2 = 0 THEN 1 ELSE -1 END AS label, (SELECT COUNT(*) FROM numbered) AS size,
+           string_agg(CAST(i - 1 AS VARCHAR), ',' ORDER BY i) AS indices, round(SUM(value), 4) AS total
+    FROM sample_sparse JOIN numbered USING (feature) GROUP BY 1""", "sample_sparse", more=[SPARSE]))
+def matrix_labeled_sparse(spark, folder):
+    return sparse(spark, folder).select("sample_id", "label", "size", joined(F.col("indices"), ",").alias("indices"), rounded(total("values"), 4).alias("total"))
+
+
+@query(with_views("""
+    SELECT sample_id, CASE WHEN sample_id % 2 = 0 THEN '1' ELSE '-1' END || ' '
+           || string_agg(CAST(i AS VARCHAR) || ':' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ' ' ORDER BY i) AS line
+    FROM sample_sparse JOIN numbered USING (feature) GROUP BY 1""", "sample_sparse", more=[SPARSE]))
+def libsvm_sparse_lines(spark, folder):
+    return exports.sparse_libsvm_lines(sparse(spark, folder), lambda v: F.round(v * 100).cast("long").cast("string"))
+
+
 @query(with_views("""
     SELECT sample_id, CAST(label AS VARCHAR) || ' ' || array_to_string(list_transform(range(1, len(vals) + 1),
            lambda i: CAST(i AS VARCHAR) || ':' || CAST(vals[i] AS VARCHAR)), ' ') AS line

@@ -82,10 +82,11 @@ def completed(cells: DataFrame, dictionary: DataFrame, settings: Settings) -> Co
 
 def trained_weights(cells: DataFrame, labels: DataFrame, dictionary: DataFrame, settings: Settings) -> DataFrame:
     order = matrix.sample_index(cells)
-    rows = matrix.labelled_rows(cells, labels, dictionary).join(order, "sample_id")
-    points = cut(rows.select((F.col("sample_idx") - 1).alias("index"), F.col("values").alias("data"),
+    svm = settings.training == "svm"
+    rows = (matrix.sparse_rows if svm else matrix.labelled_rows)(cells, labels, dictionary).join(order, "sample_id")
+    points = cut(rows.select((F.col("sample_idx") - 1).alias("index"), *(["size", "indices"] if svm else []), F.col("values").alias("data"),
                              F.col("label").cast("double").alias("label")))
-    if settings.training == "svm":
+    if svm:
         weights = linear.train_svm(points, settings.blocks, settings.svm_iterations,
                                    settings.svm_regularization, settings.svm_stepsize, settings.seed).weights
     else:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sampleweave.functions.numbers import uniform_value
-from sampleweave.operators import als, graph, linear, statistics
+from sampleweave.operators import als, exports, graph, linear, lowrank, matrix, statistics
 from sampleweave.plans import workflow
 
 import toy
@@ -302,6 +302,27 @@ def test_working_set_holds_all_rounds(spark):
     assert linear.train_dual(points(spark).limit(0), 4, 2, 5).weights == []
 
 
+def test_sparse_points_give_the_same_weights(spark):
+    """Zeros left out change nothing; neither does a point without any value."""
+    rows = [(i, [x if (i + k) % 3 else 0.0 for k, x in enumerate(d)], y) for i, d, y in toy.POINTS] + [(40, [0.0] * 3, 1.0)]
+    dense = spark.createDataFrame(rows, "index BIGINT, data ARRAY<DOUBLE>, label DOUBLE")
+    kept = [(i, 3, [k for k, x in enumerate(d) if x], [x for x in d if x], y) for i, d, y in rows]
+    sparse = spark.createDataFrame(kept, "index BIGINT, size BIGINT, indices ARRAY<BIGINT>, data ARRAY<DOUBLE>, label DOUBLE")
+    # ties in (index, block) do not occur here, so both forms draw the same points
+    a, b = (linear.train_dual(p, 4, 3, 6, 0.1).weights for p in (dense, sparse))
+    assert a == pytest.approx(b, abs=1e-12) and any(a)
+
+
+def test_sparse_rows(spark):
+    labels = spark.createDataFrame([("a", 1), ("b", -1), ("c", 1)], "sample_id STRING, label INT")
+    names = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "feature STRING, feature_idx BIGINT")
+    own = spark.createDataFrame([("a", "z", 2.0), ("a", "x", 1.0), ("b", "y", 0.5), ("b", "q", 9.0), ("d", "x", 1.0)], "sample_id STRING, feature STRING, value DOUBLE")
+    got = {r["sample_id"]: (r["label"], r["size"], r["indices"], r["values"]) for r in matrix.sparse_rows(own, labels, names).collect()}
+    assert got == {"a": (1, 3, [0, 2], [1.0, 2.0]), "b": (-1, 3, [1], [0.5]), "c": (1, 3, [], [])}
+    lines = {r["line"] for r in exports.sparse_libsvm_lines(matrix.sparse_rows(own, labels, names)).collect()}
+    assert lines == {"1 1:1.0 3:2.0", "-1 2:0.5", "1"}
+
+
 def test_a_round_reads_the_working_set_alone(spark):
     """More rounds start no more than two jobs each, and none of these reads the points."""
     tracker = spark.sparkContext.statusTracker()
@@ -400,3 +421,24 @@ def test_analysis_of_folders(spark, tmp_path, completion):
         assert text["rank_differences"][0].startswith("Gene: g")
         assert "nodedef>name VARCHAR, rank DOUBLE, label VARCHAR" in text["gdf_pageranks_healthy"]
         assert "edgedef>node1 VARCHAR, node2 VARCHAR" in text["gdf_clusters_diseased"]
+
+
+# ---- network of a completed matrix ---------------------------------------------------------
+
+def test_factor_network_equals_that_of_the_cells(spark):
+    """For many blocks and one, with and without self-loops; a feature that does not vary has no edge."""
+    rng = np.random.default_rng(4)
+    users, items = rng.normal(3.0, 1.0, (40, 3)), rng.normal(0.0, 1.0, (30, 3))
+    items[7] = items[3] * -2.0
+    items[11] = 0.0
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(users)], "id BIGINT, factors ARRAY<DOUBLE>").repartition(5)
+    right = spark.createDataFrame([(f"f{i:02}", v.tolist()) for i, v in enumerate(items)], "feature STRING, factors ARRAY<DOUBLE>")
+    cells_ = spark.createDataFrame([(u, f"f{i:02}", float(users[u] @ items[i])) for u in range(40) for i in range(30)], "sample_id BIGINT, feature STRING, value DOUBLE")
+    for include_self in (True, False):
+        want = {(r["src"], r["dst"]) for r in statistics.correlation_network(cells_, 0.7, include_self).collect()}
+        assert ("f03", "f07") in want and not any("f11" in e for e in want)
+        for block in (4, 2048):
+            got = lowrank.factor_network(left, right, 3, 0.7, include_self, block).collect()
+            assert {(r["src"], r["dst"]) for r in got} == want and len(got) == len(want)
+    assert lowrank.factor_network(left.limit(0), right, 3).count() == 0
+    assert lowrank.factor_network(left, right.limit(0), 3).count() == 0
