@@ -1,8 +1,8 @@
 """Token files: ids ranked by frequency, in a byte-aligned code of variable length with control bytes of their own.
 
 ``encoded`` turns every text into ids with the tokenizers library. A byte-level tokenizer parts its text before the last white
-space of a run that a visible character follows, so texts are cut there, and a word's ids are looked up if the worker has met it
-lately (two generations of ``cached_words``); only words that are new go to the library. Other tokenizers get whole texts.
+space of a run that a visible character follows, so texts are cut there, and a word's ids are looked up if the worker has met it (the
+last ``cached_words`` at most); only words that are new go to the library. Other tokenizers get whole texts.
 ``write_files`` counts all ids, ranks them (most frequent first, ties by id) and writes, in ascending doc_id order, files of blocks. A
 block has a directory (doc_id, null mark, number of ids), then the control bytes of its documents, then their data bytes. An id is its
 rank in 1 to 4 bytes, little end first; a control byte holds the lengths of four ids, two bits each, first id lowest. A document's
@@ -40,8 +40,6 @@ from sampleweave.session import cut, shared_folder, shuffle_width
 MAGIC = b"RVB1"
 HEAD = "<IQQ"  # documents, control bytes, data bytes of a block
 SPAN = 1 << 20  # characters of a text that are cut into words at a time
-LINE = re.compile("\n(?=[^\\s᠎])")
-WORD = re.compile(" (?=[^\\s᠎])")
 CUT = re.compile("[ \n](?=[^\\s᠎])")
 #: for every control byte the lengths of its four ids
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
@@ -52,14 +50,82 @@ class TokenSettings:
     tokenizer: str | None = None  # a file that every worker has; None: byte_bpe_50k.json of the public tokenizers
     end_id: int = 0
     special_as_text: bool = True
-    cached_words: int = 250_000
+    cached_words: int = 1_000_000
     block_ids: int = 1 << 18
     file_ids: int = 1 << 26
     keys_per_file: int = 40  # sampled sort keys that place the bounds of the files
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every range, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class Column:
+    """A growing array."""
+
+    def __init__(self, kind: str):
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(len(self.data), len(values)), self.data.dtype)])
+        self.data[self.n:self.n + len(values)] = values
+        self.n += len(values)
+
+
+class Words:
+    """The ids of words, found by a 64-bit hash in open addressing; the bytes of a word are kept, so that a hit can be told from a chance one."""
+
+    def __init__(self, kind: str, bits: int):
+        self.keys, self.word_of, self.bits = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), bits
+        self.bytes, self.ids = Column("u1"), Column(kind)
+        self.at, self.size, self.ids_at, self.ids_size = Column("i8"), Column("i4"), Column("i8"), Column("i4")
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The word of every key, -1 for unknown ones."""
+        slot = self.slots(keys)
+        out = np.where(self.keys[slot] == keys, self.word_of[slot], -1)
+        todo = np.flatnonzero((out < 0) & (self.word_of[slot] >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            out[todo] = np.where(self.keys[slot[todo]] == keys[todo], self.word_of[slot[todo]], -1)
+            todo = todo[(out[todo] < 0) & (self.word_of[slot[todo]] >= 0)]
+        return out
+
+    def learn(self, keys: np.ndarray, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New words with keys that differ; ``ids`` of all of them in a row, ``sizes`` how many each has."""
+        lengths, first = np.array([len(w) for w in words]), self.at.n
+        self.at.add(self.bytes.n + np.cumsum(lengths) - lengths)
+        self.size.add(lengths)
+        self.bytes.add(np.frombuffer(b"".join(words), np.uint8))
+        self.ids_at.add(self.ids.n + np.cumsum(sizes) - sizes)
+        self.ids_size.add(sizes)
+        self.ids.add(ids)
+        todo, slot = np.arange(len(keys)), self.slots(keys)
+        while len(todo):
+            free = todo[self.word_of[slot[todo]] < 0]
+            self.word_of[slot[free]] = first + free
+            self.keys[slot[free]] = keys[free]
+            todo = todo[self.word_of[slot[todo]] != first + todo]  # another word took the place
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+
+
+FACTOR = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+IS_CUT, IS_OPEN, IS_MARK, IS_LETTER = (np.isin(np.arange(256), list(own)) for own in (
+    b" \n", [*range(0x21, 0x7F), *range(0xC3, 0xE0)], b".,;:!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+
+
 class WordIds:
-    """Ids of texts as little-endian bytes, two or four an id by the size of the vocabulary."""
+    """Ids of texts as little-endian bytes, two or four an id by the size of the vocabulary.
+
+    A batch of texts is one array of bytes. It is cut before a space or line feed that a visible character follows, and between a letter and a mark
+    behind it: no token of a byte-level tokenizer crosses these places. All words are hashed by running sums and looked up at once.
+    """
 
     def __init__(self, s: TokenSettings):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
@@ -74,87 +140,93 @@ class WordIds:
         pre = made["pre_tokenizer"] or {}
         self.by_word = (made["normalizer"] is None and made["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel"
                         and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
-        if self.by_word:
-            vocabulary = self.tokenizer.get_vocab()
-            self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level piece has one character a byte
-            self.sizes[list(vocabulary.values())] = [len(piece) for piece in vocabulary]
-            self.ends = {c: self.packed([c])[0] for c in ".,;:!?"}
-        self.most = s.cached_words
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # what follows a space
-        self.heads: dict[str, bytes] = {}  # what begins a text or, with its line feed, a line
+        vocabulary = self.tokenizer.get_vocab() if self.by_word else {"": 0}
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level piece has one character a byte
+        self.sizes[list(vocabulary.values())] = [len(piece) for piece in vocabulary]
+        self.most, self.bits = s.cached_words, max(12, (2 * s.cached_words + SPAN).bit_length())
+        self.words = Words(self.kind, self.bits)
+        self.powers = self.inverse = np.ones(1, np.uint64)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def resolved(self, missing: set[str]) -> dict[str, bytes]:
-        """Brings words into the newer part of the cache; gives the ids of those that run over lines, which are not kept.
-
-        A letter and the mark behind it never share a token, nor do a word and the line behind it, so these are learnt apart.
-        """
-        words, old = self.words
-        todo, marked, lines = set(), [], {}
-
-        def want(w: str) -> None:
-            if w not in words:
-                if w[-1:] in self.ends and w[-2:-1].isalpha():
-                    marked.append(w)
-                    w = w[:-1]
-                todo.add(w)
-
-        for w in missing:
-            if "\n" in w:
-                lines[w] = LINE.split(w)
-                w = lines[w][0]
-            want(w)
-        self.learn({w for w in todo if w not in words}, words, old)
-        for w in marked:
-            words[w] = words[w[:-1]] + self.ends[w[-1]]
-        heads = self.of_heads([h for own in lines.values() for h in own[1:]], "\n")
-        for w, own in lines.items():
-            lines[w] = words[own[0]] + b"".join([heads[h] for h in own[1:]])
-        return lines
-
-    def of_heads(self, words: list[str], before: str) -> dict[str, bytes]:
-        """Ids of words that begin a text or, behind a line feed, a line."""
-        heads = self.heads
-        missing = list({w for w in words if before + w not in heads})
-        if len(heads) + len(missing) > self.most:
-            heads = self.heads = {}
-            missing = list(set(words))
-        heads.update(zip([before + w for w in missing], self.packed([before + w for w in missing]), strict=True))
-        return {w: heads[before + w] for w in words}
-
-    def learn(self, missing: set[str], new: dict[str, bytes], old: dict[str, bytes]) -> None:
-        """New words stand in one text together, each after a space: the bytes of its ids tell where a word ends."""
-        new.update((w, old[w]) for w in missing if w in old)
-        words = [w for w in missing if w not in new]
-        for at in range(0, len(words), 500):
-            some = words[at:at + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in some])
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
-            data, step = ids.astype(self.kind).tobytes(), int(self.kind[-1])
-            cuts = [0, *(cuts * step).tolist()]
-            new.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))  # noqa: B905
-
-    def of(self, text: str) -> bytes:
-        if not self.by_word or any(m in text for m in self.marks):
-            return self.packed([text])[0]
-        return b"".join(self.span(part) for part in spans(text))
-
-    def span(self, text: str) -> bytes:
-        if len(self.words[0]) > self.most:
-            self.words = ({}, self.words[0])
-        first, *words = WORD.split(text)
-        ids = list(map(self.words[0].get, words))
-        if None in ids:
-            gaps = [i for i, own in enumerate(ids) if own is None]
-            lines, known = self.resolved({words[i] for i in gaps}), self.words[0]
-            for i in gaps:
-                ids[i] = known.get(words[i]) or lines[words[i]]
-        lines = LINE.split(first)
-        behind = self.of_heads(lines[1:], "\n")
-        return self.of_heads(lines[:1], "")[lines[0]] + b"".join([behind[h] for h in lines[1:]] + ids)
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the texts together should have some ``SPAN`` characters."""
+        if not self.by_word:
+            return self.packed(texts)
+        parts = [[t] if any(m in t for m in self.marks) else list(spans(t)) for t in texts]
+        flat = [p for own in parts for p in own]
+        slow = {i for i, p in enumerate(flat) if len(p) > 4 * SPAN or any(m in p for m in self.marks)}  # long without a place to cut, or with special tokens
+        found = self.batch([b"" if i in slow else p.encode("utf-8", "surrogatepass") for i, p in enumerate(flat)])
+        found = [self.packed([p])[0] if i in slow or own is None else own for i, (p, own) in enumerate(zip(flat, found, strict=True))]
+        ends = np.cumsum([len(own) for own in parts]).tolist()
+        return [b"".join(found[end - len(own):end]) for own, end in zip(parts, ends, strict=True)]
+
+    def batch(self, texts: list[bytes]) -> list[bytes | None]:
+        """None for a text with a word whose hash is that of another word."""
+        data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
+        if not len(data):
+            return [b""] * len(texts)
+        ends = np.cumsum(lengths)
+        cut_ = np.zeros(len(data), bool)
+        cut_[:-1] = IS_CUT[data[:-1]] & IS_OPEN[data[1:]]
+        cut_[1:] |= IS_MARK[data[1:]] & IS_LETTER[data[:-1]]
+        cut_[ends[lengths > 0] - 1] = IS_MARK[data[ends[lengths > 0] - 1]] & cut_[ends[lengths > 0] - 1]  # white space at the end of a text stays together
+        cut_[(ends - lengths)[lengths > 0]] = True
+        starts = np.flatnonzero(cut_)
+        sizes = np.diff(np.append(starts, len(data)))
+        keys = self.hashes(data, starts, sizes)
+        if self.words.at.n > self.most:
+            self.words = Words(self.kind, self.bits)
+        words = self.words.find(keys)
+        missing = np.flatnonzero(words < 0)
+        if len(missing):
+            _, first = np.unique(keys[missing], return_index=True)
+            self.learn(data, keys, starts, sizes, missing[first])
+            words[missing] = self.words.find(keys[missing])
+        w = self.words
+        same = w.size.data[words] == sizes
+        kept = w.bytes.data[ranges(w.at.data[words], np.where(same, sizes, 0))]
+        wrong = ~same
+        if not same.all() or not np.array_equal(kept, data):
+            own = np.repeat(same, sizes)
+            differ = np.flatnonzero(kept != data[own])
+            wrong[np.searchsorted(starts, np.flatnonzero(own)[differ], "right") - 1] = True
+        counts = w.ids_size.data[words]
+        ids = w.ids.data[ranges(w.ids_at.data[words], counts)].tobytes()
+        width = np.dtype(self.kind).itemsize
+        upto = np.append(0, np.cumsum(counts, dtype=np.int64)) * width
+        first = np.searchsorted(starts, ends - lengths)
+        last = np.append(first[1:], len(starts))
+        bad = np.append(0, np.cumsum(wrong))
+        return [None if bad[b] > bad[a] else ids[upto[a]:upto[b]] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Polynomials of the words' bytes modulo 2**64, from one running sum, mixed with their lengths."""
+        if len(self.powers) < len(data):
+            n = 1 << len(data).bit_length()
+            self.powers, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, f, np.uint64))) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:len(data)], out=sums[1:])
+        value = (sums[starts + sizes] - sums[starts]) * self.inverse[starts]
+        value = (value ^ (value >> np.uint64(32)) ^ (sizes.astype(np.uint64) << np.uint64(48))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.maximum(value ^ (value >> np.uint64(29)), np.uint64(1))
+
+    def learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, new: np.ndarray) -> None:
+        """Ids of new words from the library. Those that a space or line feed opens stand in one text together: the bytes of its ids tell where a word ends."""
+        opened_ = IS_CUT[data[starts[new]]] & (sizes[new] > 1)
+        opened_[opened_] = IS_OPEN[data[starts[new[opened_]] + 1]]
+        raw = data.tobytes()
+        for some in (new[opened_][at:at + 500] for at in range(0, int(opened_.sum()), 500)):
+            words = [raw[a:a + n] for a, n in zip(starts[some].tolist(), sizes[some].tolist(), strict=True)]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(words).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, np.int64)
+            upto = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes[some])) + 1
+            self.words.learn(keys[some], words, ids.astype(self.kind), np.diff(upto, prepend=0))
+        alone = new[~opened_]
+        if len(alone):
+            words = [raw[a:a + n] for a, n in zip(starts[alone].tolist(), sizes[alone].tolist(), strict=True)]
+            found = [np.frombuffer(x, self.kind) for x in self.packed([w.decode("utf-8", "surrogatepass") for w in words])]
+            self.words.learn(keys[alone], words, np.concatenate(found), np.array([len(x) for x in found]))
 
 
 def spans(text: str) -> Iterator[str]:
@@ -166,6 +238,19 @@ def spans(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+def batches(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows in lists of about ``SPAN`` characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= SPAN:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encoded(docs: DataFrame, s: TokenSettings = TokenSettings()) -> DataFrame:
     """(doc_id, row, n, ids): the ids of every text and the end id, packed; ``row`` is unique.
 
@@ -175,11 +260,12 @@ def encoded(docs: DataFrame, s: TokenSettings = TokenSettings()) -> DataFrame:
         ids = worker(s)
         end = np.array([s.end_id], ids.kind).tobytes()
         counts = np.zeros(max(ids.tokenizer.get_vocab_size(), s.end_id + 1), np.int64)
-        for doc_id, row, text in rows:
-            data = ids.of(text) + end
-            own = np.bincount(np.frombuffer(data, ids.kind))
-            counts[:len(own)] += own
-            yield doc_id, row, len(data) // len(end), data
+        for held in batches(rows):
+            for (doc_id, row, _), data in zip(held, ids.of([text for *_, text in held]), strict=True):
+                data += end
+                own = np.bincount(np.frombuffer(data, ids.kind))
+                counts[:len(own)] += own
+                yield doc_id, row, len(data) // len(end), data
         yield None, None, -1, counts.tobytes()
 
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
