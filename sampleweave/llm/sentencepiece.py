@@ -29,6 +29,7 @@ import sys
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,8 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = np.iinfo(np.int64).max
 SLICE = 1_000_000  # bytes of text that a worker encodes at once
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000  # of a generation; a slice's words come on top
+WINDOWS = 32  # chunks whose words are scanned together
 MARKS = ".,;:!?"
 LINES = re.compile("(\n)")
 
@@ -392,6 +394,11 @@ class Encoder:
         get = self.cache.get
         return [b"".join([(get(w) or lines[w])[0] for w in t]) for t in texts]
 
+    def prepare(self, windows: list[tuple[str, int, int]]) -> None:
+        """Scans the new words of several chunks (window, begin, end) together."""
+        safe = [(w, self.parts(w, begin, end)) for w, begin, end in windows]
+        self.words([words_of(w[own[0]:own[1]]) for w, own in safe if own is not None])
+
     def inner(self, text: str) -> tuple[bytes, float]:
         """Ids and value of what lies between two safe places."""
         words = words_of(text)
@@ -554,6 +561,12 @@ def boundary_states(matrices: DataFrame, group: int) -> DataFrame:
             .applyInPandas(descend("chunk", True), "row long, chunk int, entry int, leave int"))
 
 
+def together(rows: Iterable[tuple], n: int) -> Iterator[list[tuple]]:
+    rows = iter(rows)
+    while held := list(islice(rows, n)):
+        yield held
+
+
 def id_lists(packed: list[bytes]) -> pa.Array:
     offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
@@ -610,14 +623,18 @@ def encoded_parts(docs: DataFrame, settings: EncodeSettings) -> tuple[DataFrame,
 
     def matrices(rows: Iterable[tuple]) -> Iterator[tuple]:
         e = encoder()
-        for row, k, begin, end, window in rows:
-            m = e.transfer(window, begin, end, k == 0)
-            yield row, k, m.shape[0], m.tobytes()
+        for held in together(rows, WINDOWS):
+            e.prepare([(window, begin, end) for _, _, begin, end, window in held])
+            for row, k, begin, end, window in held:
+                m = e.transfer(window, begin, end, k == 0)
+                yield row, k, m.shape[0], m.tobytes()
 
     def traced(rows: Iterable[tuple]) -> Iterator[tuple]:
         e = encoder()
-        for row, k, begin, end, window, entry, leave in rows:
-            yield row, k, e.between(window, begin, end, k == 0, entry, leave)
+        for held in together(rows, WINDOWS):
+            e.prepare([(window, begin, end) for _, _, begin, end, window, *_ in held])
+            for row, k, begin, end, window, entry, leave in held:
+                yield row, k, e.between(window, begin, end, k == 0, entry, leave)
 
     chunks = cut(map_rows(long_rows.select(marker, "text"), windows, "row long, chunk int, begin int, end int, window string"))
     states = boundary_states(cut(map_rows(chunks, matrices, "row long, chunk int, n_in int, matrix binary")), settings.group)
