@@ -234,3 +234,12 @@ def test_two_fattest(spark):
     pairs = [(a, b) for a in range(0, 40) for b in range(a + 1, 41)]
     got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", turntrie.two_fattest(turntrie.F.col("a"), turntrie.F.col("b")).alias("f")).collect()
     assert all(r.f == max(range(r.a + 1, r.b + 1), key=lambda x: x & -x) for r in got)
+
+
+def test_words_whose_hashes_meet(library, monkeypatch):
+    """A hit is held against the word's bytes; texts with chance hits go to the library whole."""
+    words = tokenfiles.WordIds(tokenfiles.TokenSettings())
+    monkeypatch.setattr(words, "hashes", lambda data, starts, sizes: (data[starts] + sizes % 3).astype(np.uint64) + np.uint64(1))
+    own = [" the cat, the dog. A bird", "", "the end\n of all", "the cat", " x  y\n\n z", "cat, the"] * 3
+    for texts_ in (own, own[::-1]):
+        assert words.of(texts_) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts_]
