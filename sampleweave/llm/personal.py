@@ -2,12 +2,13 @@
 
 ``base_spans`` finds what the fixed patterns define. ``candidates`` proposes more spans, generously and overlapping: mail
 addresses written with "at" and "dot", digit groups with any separators, numbers of four parts. Boosted trees over format
-and context features are fitted on a bounded sample of candidates, in which a candidate counts as personal if the fixed
-patterns confirm it; thresholds calibrated per kind on a part of the sample that took no part in the fit select further
-spans, which are then added greedily by score where they touch no base span and no better one.
+and context features are fitted on the candidates of all texts, of which one counts as personal if the fixed patterns
+confirm it; thresholds calibrated per kind on a third of the candidates that took no part in the fit select further spans,
+which are then added greedily by score where they touch no base span and no better one. Equal rows of features are counted
+once, and every level of a tree is a pass over them of which the driver sees sums by node, feature and bin.
 
-Defined results: a null or empty text has no span; repeated rows are searched one by one; a sample without both classes
-gives no trees and no added span. Offsets are code points, ends exclusive. Texts are searched whole; all searches are
+Defined results: a null or empty text has no span; repeated rows are searched one by one; candidates without both classes
+give no trees and no added span. Offsets are code points, ends exclusive. Texts are searched whole; all searches are
 linear in the text (no pattern can be tried again from within a run it has already read).
 """
 
@@ -17,13 +18,16 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sampleweave.llm.common import bounded_sample, column, map_rows
+from sampleweave.llm.common import column, map_rows
+from sampleweave.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -111,6 +115,8 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
             yield "phone", a, b
 
 
+#: place of the kind among the features
+KIND_FEATURE = 13
 #: group of CUES that speaks for a kind
 CUE_OF = {"email": 1, "ip": 3, "card": 2, "phone": 0}
 
@@ -133,8 +139,6 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
 
 @dataclass(frozen=True)
 class BoostSettings:
-    sample_docs: int = 30_000  # documents whose candidates make up the sample
-    sample_rows: int = 20_000  # bound of the sample that reaches the driver
     rounds: int = 40
     depth: int = 3
     rate: float = 0.3
@@ -144,6 +148,10 @@ class BoostSettings:
     least_calibration: int = 20
 
 
+#: distinct rows of bins that one task of a boosting round reads
+TASK_ROWS = 250_000
+
+
 @dataclass(frozen=True)
 class Trees:
     """Complete trees in heap order: feature and cut per inner node, value per leaf."""
@@ -162,38 +170,75 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, s: BoostSettings) -> Trees:
-    """Second-order boosting of the logistic loss on binned features."""
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, s.bins + 1)[1:-1])) for f in range(x.shape[1])]
-    code = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1)
-    start = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    score, inner = np.full(len(y), start), 2 ** s.depth - 1
-    splits, cuts, leaves = [], [], []
+def bin_edges(seen: DataFrame, bins: int) -> list[np.ndarray]:
+    """Exact quantiles of every feature over counted rows (x, n)."""
+    shares = ", ".join(f"{q!r}D" for q in np.linspace(0, 1, bins + 1)[1:-1].tolist())
+    values = seen.select("n", F.posexplode("x").alias("feature", "value")).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    found = values.groupBy("feature").agg(F.expr(f"percentile(value, array({shares}), n)").alias("edges")).orderBy("feature").collect()
+    return [np.unique(r.edges) for r in found]
+
+
+def binned(seen: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """(codes, yes, n): the bin of every feature as one byte, equal rows counted together, in tasks of about ``TASK_ROWS``."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, len(edges))
+            codes = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("yes"), batch.column("n")], ["codes", "yes", "n"])
+
+    rows = cut(seen.select("x", "yes", "n").mapInArrow(run, "codes binary, yes boolean, n long").groupBy("codes", "yes").agg(F.sum("n").alias("n")))
+    return cut(rows.repartition(max(1, ceil(rows.count() / TASK_ROWS)), "codes").sortWithinPartitions("codes", "yes"))
+
+
+def level_sums(rows: DataFrame, grown: Trees, split: np.ndarray, at: np.ndarray, level: int, edges: list[np.ndarray]) -> np.ndarray:
+    """Gradients and curvatures of the rows of ``binned`` by node of a level, feature and bin; a task returns its sums only."""
+    nodes, bins = 2 ** level, max(map(len, edges)) + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((2, nodes, len(edges), bins))
+        for batch in batches:
+            code = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, len(edges))
+            p, n = 1 / (1 + np.exp(-grown.raw(code))), batch.column("n").to_numpy()
+            g, h = n * (batch.column("yes").to_numpy(zero_copy_only=False) - p), n * p * (1 - p)
+            node, own = np.zeros(len(code), int), np.arange(len(code))
+            for _ in range(level):
+                node = 2 * node + 1 + (code[own, split[node]] > at[node])
+            for f in range(len(edges)):
+                place = (node - nodes + 1) * bins + code[:, f]
+                for k, v in enumerate((g, h)):
+                    out[k, :, f] += np.bincount(place, v, nodes * bins).reshape(nodes, bins)
+        yield pa.RecordBatch.from_arrays([pa.array([out.ravel()], pa.list_(pa.float64()))], ["sums"])
+
+    parts = rows.mapInArrow(run, "sums array<double>").toArrow().column("sums").combine_chunks().flatten().to_numpy()
+    return parts.reshape(-1, 2, nodes, len(edges), bins).sum(axis=0)
+
+
+def boost(rows: DataFrame, yes: int, no: int, edges: list[np.ndarray], s: BoostSettings) -> Trees:
+    """Second-order boosting of the logistic loss on the rows of ``binned``, ``yes`` and ``no`` of them by label: every level of a tree
+    is one pass over all rows."""
+    start, inner = float(np.log((yes + 1) / (no + 1))), 2 ** s.depth - 1
+    splits, places, leaves = np.zeros((0, inner), int), np.zeros((0, inner)), np.zeros((0, inner + 1))
     for _ in range(s.rounds):
-        p = 1 / (1 + np.exp(-score))
-        g, h, node = y - p, p * (1 - p), np.zeros(len(y), int)
-        split, at = np.zeros(inner, int), np.full(inner, np.inf)
-        for k in range(inner):
-            own = np.flatnonzero(node == k)
-            best = (1e-6, 0, 0)
-            for f, e in enumerate(edges):
-                if len(e) and len(own):
-                    gs = np.bincount(code[own, f], g[own], len(e) + 1).cumsum()
-                    hs = np.bincount(code[own, f], h[own], len(e) + 1).cumsum()
-                    gain = gs ** 2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1) - gs[-1] ** 2 / (hs[-1] + 1)
-                    j = int(gain[:-1].argmax())
-                    if gain[j] > best[0]:
-                        best = (float(gain[j]), f, j)
-            if best[0] > 1e-6:
-                split[k], at[k] = best[1], edges[best[1]][best[2]]
-            node[own] = 2 * k + 1 + (x[own, split[k]] > at[k])
-        leaf = np.zeros(inner + 1)
-        for k in range(inner + 1):
-            own = node == inner + k
-            leaf[k] = s.rate * g[own].sum() / (h[own].sum() + s.least_leaf)
-        score += leaf[node - inner]
-        splits.append(split), cuts.append(at), leaves.append(leaf)
-    return Trees(np.array(splits), np.array(cuts), np.array(leaves), start)
+        split, at, leaf = np.zeros(inner, int), np.full(inner, np.inf), np.zeros(inner + 1)
+        for level in range(s.depth):
+            sums = level_sums(rows, Trees(splits, places, leaves, start), split, at, level, edges)
+            for k, (own_g, own_h) in enumerate(zip(*sums, strict=True), 2 ** level - 1):
+                best, left = 1e-6, (own_g[0].sum(), own_h[0].sum())
+                right = (0.0, 0.0)
+                for f, e in enumerate(edges):
+                    if len(e):
+                        gs, hs = own_g[f, :len(e) + 1].cumsum(), own_h[f, :len(e) + 1].cumsum()
+                        gain = gs ** 2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1) - gs[-1] ** 2 / (hs[-1] + 1)
+                        j = int(gain[:-1].argmax())
+                        if gain[j] > best:
+                            best, split[k], at[k] = float(gain[j]), f, j
+                            left, right = (gs[j], hs[j]), (gs[-1] - gs[j], hs[-1] - hs[j])
+                if level == s.depth - 1:
+                    for side, (g, h) in enumerate((left, right)):
+                        leaf[2 * k + 1 + side - inner] = s.rate * g / (h + s.least_leaf)
+        splits, places, leaves = np.vstack([splits, split]), np.vstack([places, at]), np.vstack([leaves, leaf])
+    cuts = [[edges[f][int(j)] if np.isfinite(j) else np.inf for f, j in zip(*tree, strict=True)] for tree in zip(splits, places, strict=True)]
+    return Trees(splits, np.array(cuts), leaves, start)
 
 
 @dataclass(frozen=True)
@@ -202,35 +247,45 @@ class PersonalModel:
     thresholds: dict[str, float]  # on the raw score; a kind without one adds nothing
 
 
-def fit(docs: DataFrame, settings: BoostSettings = BoostSettings()) -> PersonalModel:
-    """Trees and thresholds from the candidates of at most ``sample_docs`` documents, chosen by a hash of their text."""
-    own = docs.select(column(docs, "text", "string").alias("text")).where("text is not null")
-    sample = bounded_sample(own, ["text"], settings.sample_docs)
-
-    def rows(texts):
+def candidate_rows(docs: DataFrame) -> DataFrame:
+    """(part, yes, x, n): features of the candidates of every text, equal ones counted; the ``part`` serves calibration only."""
+    def rows(texts: Iterable[tuple]) -> Iterator[tuple]:
         for (text,) in texts:
             base = set(base_spans(text))
             for c in sorted(set(candidates(text))):
-                yield KINDS.index(c[0]), int(c in base), int(hashlib.md5(text[max(0, c[1] - 40):c[2]].encode("utf-8", "replace")).hexdigest()[:8], 16), features(text, *c)
+                draw = int(hashlib.md5(text[max(0, c[1] - 40):c[2]].encode("utf-8", "replace")).hexdigest()[:8], 16)
+                yield draw % 3 == 0, c in base, features(text, *c)
+
+    own = docs.select(column(docs, "text", "string").alias("text")).where("text is not null")
+    return map_rows(own, rows, "part boolean, yes boolean, x array<double>").groupBy("part", "yes", "x").agg(F.count("*").alias("n"))
 
-    found = map_rows(sample, rows, "kind int, yes int, draw long, x array<double>").orderBy("draw", "kind", "x").limit(settings.sample_rows).collect()
-    y = np.array([r.yes for r in found], float)
-    part = np.array([r.draw % 3 == 0 for r in found], bool)
-    if not len(y) or not 0 < y[~part].sum() < (~part).sum():
+
+def chosen_thresholds(held: DataFrame, trees: Trees, s: BoostSettings) -> dict[str, float]:
+    """By kind the least raw score above which enough of the counted rows (yes, x, n) are personal, 0 at least."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, KIND_FEATURE].astype(np.int32)), pa.array(trees.raw(x)), batch.column("yes"), batch.column("n")],
+                                             ["kind", "raw", "yes", "n"])
+
+    scored = held.select("yes", "x", "n").mapInArrow(run, "kind int, raw double, yes boolean, n long")
+    levels = scored.groupBy("kind", "raw").agg(F.sum(F.when(F.col("yes"), F.col("n")).otherwise(0)).alias("right"), F.sum("n").alias("n"))
+    kind, down = Window.partitionBy("kind"), Window.partitionBy("kind").orderBy(F.desc("raw")).rowsBetween(Window.unboundedPreceding, 0)
+    levels = levels.select("kind", "raw", F.sum("n").over(kind).alias("all"), F.sum("right").over(kind).alias("any"),
+                           (F.sum("right").over(down) / F.sum("n").over(down)).alias("share"))
+    good = levels.where((F.col("all") >= s.least_calibration) & (F.col("any") > 0) & (F.col("share") >= s.precision))
+    return {KINDS[r.kind]: max(float(r.least), 0.0) for r in good.groupBy("kind").agg(F.min("raw").alias("least")).collect()}
+
+
+def fit(docs: DataFrame, settings: BoostSettings = BoostSettings()) -> PersonalModel:
+    """Trees and thresholds from the candidates of all documents."""
+    seen = cut(candidate_rows(docs))
+    counts = {r.yes: r.n for r in seen.where("not part").groupBy("yes").agg(F.sum("n").alias("n")).collect()}
+    if len(counts) < 2:
         return PersonalModel(None, {})
-    x, kinds = np.array([r.x for r in found], float), np.array([r.kind for r in found])
-    trees = boost(x[~part], y[~part], settings)
-    raw, thresholds = trees.raw(x), {}
-    for k, name in enumerate(KINDS):
-        own_kind = part & (kinds == k)
-        if own_kind.sum() < settings.least_calibration or not y[own_kind].any():
-            continue
-        order = np.argsort(-raw[own_kind], kind="stable")
-        values, right = raw[own_kind][order], y[own_kind][order].cumsum() / np.arange(1, own_kind.sum() + 1)
-        good = np.flatnonzero((right >= settings.precision) & np.append(np.diff(values) < 0, True))
-        if len(good):
-            thresholds[name] = max(float(values[good[-1]]), 0.0)
-    return PersonalModel(trees, thresholds)
+    edges = bin_edges(seen.where("not part"), settings.bins)
+    trees = boost(binned(seen.where("not part"), edges), counts[True], counts[False], edges, settings)
+    return PersonalModel(trees, chosen_thresholds(seen.where("part"), trees, settings))
 
 
 def all_spans(text: str, model: PersonalModel) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -228,6 +228,36 @@ def test_personal_query_and_redaction(spark):
     assert next(r.text for r in clean if r.doc_id == 2) == "mail [EMAIL] now"
 
 
+def test_personal_model_from_all_candidates(spark):
+    """More candidates than the 20,000 a former sample held: shares, edges and trees come from every one of them."""
+    texts = [" ; ".join(f"x{k}@mail.org at home" if (i + k) % 3 else f"tel 555-{k:04d}-{i:03d}" for k in range(100)) for i in range(250)]
+    df = table(spark, [*enumerate(texts), (-1, None), (-2, "")])
+    brute = {}
+    for t in texts:
+        base = personal.base_spans(t)
+        for c in set(personal.candidates(t)):
+            draw = int(hashlib.md5(t[max(0, c[1] - 40):c[2]].encode()).hexdigest()[:8], 16)
+            key = draw % 3 == 0, c in base, tuple(personal.features(t, *c))
+            brute[key] = brute.get(key, 0) + 1
+    assert sum(brute.values()) > 20_000
+    own = [(x, yes, n) for (part, yes, x), n in brute.items() if not part]
+    model = personal.fit(df, personal.BoostSettings(rounds=3))
+    yes, no = (sum(n for _, y, n in own if y is k) for k in (True, False))
+    assert model.trees.start == np.log((yes + 1) / (no + 1))
+    seen = personal.candidate_rows(df)
+    assert {(r.part, r.yes, tuple(r.x)): r.n for r in seen.collect()} == brute
+    x, n, y = np.array([o[0] for o in own]), np.array([o[2] for o in own]), np.array([o[1] for o in own], float)
+    edges = personal.bin_edges(seen.where("not part"), 32)
+    for f, e in enumerate(edges):
+        assert np.allclose(e, np.unique(np.quantile(np.repeat(x[:, f], n), np.linspace(0, 1, 33)[1:-1])))
+    # the first tree's leaves, from all rows
+    first = personal.Trees(model.trees.split[:1], model.trees.at[:1], np.arange(8.0)[None], 0.0).raw(x)
+    p = 1 / (1 + np.exp(-model.trees.start))
+    for k in range(8):
+        g, h = (n * (y - p))[first == k].sum(), (n * p * (1 - p))[first == k].sum()
+        assert np.isclose(model.trees.leaf[0, k], 0.3 * g / (h + 4), atol=1e-9)
+
+
 SECRETS = [None, "", "password = 'hunter22' token:abc secret: token: abcdefgh", "API_KEY=\"aaaaaaa\" apikey=bbbbbbbb api-key=cccccccc", "AKIA" + "A" * 15, "xAKIA" + "B" * 16 + "-",
            "é😀 token=1234567", "deadbeef" * 3, "deadbeef" * 2 + "g" + "0" * 23, "ghp_" + "a1" * 18, "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.sig", "token=secret=abcdefgh", "PassWd=x PASSWD=abcdef", "secret=abcdef " * 900]
 
