@@ -442,3 +442,32 @@ def test_factor_network_equals_that_of_the_cells(spark):
             assert {(r["src"], r["dst"]) for r in got} == want and len(got) == len(want)
     assert lowrank.factor_network(left.limit(0), right, 3).count() == 0
     assert lowrank.factor_network(left, right.limit(0), 3).count() == 0
+
+
+def test_graph_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
+    """Links are counted, and a loop's edges held, in tasks of a bounded number of rows; the session's width is then as before."""
+    from sampleweave import session
+    from sampleweave.plans import views
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    lines = [(o, k % 70, (o * 7 + k * k) % 40, o % 5) for o in range(60) for k in range(20)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    before, widths = session.shuffle_width(spark), []
+
+    def noted(step):
+        def run(*args):
+            widths.append(session.shuffle_width(spark))
+            return step(*args)
+        return run
+    monkeypatch.setattr(views, "cut", noted(session.cut))
+    monkeypatch.setattr(graph, "held_by", noted(graph.held_by))
+    counts = views.link_counts(spark, str(tmp_path))
+    plain = {}
+    for o in range(60):
+        parts = [p for _, _, p, _ in sorted(r for r in lines if r[0] == o)]
+        for pair in zip(parts, parts[1:]):
+            plain[pair] = plain.get(pair, 0) + 1
+    assert {(r["src"], r["dst"]): r["n"] for r in counts.collect()} == plain
+    edges = views.both_ways(counts)
+    graph.communities(graph.vertices_of(edges), edges, 1)
+    assert widths == [24, 2 * len(plain) // 50 + (2 * len(plain) % 50 > 0), 2 * edges.count() // 50 + (2 * edges.count() % 50 > 0)]
+    assert session.shuffle_width(spark) == before
