@@ -3,7 +3,7 @@
 One half step solves, per user, (sum v v' + lambda n I) x = sum r v over the user's rated items.
 Ratings come sorted by user, and numpy sums a user's run of vectors as a matrix product; the state between two Arrow batches is
 one user's sums. A hot user's ratings are split into slots, and only the sums of such users are merged. In the blocked form the
-ratings stay where they are, packed, and a half step moves each item vector once to every piece that needs it.
+ratings and the routes to them stay where they are, packed, and a half step moves each item vector once to every piece that needs it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import id_uniform, unrolled_dot
@@ -26,6 +26,7 @@ from .keys import HOT_ROWS, SlottedRows, block_of, held_by, slotted
 BROADCAST_BYTES = 64 * 1024 * 1024
 ITEM_BLOCK = 512
 PIECE_ROWS = 2_000_000
+SHARD_ROWS = 250_000
 FACTORS = "id BIGINT, factors ARRAY<DOUBLE>"
 SUMS = "id BIGINT, n BIGINT, gram ARRAY<DOUBLE>, rhs ARRAY<DOUBLE>"
 RATED = ("CAST(user AS BIGINT) AS user", "CAST(rating AS DOUBLE) AS rating", "factors")
@@ -231,18 +232,24 @@ def held_ratings(ratings: DataFrame, rank: int, hot_rows: int, most_bytes: int)
 
 @dataclass(frozen=True)
 class RoutedRatings:
-    """Ratings packed by user block and piece, and the routes that item vectors take to them.
+    """Ratings packed by user block and piece, and the routes that item vectors take to them, packed by shard of items.
 
-    A piece is one row: its ``users`` in order, where the ratings of each of them start, its ``items`` in order, and for every rating
-    the place of its item and its value. It stays in its task for all rounds.
+    A piece is one row: its ``users`` in order, where the ratings of each of them start, the number of its items, and for every rating
+    the place of its item and its value. Items have their places by shard, then by id, so a shard's vectors lie together: ``shard_starts``
+    tells where those of each of its ``shard_ids`` begin. A route is one row: the items that a piece needs of a shard, in that order.
+    Both stay in their tasks for all rounds.
     """
 
-    pieces: DataFrame  # block, piece, users, starts, items, places, ratings
-    routes: DataFrame  # block, piece, item
+    pieces: DataFrame  # block, piece, users, starts, n_items, shard_ids, shard_starts, places, ratings
+    routes: DataFrame  # shard, block, piece, items
+    shards: int
     hot_users: DataFrame | None
 
 
 PIECE = "block BIGINT, piece BIGINT, users ARRAY<BIGINT>, starts ARRAY<BIGINT>, items ARRAY<BIGINT>, places ARRAY<INT>, ratings ARRAY<DOUBLE>"
+SHARDED = f"{PIECE}, n_items BIGINT, shard_ids ARRAY<BIGINT>, shard_starts ARRAY<BIGINT>"
+ROUTE = "shard BIGINT, block BIGINT, piece BIGINT, items ARRAY<BIGINT>"
+SENT = "block BIGINT, piece BIGINT, shard BIGINT, factors ARRAY<DOUBLE>"
 
 
 def packed_piece(key: tuple, rows: pa.Table) -> pa.Table:
@@ -256,29 +263,85 @@ def packed_piece(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({n: pa.array([v], k) for n, v, k in zip(names, row, kinds, strict=True)})
 
 
-def by_user_block(ratings: DataFrame, blocks: int, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS) -> RoutedRatings:
-    """``blocks`` user blocks, each in pieces of about ``piece_rows`` ratings.
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(i, 1) for i in range(batch.num_rows))
 
-    A piece has whole users, but for those with more than ``hot_rows`` ratings, which are split by item over several pieces.
+
+def in_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with the items in the order of their shards ``of``."""
+    for row in rows_of(batches):
+        items, places, of = (row.column(c).flatten().to_numpy() for c in ("items", "places", "of"))
+        order = np.argsort(of, kind="stable")
+        moved = np.empty(len(order), np.int32)
+        moved[order] = np.arange(len(order))
+        ids, starts = np.unique(of[order], return_index=True)
+        lists_ = [pa.array([v], pa.list_(k)) for v, k in ((items[order], pa.int64()), (moved[places], pa.int32()))]
+        yield pa.RecordBatch.from_arrays(
+            [*(row.column(c) for c in ("block", "piece", "users", "starts")), *lists_, row.column("ratings"), pa.array([len(items)], pa.int64()),
+             *(pa.array([v], pa.list_(pa.int64())) for v in (ids, starts))],
+            ["block", "piece", "users", "starts", "items", "places", "ratings", "n_items", "shard_ids", "shard_starts"])
+
+
+def routes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every shard that a piece has items of."""
+    for row in rows_of(batches):
+        items, ids, starts = (row.column(c).flatten() for c in ("items", "shard_ids", "shard_starts"))
+        ends = pa.array(np.append(starts.to_numpy(), len(items)), pa.int32())
+        own = [pa.array(row.column(c).to_pylist() * len(ids), pa.int64()) for c in ("block", "piece")]
+        yield pa.RecordBatch.from_arrays([ids, *own, pa.ListArray.from_arrays(ends, items)], ["shard", "block", "piece", "items"])
+
+
+def shard_of(item: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(item), F.lit(shards)).cast("long")
+
+
+def by_user_block(ratings: DataFrame, blocks: int, hot_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS, shard_rows: int = SHARD_ROWS) -> RoutedRatings:
+    """``blocks`` user blocks, each in pieces of about ``piece_rows`` ratings, and shards whose items have about ``shard_rows`` ratings.
+
+    A piece has whole users, but for those with more than ``hot_rows`` ratings, which are split by item over several pieces. A rating
+    without user or item meets no vector, and has no place; one without value adds nothing to the right side.
     """
-    spread = slotted(ratings.select("user", "item", "rating"), "user", ["item"], min(hot_rows, piece_rows))
+    known = ratings.selectExpr("user", "item", "coalesce(rating, 0.0) AS rating").where("user is not null and item is not null")
+    spread = slotted(known, "user", ["item"], min(hot_rows, piece_rows))
     rows = spread.rows.withColumn("user", F.col("user").cast("long")).withColumn("item", F.col("item").cast("long")).withColumn("block", block_of(F.col("user"), blocks))
-    largest = rows.groupBy("block").count().agg(F.max("count")).first()[0] or 0
-    pieces = max(1, ceil(largest / piece_rows))
+    counted = rows.groupBy("block").count().agg(F.max("count"), F.sum("count")).first()
+    pieces, shards = (max(1, ceil((n or 0) / most)) for n, most in zip(counted, (piece_rows, shard_rows), strict=True))
     part = F.pmod(F.xxhash64(*spread.on), F.lit(pieces)).cast("long")
-    packed = cut(rows.withColumn("piece", part).select("block", "piece", "user", "item", "rating").groupBy("block", "piece").applyInArrow(packed_piece, PIECE))
-    routes = cut(packed.select("block", "piece", F.explode("items").alias("item")))
-    held = packed.repartition(shuffle_width(ratings.sparkSession), "block", "piece").sortWithinPartitions("block", "piece").persist()
-    held.count()
-    return RoutedRatings(held, routes, hot_ids(spread))
+    packed = rows.withColumn("piece", part).select("block", "piece", "user", "item", "rating").groupBy("block", "piece").applyInArrow(packed_piece, PIECE)
+    packed = cut(packed.withColumn("of", F.transform("items", lambda item: shard_of(item, shards))).mapInArrow(in_shards, SHARDED))
+    width = shuffle_width(ratings.sparkSession)
+    routes = (packed.select("block", "piece", "items", "shard_ids", "shard_starts").mapInArrow(routes_of, ROUTE)
+              .repartition(width, "shard").sortWithinPartitions("shard").persist())
+    held = packed.drop("items").repartition(width, "block", "piece").sortWithinPartitions("block", "piece").persist()
+    routes.count(), held.count()
+    return RoutedRatings(held, routes, shards, hot_ids(spread))
+
+
+def sent_vectors(vectors: pa.Table, routes: pa.Table, rank: int) -> pa.Table:
+    """A shard's vectors for each of its routes, one after another; an item without vector has NaN."""
+    ids = vectors.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    items = routes.column("items").combine_chunks()
+    own, wanted = ids[order], items.flatten().to_numpy()
+    sent = np.full((len(wanted), rank), np.nan)
+    if len(own):
+        at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+        known = own[at] == wanted
+        sent[known] = matrix(vectors.column("factors").combine_chunks(), rank)[order[at[known]]]
+    ends = np.append(0, np.cumsum(items.value_lengths().to_numpy())) * rank
+    return pa.table({**{c: routes.column(c) for c in ("block", "piece", "shard")}, "factors": pa.ListArray.from_arrays(ends.astype(np.int32), sent.reshape(-1))})
 
 
 def piece_sums(piece: pa.Table, sent: pa.Table, rank: int) -> Sums:
     """The sums of a piece's users from the item vectors that were sent to it; an item without vector counts nothing."""
-    row = {name: piece.column(name).combine_chunks().flatten().to_numpy() for name in ("users", "starts", "items", "places", "ratings")}
-    vectors = np.full((len(row["items"]), rank), np.nan)
-    if sent.num_rows:
-        vectors[np.searchsorted(row["items"], sent.column("item").to_numpy())] = matrix(sent.column("factors").combine_chunks(), rank)
+    row = {name: piece.column(name).combine_chunks().flatten().to_numpy() for name in ("users", "starts", "places", "ratings", "shard_ids", "shard_starts")}
+    vectors = np.full((piece.column("n_items")[0].as_py(), rank), np.nan)
+    for chunk in sent.to_batches():
+        starts = row["shard_starts"][np.searchsorted(row["shard_ids"], chunk.column("shard").to_numpy())]
+        lengths, values = chunk.column("factors").value_lengths().to_numpy() // rank, matrix(chunk.column("factors"), rank)
+        for start, end, length in zip(starts.tolist(), np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+            vectors[start:start + length] = values[end - length:end]
     users = np.repeat(row["users"], np.diff(np.append(row["starts"], len(row["places"]))))
     own = vectors[row["places"]]
     known = ~np.isnan(own[:, 0])
@@ -286,8 +349,12 @@ def piece_sums(piece: pa.Table, sent: pa.Table, rank: int) -> Sums:
 
 
 def routed_step(rated: RoutedRatings, factors: DataFrame, rank: int, regularization: float) -> DataFrame:
-    """The same with each item vector sent once to every piece that needs it; users are solved where their ratings lie."""
-    sent = factors.withColumnRenamed("id", "item").join(rated.routes, "item").select("block", "piece", "item", "factors")
+    """The same with each item vector sent once to every piece that needs it; users are solved where their ratings lie.
+
+    Only the vectors move: first to the shard of their item, then, packed by shard and piece, to the pieces.
+    """
+    placed = factors.select("id", "factors").where("id is not null").withColumn("shard", shard_of(F.col("id"), rated.shards))
+    sent = placed.groupBy("shard").cogroup(rated.routes.groupBy("shard")).applyInArrow(lambda vectors, routes: sent_vectors(vectors, routes, rank), SENT)
     groups = rated.pieces.groupBy("block", "piece").cogroup(sent.groupBy("block", "piece"))
     is_whole = rated.hot_users is None
 
@@ -331,8 +398,8 @@ def factorize_blocked(ratings: DataFrame, rank: int = 10, regularization: float
         users = routed_step(forth, items, rank, regularization)
         items = rounds.commit(routed_step(back, users, rank, regularization))
     users = cut(routed_step(forth, items, rank, regularization))
-    forth.pieces.unpersist()
-    back.pieces.unpersist()
+    for held in (forth.pieces, forth.routes, back.pieces, back.routes):
+        held.unpersist()
     return Factorization(users, items)
 
 

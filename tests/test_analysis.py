@@ -171,6 +171,33 @@ def test_blocks_exchange_nothing_after_the_join(spark):
     assert "Exchange" not in left
 
 
+def test_blocks_move_nothing_but_vectors(spark):
+    """The routes stay in their tasks as well, and a vector goes to a piece packed with those of its shard."""
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 40, 900), rng.integers(0, 60, 900))})
+    df = spark.createDataFrame([(u, i, float(u % 5)) for u, i in rows], "user BIGINT, item BIGINT, rating DOUBLE")
+    routed = als.by_user_block(df, 2, piece_rows=100, shard_rows=200)
+    pieces, routes = routed.pieces.count(), routed.routes.collect()
+    assert pieces > 4 and routed.shards > 2 and len({(r["shard"], r["block"], r["piece"]) for r in routes}) == len(routes) <= pieces * routed.shards
+    assert max(len(r["items"]) for r in routes) > 5
+    factors = spark.createDataFrame([(i, rng.random(3).tolist()) for i in range(50)], "id BIGINT, factors ARRAY<DOUBLE>")  # ten items have none
+    step = als.routed_step(routed, factors, 3, 0.1)
+    sides = step._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")
+    held = [side[:side.index("InMemoryRelation")] for side in sides[2].split("InMemoryTableScan")[1:]]
+    assert len(sides) == 3 and held and all("Exchange" not in side for side in held)
+    got, want = ({r["id"]: r["factors"] for r in f.collect()} for f in (step, als.joined_step(als.by_item(df), factors, 3, 0.1)))
+    assert set(got) == set(want) and all(got[u] == pytest.approx(want[u]) for u in want)
+
+
+def test_blocks_with_nulls(spark):
+    """A rating without user or item has no place, and one without value adds nothing to the right side."""
+    rows = [(1, 1, 2.0), (1, 2, None), (2, 1, 4.0), (None, 1, 1.0), (2, None, 1.0)]
+    df, kept = (spark.createDataFrame(r, "user BIGINT, item BIGINT, rating DOUBLE") for r in (rows, [(1, 1, 2.0), (1, 2, 0.0), (2, 1, 4.0)]))
+    start = als.start_factors(als.rated_items(kept), 3)
+    got, want = ({r["id"]: r["factors"] for r in f.collect()} for f in (als.routed_step(als.by_user_block(df, 2), start, 3, 0.1), als.joined_step(als.by_item(kept), start, 3, 0.1)))
+    assert set(got) == set(want) == {1, 2} and all(got[u] == pytest.approx(want[u]) for u in want)
+
+
 def test_rank_fifty(spark):
     """One half step at rank 50 by all three ways against numpy; a hot user's parts are merged."""
     rng = np.random.default_rng(2)
