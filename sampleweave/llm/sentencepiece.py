@@ -47,6 +47,7 @@ NEVER = np.iinfo(np.int64).max
 SLICE = 1_000_000  # bytes of text that a worker encodes at once
 CACHE_WORDS = 60_000  # of a generation; a slice's words come on top
 WINDOWS = 32  # chunks whose words are scanned together
+CELLS = 500_000  # (word, position) places of a common scan; each takes some 20 bytes
 MARKS = ".,;:!?"
 LINES = re.compile("(\n)")
 
@@ -174,7 +175,7 @@ class Vocabulary:
         parents = sorted({p[:-1] for p in nodes if len(p) > 1})
         row = {p: k for k, p in enumerate(parents, 1)}
         self.node_piece, self.node_row = np.full(len(nodes) + 1, -1, np.int32), np.zeros(len(nodes) + 1, np.int32)
-        self.next = np.zeros((len(parents) + 1, self.width), np.int32)
+        self.next = np.zeros((len(parents) + 1, self.width), np.uint16 if len(nodes) <= 1 << 16 else np.int32)
         self.first = np.zeros(len(inside) + len(alone) + 1, np.int32)
         for p, n in nodes.items():
             self.node_piece[n], self.node_row[n] = number.get(p, -1), row.get(p, 0)
@@ -302,7 +303,7 @@ class Vocabulary:
         while at < len(order):
             width = len(words[order[at]])
             end = at
-            while end < len(order) and end - at < 20_000 and len(words[order[end]]) <= width + 2 + width // 8 and (end - at + 1) * len(words[order[end]]) <= 2_000_000:
+            while end < len(order) and end - at < 20_000 and len(words[order[end]]) <= width + 2 + width // 8 and (end - at + 1) * len(words[order[end]]) <= CELLS:
                 end += 1
             block = order[at:max(end, at + 1)]
             at += len(block)
