@@ -36,7 +36,7 @@ from sampleweave.llm.common import bounded_sample, column, fold, map_rows
 from sampleweave.session import cut
 
 WORD = re.compile(r"[^\W\d_]+")
-MEMO_WORDS = 100_000  # words or terms that a task keeps at once; most of a large input's words are met only once
+MEMO_WORDS = 100_000  # the words whose known terms a task keeps; the frequent ones are met early
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def count_labelled(rows: Iterable[tuple]) -> Iterator[tuple]:
         own = seen[0 if label else 1]
         own.update(document_terms(text))
         own[""] += 1
-        if len(seen[0]) + len(seen[1]) > 2 * MEMO_WORDS:
+        if len(seen[0]) + len(seen[1]) > 500_000:
             yield from split_counts(seen)
             seen[0].clear(), seen[1].clear()
     yield from split_counts(seen)
@@ -150,9 +150,9 @@ def count_known(known: set[str]):
             for w in set(WORD.findall((text or "").lower())):
                 own = memo.get(w)
                 if own is None:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    own = memo[w] = tuple(t for t in terms_of(w) if t in known)
+                    own = tuple(t for t in terms_of(w) if t in known)
+                    if len(memo) < MEMO_WORDS:
+                        memo[w] = own
                 if own:
                     found.update(own)
             for t in found:
@@ -231,7 +231,7 @@ def scan(weights: dict[str, float], gap: float):
     def weight(word: str) -> float:
         s = memo.get(word)
         if s is None:
-            if len(memo) >= MEMO_WORDS:
+            if len(memo) > 500_000:
                 memo.clear()
             s = memo[word] = max((weights.get(t, 0.0) for t in terms_of(word)), default=0.0)
         return s
