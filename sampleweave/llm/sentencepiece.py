@@ -7,7 +7,8 @@ merging the characters of both in order of rank leaves just these two. A sequenc
 the BPE encoding, and there is exactly one (no merge across a boundary is ever the next one), so the same scan serves both kinds.
 
 Nothing crosses the place before a space that follows another character; there all states meet, and what lies between two such
-places (a word) has a path of its own, found for all new words of a slice at once and kept in a bounded cache per worker.
+places (a word) has a path of its own, found for all new words of a slice at once and kept in a bounded table per worker, where words are
+looked up by hash, a slice of texts at a time.
 Texts of up to ``chunk`` characters are one chunk. Longer ones are cut into chunks at fixed positions: each yields a transfer
 matrix from the states that cross its left boundary to those that cross its right one; matrices are multiplied (max, +) in
 groups of ``group`` and the products once more per document; the winning boundary states are then handed back down, and
@@ -39,17 +40,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sampleweave.llm.common import column, map_rows
+from sampleweave.llm.tokenfiles import Column, WordHashes, Words, ranges
 from sampleweave.session import cut
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = np.iinfo(np.int64).max
-SLICE = 1_000_000  # bytes of text that a worker encodes at once
-CACHE_WORDS = 60_000  # of a generation; a slice's words come on top
-WINDOWS = 32  # chunks whose words are scanned together
-CELLS = 500_000  # (word, position) places of a common scan; each takes some 20 bytes
-MARKS = ".,;:!?"
-LINES = re.compile("(\n)")
+SLICE = 400_000  # bytes of text whose words a worker looks up at once
+CACHE_WORDS = 250_000  # that a worker keeps; a slice's words come on top
+CACHE_BITS = 20  # of the places in their hash table
+WINDOWS = 32  # chunks whose words are looked up together
+CELLS = 100_000  # bytes of words of a common scan; each takes some 150 bytes
+SAFE = re.compile(f"(?<!{SPACE}){SPACE}")
 
 
 @dataclass(frozen=True)
@@ -230,50 +232,81 @@ class Vocabulary:
             rows, i, j, until_a, until_b = rows[go], i[go], j[go], until_a[go], until_b[go]
         return ok
 
-    def scan(self, codes: np.ndarray, lengths: np.ndarray, start: np.ndarray, entry: np.ndarray, stop: int | None = None):
-        """Best paths through all rows of ``codes`` (padded) at once, each from its ``start`` after its ``entry`` piece.
+    def edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces found in rows of characters that lie one after another: where they begin, their lengths and numbers.
 
-        Returns value, last piece and its length per (row, position); with ``stop`` no piece begins there or later, and the
-        list of (rows, positions, pieces, values) of the pieces that reach or cross it.
+        ``left`` tells how many characters a row has from each one on. A character that is no piece itself has the number ``size``.
         """
+        at, node, length = np.arange(len(codes)), self.first[codes], 1
+        inside, after = np.where(codes < self.width, codes, 0), self.next.reshape(-1)
+        piece = np.where(node > 0, self.node_piece[node], -1)
+        found = [(at, np.where(piece < 0, self.size, piece))]
+        while True:
+            row = self.node_row[node]
+            go = (row > 0) & (left[at] > length)
+            at = at[go]
+            if not len(at):
+                break
+            node = after[row[go] * self.width + inside[at + length]]
+            at, node, length = at[node > 0], node[node > 0], length + 1
+            piece = self.node_piece[node]
+            found.append((at[piece >= 0], piece[piece >= 0]))
+        return np.concatenate([x for x, _ in found]), np.repeat(np.arange(1, len(found) + 1), [len(x) for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def scan(self, codes: np.ndarray, lengths: np.ndarray, start: np.ndarray, entry: np.ndarray, stop: int | None = None):
+        """``scan_rows`` for the rows of a matrix (padded): value, last piece and its length per (row, position), and the crossing pieces."""
         n, width = codes.shape
-        last, size = np.full((n, width + 1), -1, np.int32), np.zeros((n, width + 1), np.int16)
-        value = np.full((n, width + 1), -np.inf)
-        last[np.arange(n), start], value[np.arange(n), start] = entry, 0.0
-        crossing = []
-        for i in range(width if stop is None else min(stop, width)):
-            rows = np.flatnonzero((lengths > i) & (last[:, i] >= 0))
-            if not len(rows):
-                continue
-            c = codes[rows, i]
-            node = self.first[c]
-            piece = np.where(node > 0, self.node_piece[node], -1)
-            piece = np.where(piece < 0, self.size, piece)  # a character that is no piece itself
-            before, base, length = last[rows, i], value[rows, i], 1
-            while len(rows):
-                has = np.flatnonzero(piece >= 0)
-                if len(has):
-                    r, p, end = rows[has], piece[has], i + length
-                    if self.bpe:
-                        new = np.where(self.follows(before[has], p), base[has], -np.inf)
-                    else:
-                        new = base[has] + self.score[p]
-                    if stop is not None and end >= stop:
-                        good = new > -np.inf
-                        crossing.append((r[good], np.full(good.sum(), end), p[good], new[good]))
-                    better = new > value[r, end]
-                    r, p = r[better], p[better]
-                    last[r, end], size[r, end], value[r, end] = p, length, new[better]
-                go = (self.node_row[node] > 0) & (lengths[rows] > i + length)
-                rows, before, base, node = rows[go], before[go], base[go], node[go]
-                if not len(rows):
-                    break
-                c = codes[rows, i + length]
-                node = np.where(c < self.width, self.next[self.node_row[node], np.minimum(c, self.width - 1)], 0)
-                alive = node > 0
-                rows, before, base, node = rows[alive], before[alive], base[alive], node[alive]
-                piece, length = self.node_piece[node], length + 1
-        return value, last, size, crossing
+        inside = np.arange(width + 1) <= lengths[:, None]
+        _, *found, crossing = self.scan_rows(codes[inside[:, 1:]], lengths, start, entry, stop)
+        out = [np.full((n, width + 1), -np.inf), np.full((n, width + 1), -1, np.int32), np.zeros((n, width + 1), np.int32)]
+        for matrix, states in zip(out, found, strict=True):
+            matrix[inside] = states
+        return *out, crossing
+
+    def scan_rows(self, codes: np.ndarray, lengths: np.ndarray, start: np.ndarray, entry: np.ndarray, stop: int | None = None):
+        """Best paths through rows of characters, one after another in ``codes``, each from its ``start`` after its ``entry`` piece.
+
+        Returns where each row's states begin, then value, last piece and its length per state (a row has one more than characters);
+        with ``stop`` no piece begins there or later, and the list of (rows, positions, pieces, values) of the pieces that reach or
+        cross it. All pieces that begin at one position of any row are weighed together.
+        """
+        n = len(lengths)
+        row = np.repeat(np.arange(n), lengths)
+        place = np.arange(len(codes)) - (np.cumsum(lengths) - lengths)[row]
+        states = np.cumsum(lengths + 1) - lengths - 1
+        last, size, value = np.full(len(codes) + n, -1, np.int32), np.zeros(len(codes) + n, np.int32), np.full(len(codes) + n, -np.inf)
+        last[states + start], value[states + start] = entry, 0.0
+        begin, length, piece = self.edges(codes, lengths[row] - place)
+        upto = place[begin]
+        if stop is not None:
+            begin, length, piece, upto = (x[upto < stop] for x in (begin, length, piece, upto))
+        order = np.argsort(upto.astype(np.uint16) if len(upto) and upto.max() < 1 << 16 else upto, kind="stable")
+        begin, length, piece = begin[order], length[order], piece[order]
+        own = row[begin]
+        begin = begin + own  # the state before the piece
+        end = begin + length
+        crossing, bounds = [], np.append(0, np.cumsum(np.bincount(upto))).tolist()
+        for i, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            b, e, p = begin[low:high], end[low:high], piece[low:high]
+            before = last[b]
+            if before.size and before.min() < 0:
+                live = np.flatnonzero(before >= 0)
+                b, e, p, before = b[live], e[live], p[live], before[live]
+            else:
+                live = slice(None)
+            if self.bpe:
+                new = value[b] if i == 0 and (before == self.size + 1).all() else np.where(self.follows(before, p), value[b], -np.inf)
+            else:
+                new = value[b] + self.score[p]
+            if stop is not None:
+                r = own[low:high][live]
+                ends = e - states[r]
+                good = (new > -np.inf) & (ends >= stop)
+                crossing.append((r[good], ends[good], p[good], new[good]))
+            better = new > value[e]
+            e, p = e[better], p[better]
+            last[e], size[e], value[e] = p, length[low:high][live][better], new[better]
+        return states, value, last, size, crossing
 
     def ids(self, pieces: Iterable[int], text: str) -> tuple[int, ...]:
         """Model ids of a path over ``text``; what is outside the vocabulary becomes bytes."""
@@ -295,117 +328,134 @@ class Vocabulary:
             end -= int(size[end])
         return out[::-1]
 
-    def encode_words(self, words: list[str]) -> list[tuple[bytes, float]]:
-        """Ids (32 bits each) and value of every word, in blocks of words of like length."""
-        out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        at = 0
-        while at < len(order):
-            width = len(words[order[at]])
-            end = at
-            while end < len(order) and end - at < 20_000 and len(words[order[end]]) <= width + 2 + width // 8 and (end - at + 1) * len(words[order[end]]) <= CELLS:
-                end += 1
-            block = order[at:max(end, at + 1)]
-            at += len(block)
-            lengths = np.array([len(words[k]) for k in block])
-            codes = np.zeros((len(block), int(lengths.max())), np.int32)
-            flat = self.codes("".join(words[k] for k in block))
-            codes[np.arange(codes.shape[1]) < lengths[:, None]] = flat
-            value, last, size, _ = self.scan(codes, lengths, np.zeros(len(block), int), np.full(len(block), self.size + 1))
-            ends, steps = lengths.copy(), []
-            rows = np.arange(len(block))
-            while (ends > 0).any():  # all rows step back together; finished ones repeat a mark
-                steps.append(np.where(ends > 0, last[rows, ends], -1))
-                ends = ends - np.where(ends > 0, size[rows, ends], 0)
-            pieces = np.stack(steps[::-1], axis=1) if steps else np.zeros((len(block), 0), np.int32)
-            values, foreign = value[rows, lengths].tolist(), (pieces == self.size).any(axis=1).tolist()
-            flat, ends = pieces[pieces >= 0], np.cumsum((pieces >= 0).sum(axis=1)).tolist()
-            data, begin = flat.astype(np.int32).tobytes(), 0
-            for k, end, v, f in zip(block, ends, values, foreign, strict=True):
-                out[k] = (np.array(self.ids(flat[begin:end], words[k]), np.int32).tobytes() if f else data[4 * begin:4 * end], v)
-                begin = end
-        return out
+    def encode_words(self, signs: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, whose characters ``signs`` lie one after another; the number of ids and the value of every word."""
+        states, value, last, size, _ = self.scan_rows(self.char[signs], lengths, np.zeros(len(lengths), int), np.full(len(lengths), self.size + 1))
+        on, at, least = np.zeros(len(last), bool), states + lengths, states
+        while len(at):  # all words step back together
+            on[at] = True
+            at = at - size[at]
+            at, least = at[at > least], least[at > least]
+        pieces, of = last[on], np.repeat(np.arange(len(lengths)), lengths + 1)[on]
+        foreign = np.flatnonzero(pieces == self.size)
+        if not len(foreign):
+            return pieces, np.bincount(of, minlength=len(lengths)), value[states + lengths]
+        if not self.byte_id:
+            pieces[foreign] = self.unknown_id
+            return pieces, np.bincount(of, minlength=len(lengths)), value[states + lengths]
+        sign = signs[np.flatnonzero(on)[foreign] - of[foreign] - 1].astype(np.int64)
+        count = 1 + (sign >= 0x80) + (sign >= 0x800) + (sign >= 0x10000)
+        sizes = np.ones(len(pieces), np.int64)
+        sizes[foreign] = count
+        out, first = np.repeat(pieces, sizes), (np.cumsum(sizes) - sizes)[foreign]
+        byte_id = np.array([self.byte_id.get(b, self.unknown_id) for b in range(256)], np.int32)
+        for k in range(4):  # the bytes of UTF-8
+            more = count > k
+            bits = sign[more] >> 6 * (count[more] - 1 - k)
+            out[first[more] + k] = byte_id[bits & 0x3F | 0x80 if k else bits | np.array([0, 0, 0xC0, 0xE0, 0xF0])[count[more]]]
+        return out, np.bincount(of, sizes, len(lengths)).astype(np.int64), value[states + lengths]
 
     def normal(self, text: str) -> str:
         return ((SPACE if self.prefix else "") + text.replace(" ", SPACE)) if text else ""
 
 
-def words_of(normal: str) -> list[str]:
-    """Cut before every space that follows another character."""
-    parts = normal.split(SPACE)
-    if "" not in parts[1:]:
-        return ([parts[0]] if parts[0] else []) + [SPACE + p for p in parts[1:]]
-    out, held = ([parts[0]] if parts[0] else []), ""
-    for p in parts[1:]:
-        held += SPACE
-        if p:
-            out.append(held + p)
-            held = ""
-    return [*out, held] if held else out
-
-
 class Encoder:
-    """A worker's vocabulary and word cache, whose newer generation has all words of the texts at hand."""
+    """A worker's vocabulary and the words that it has met: found by hash, told apart by their bytes, all forgotten beyond ``CACHE_WORDS``."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.cache, self.older = vocabulary, {}, {}
-        own = {c: int(vocabulary.node_piece[vocabulary.first[vocabulary.char[ord(c)]]]) for c in MARKS if vocabulary.char[ord(c)]}
-        self.marks = {c: p for c, p in own.items() if p >= 0} if vocabulary.bpe else {}
-        self.foreign = np.array([*vocabulary.byte_of, vocabulary.unknown_id])  # these do not tell which piece they stand for
+        self.v, self.hashed = vocabulary, WordHashes()
+        self.lines = vocabulary.char[ord("\n")] == 0  # a line feed that the vocabulary lacks is a word of its own
+        self.ready: dict[str, tuple[bytes, float]] = {}
+        self.forget()
 
-    def words(self, texts: list[list[str]]) -> dict[str, tuple[bytes, float]]:
-        """Brings all words into the cache; gives those that run over lines, which are not kept.
-
-        A line feed that the vocabulary lacks parts a word into ones of their own. A word with a mark at its end is the
-        word and the mark, if the model lets the mark follow its last piece.
-        """
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.older = {}, self.cache
-        cache, lines = self.cache, {}
-        new = {w for t in texts for w in t if w not in cache}
-        if self.v.char[ord("\n")] == 0:
-            lines = {w: [p for p in LINES.split(w) if p] for w in new if "\n" in w}
-            new = (new - lines.keys()).union(*lines.values()) if lines else new
-        new = self.fetched(new)
-        marked = [w for w in new if w[-1] in self.marks and len(w) > 1]
-        rest = self.fetched({w for w in new if w[-1] not in self.marks or len(w) == 1} | {w[:-1] for w in marked})
-        cache.update(zip(rest, self.v.encode_words(rest), strict=True))
-        if marked:
-            before = np.array([np.frombuffer(cache[w[:-1]][0][-4:], np.int32)[0] for w in marked])
-            mark = np.array([self.marks[w[-1]] for w in marked])
-            fits = self.v.follows(before, mark) & ~np.isin(before, self.foreign)
-            cache.update((w, (cache[w[:-1]][0] + m.to_bytes(4, "little"), 0.0)) for w, m, ok in zip(marked, mark.tolist(), fits.tolist(), strict=True) if ok)
-            rest = [w for w, ok in zip(marked, fits.tolist(), strict=True) if not ok]
-            cache.update(zip(rest, self.v.encode_words(rest), strict=True))
-        for w, own in lines.items():
-            found = [cache[p] for p in own]
-            lines[w] = (b"".join([x[0] for x in found]), sum(x[1] for x in found))
-        return lines
-
-    def fetched(self, words: set[str]) -> list[str]:
-        """Brings words of the older generation over; gives those that neither has."""
-        cache, older = self.cache, self.older
-        new = [w for w in words if w not in cache]
-        cache.update((w, older[w]) for w in new if w in older)
-        return [w for w in new if w not in cache]
+    def forget(self) -> None:
+        self.met, self.values = Words("<i4", CACHE_BITS), Column("f8")
 
     def whole(self, normals: list[str]) -> list[bytes]:
-        texts = [words_of(t) for t in normals]
-        lines = self.words(texts)
-        get = self.cache.get
-        return [b"".join([(get(w) or lines[w])[0] for w in t]) for t in texts]
+        return [ids for ids, _ in self.paths(normals)]
+
+    def paths(self, normals: list[str]) -> list[tuple[bytes, float]]:
+        """Ids (32 bits each) and value of every text; some ``SLICE`` bytes are looked up at once."""
+        out, held, size = [], [], 0
+        for k, text in enumerate(normals, 1):
+            held.append(text.replace(SPACE, " ").encode("utf-8", "surrogatepass"))  # a space is one byte here
+            size += len(held[-1])
+            if size >= SLICE or k == len(normals):
+                out += self.batch(held)
+                held, size = [], 0
+        return out
+
+    def batch(self, texts: list[bytes]) -> list[tuple[bytes, float]]:
+        """Cuts before every space that follows another character and around lone line feeds, and looks the words up."""
+        data, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
+        if not len(data):
+            return [(b"", 0.0)] * len(texts)
+        ends = np.cumsum(lengths)
+        cut_ = data == 32
+        cut_[1:] &= ~cut_[:-1]
+        if self.lines:
+            feed = data == 10
+            cut_ |= feed
+            cut_[1:] |= feed[:-1]
+        cut_[(ends - lengths)[lengths > 0]] = True
+        starts = np.flatnonzero(cut_)
+        sizes = np.diff(np.append(starts, len(data)))
+        keys = self.hashed.hashes(data, starts, sizes)
+        if self.met.at.n > CACHE_WORDS:
+            self.forget()
+        words = self.met.find(keys)
+        missing = np.flatnonzero(words < 0)
+        if len(missing):
+            _, first = np.unique(keys[missing], return_index=True)
+            self.learn(data, keys, starts, sizes, missing[first])
+            words[missing] = self.met.find(keys[missing])
+        w = self.met
+        same = w.size.data[words] == sizes
+        kept = w.bytes.data[ranges(w.at.data[words], np.where(same, sizes, 0))]
+        if not same.all() or not np.array_equal(kept, data):  # two words with one hash
+            return [x for t in texts for x in self.plain(t)]
+        counts = w.ids_size.data[words]
+        ids = w.ids.data[ranges(w.ids_at.data[words], counts)].tobytes()
+        upto = np.append(0, np.cumsum(counts, dtype=np.int64)) * 4
+        first = np.searchsorted(starts, ends - lengths)
+        bounds = list(zip(first.tolist(), np.append(first[1:], len(starts)).tolist(), strict=True))
+        values = [0.0] * len(texts) if self.v.bpe else [float(self.values.data[words[a:b]].sum()) for a, b in bounds]
+        return [(ids[upto[a]:upto[b]], x) for (a, b), x in zip(bounds, values, strict=True)]
+
+    def plain(self, text: bytes) -> list[tuple[bytes, float]]:
+        """The same for one text, scanned as one row."""
+        if not text:
+            return [(b"", 0.0)]
+        signs = self.signs(text)
+        ids, _, value = self.v.encode_words(signs, np.array([len(signs)]))
+        return [(ids.astype("<i4").tobytes(), float(value[0]))]
+
+    def signs(self, data: bytes) -> np.ndarray:
+        found = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        return np.where(found == 32, ord(SPACE), found)
+
+    def learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, new: np.ndarray) -> None:
+        """Scans new words, those of like length together, in blocks of some ``CELLS`` characters."""
+        new = new[np.argsort(sizes[new], kind="stable")]
+        block = np.cumsum(sizes[new]) // CELLS
+        for some in np.split(new, np.flatnonzero(np.diff(block)) + 1):
+            begins, lengths = starts[some], sizes[some]
+            own = data[ranges(begins, lengths)]
+            raw = own.tobytes()
+            at = np.cumsum(lengths) - lengths
+            ids, counts, values = self.v.encode_words(self.signs(raw), np.add.reduceat((own & 0xC0) != 0x80, at, dtype=np.int64))
+            self.met.learn(keys[some], [raw[a:a + n] for a, n in zip(at.tolist(), lengths.tolist(), strict=True)], ids, counts)
+            self.values.add(values)
 
     def prepare(self, windows: list[tuple[str, int, int]]) -> None:
-        """Scans the new words of several chunks (window, begin, end) together."""
+        """Encodes what lies between the safe places of several chunks (window, begin, end) together."""
         safe = [(w, self.parts(w, begin, end)) for w, begin, end in windows]
-        self.words([words_of(w[own[0]:own[1]]) for w, own in safe if own is not None])
+        inner = list({w[own[0]:own[1]] for w, own in safe if own is not None})
+        self.ready = dict(zip(inner, self.paths(inner), strict=True))
 
     def inner(self, text: str) -> tuple[bytes, float]:
         """Ids and value of what lies between two safe places."""
-        words = words_of(text)
-        lines = self.words([words])
-        found = [self.cache.get(w) or lines[w] for w in words]
-        return b"".join([x[0] for x in found]), sum(x[1] for x in found)
+        return self.ready[text] if text in self.ready else self.paths([text])[0]
 
     def crossing(self, text: str, at: int) -> list[tuple[int, int]]:
         """(overrun, piece) of all pieces in ``text`` that begin before ``at`` and end there or later, in a fixed order."""
@@ -426,15 +476,20 @@ class Encoder:
 
     def parts(self, window: str, begin: int, end: int) -> tuple[int, int] | None:
         """First and last safe place in [begin + longest, end], or None."""
-        low = begin + self.v.longest
-        safe = [k for k in range(low, min(end + 1, len(window))) if window[k] == SPACE and window[k - 1] != SPACE]
-        return (safe[0], safe[-1]) if safe else None
+        stop = min(end + 1, len(window))
+        found = SAFE.search(window, begin + self.v.longest, stop)
+        if found is None:
+            return None
+        last = window.rfind(SPACE, found.start(), stop)
+        while window[last - 1] == SPACE:
+            last = window.rfind(SPACE, found.start(), last)
+        return found.start(), last
 
     def head(self, window: str, begin: int, stop: int, entries: list[tuple[int, int]], exits: bool):
         """The scan from all entry states at ``begin`` to ``stop``, one row per state."""
         codes = self.v.codes(window[begin:] if exits else window[begin:stop])
         rows = np.repeat(codes[None, :], len(entries), axis=0)
-        return self.v.scan(rows, np.full(len(entries), len(codes)), np.array([j for j, _ in entries]), np.array([p for _, p in entries]), stop - begin if exits else None)
+        return self.v.scan(rows, np.full(len(entries), len(codes)), np.array([j for j, _ in entries], int), np.array([p for _, p in entries], int), stop - begin if exits else None)
 
     def states(self, window: str, begin: int, end: int, first: bool) -> tuple[list, list]:
         return ([(0, self.v.size + 1)] if first else self.crossing(window, begin)), self.crossing(window, end)
@@ -458,7 +513,7 @@ class Encoder:
         if safe is None:
             return filled(self.head(window, begin, end, entries, True), end - begin, out)
         lead = self.head(window, begin, safe[0], entries, False)[0][:, safe[0] - begin]
-        value = self.inner(window[safe[0]:safe[1]])[1]
+        value = 0.0 if self.v.bpe else self.inner(window[safe[0]:safe[1]])[1]  # every BPE path has the value 0, and words always have one
         if safe[1] == end:  # the boundary itself is safe: whatever piece ends there, what follows does not depend on it
             tail = np.array([0.0 if j == 0 else -np.inf for j, _ in exits])
         else:
@@ -625,7 +680,8 @@ def encoded_parts(docs: DataFrame, settings: EncodeSettings) -> tuple[DataFrame,
     def matrices(rows: Iterable[tuple]) -> Iterator[tuple]:
         e = encoder()
         for held in together(rows, WINDOWS):
-            e.prepare([(window, begin, end) for _, _, begin, end, window in held])
+            if not e.v.bpe:
+                e.prepare([(window, begin, end) for _, _, begin, end, window in held])
             for row, k, begin, end, window in held:
                 m = e.transfer(window, begin, end, k == 0)
                 yield row, k, m.shape[0], m.tobytes()

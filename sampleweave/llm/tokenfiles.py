@@ -120,7 +120,25 @@ IS_CUT, IS_OPEN, IS_MARK, IS_LETTER = (np.isin(np.arange(256), list(own)) for ow
     b" \n", [*range(0x21, 0x7F), *range(0xC3, 0xE0)], b".,;:!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
-class WordIds:
+class WordHashes:
+    """Hashes of words by their bytes; the powers that they take are kept."""
+
+    def __init__(self):
+        self.powers = self.inverse = np.ones(1, np.uint64)
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Polynomials of the words' bytes modulo 2**64, from one running sum, mixed with their lengths."""
+        if len(self.powers) < len(data):
+            n = 1 << len(data).bit_length()
+            self.powers, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, f, np.uint64))) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:len(data)], out=sums[1:])
+        value = (sums[starts + sizes] - sums[starts]) * self.inverse[starts]
+        value = (value ^ (value >> np.uint64(32)) ^ (sizes.astype(np.uint64) << np.uint64(48))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.maximum(value ^ (value >> np.uint64(29)), np.uint64(1))
+
+
+class WordIds(WordHashes):
     """Ids of texts as little-endian bytes, two or four an id by the size of the vocabulary.
 
     A batch of texts is one array of bytes. It is cut before a space or line feed that a visible character follows, and between a letter and a mark
@@ -145,7 +163,7 @@ class WordIds:
         self.sizes[list(vocabulary.values())] = [len(piece) for piece in vocabulary]
         self.most, self.bits = s.cached_words, max(12, (2 * s.cached_words + SPAN).bit_length())
         self.words = Words(self.kind, self.bits)
-        self.powers = self.inverse = np.ones(1, np.uint64)
+        super().__init__()
 
     def packed(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -201,17 +219,6 @@ class WordIds:
         bad = np.append(0, np.cumsum(wrong))
         return [None if bad[b] > bad[a] else ids[upto[a]:upto[b]] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Polynomials of the words' bytes modulo 2**64, from one running sum, mixed with their lengths."""
-        if len(self.powers) < len(data):
-            n = 1 << len(data).bit_length()
-            self.powers, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, f, np.uint64))) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:len(data)], out=sums[1:])
-        value = (sums[starts + sizes] - sums[starts]) * self.inverse[starts]
-        value = (value ^ (value >> np.uint64(32)) ^ (sizes.astype(np.uint64) << np.uint64(48))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.maximum(value ^ (value >> np.uint64(29)), np.uint64(1))
-
     def learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, new: np.ndarray) -> None:
         """Ids of new words from the library. Those that a space or line feed opens stand in one text together: the bytes of its ids tell where a word ends."""
         opened_ = IS_CUT[data[starts[new]]] & (sizes[new] > 1)

@@ -373,3 +373,43 @@ def test_stages_keep_columns_of_any_name(spark):
         assert set(docs.columns) <= set(got.columns)
         for r in got.select(*(f"`{c}`" for c in extra)).distinct().collect():
             assert tuple(r) == tuple(CLASHING.values())
+
+
+def test_words_are_scanned_together_and_looked_up(library):
+    """A scan asks once per position of any word, not once per position and piece length; what was met is not scanned again."""
+    v = sentencepiece.Vocabulary(sentencepiece.MODEL)
+    e, rng = sentencepiece.Encoder(v), random.Random(8)
+    texts = ["".join(rng.choice("abcdehinorst  .,\n▁éß中😀\t") for _ in range(rng.randrange(60))) for _ in range(400)] + ["", " ", "\n\n", "  a", "\ud800x"]
+    asked, scanned = [], []
+    follows, scan = v.follows, v.scan_rows
+    v.follows = lambda a, b: asked.append(len(a)) or follows(a, b)
+    v.scan_rows = lambda codes, lengths, *rest: scanned.append(int(lengths.max())) or scan(codes, lengths, *rest)
+    got = [np.frombuffer(x, np.int32).tolist() for x in e.whole([v.normal(t) for t in texts])]
+    assert [g for g, t in zip(got, texts) if "\ud800" not in t] == [library.encode(t) for t in texts if "\ud800" not in t]
+    assert len(scanned) == 1 and len(asked) <= scanned[0]
+    assert [np.frombuffer(x, np.int32).tolist() for x in e.whole([v.normal(t) for t in texts])] == got and len(scanned) == 1
+
+
+def test_words_with_one_hash_are_told_apart(library, monkeypatch):
+    v = sentencepiece.Vocabulary(sentencepiece.MODEL)
+    e, texts = sentencepiece.Encoder(v), ["one two three", "", "four five"]
+    monkeypatch.setattr(e.hashed, "hashes", lambda data, starts, sizes: np.ones(len(starts), np.uint64))
+    assert [np.frombuffer(x, np.int32).tolist() for x in e.whole([v.normal(t) for t in texts])] == [library.encode(t) for t in texts]
+
+
+def test_pipeline_hands_on_small_batches(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs, before = table(spark, [(i, "x" * 20_000) for i in range(1_000)]).coalesce(1), spark.conf.get(name)
+    try:
+        corpus_pipeline.drop_near_copies(spark, table(spark, [(1, "a")]), "")
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+        assert docs.mapInArrow(sizes, "n long").agg({"n": "max"}).head()[0] < 6_000_000
+    finally:
+        spark.conf.set(name, before)
