@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -49,6 +50,21 @@ def map_rows(df: DataFrame, fn: Callable[[Iterable[tuple]], Iterator[tuple]], dd
     return df.mapInArrow(run, as_schema(ddl))
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system, if its C library can do that."""
+    trim = getattr(ctypes.pythonapi, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(fn: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``fn``, after which its worker gives back what it has freed: it waits for more tasks, and holds that while others work."""
+    def run(rows: Iterable) -> Iterator:
+        yield from fn(rows)
+        give_back()
+    return run
+
+
 def column(df: DataFrame, name: str, kind: str) -> Column:
     """The column if there is one, else nulls; names are matched exactly once."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sampleweave.llm.common import column, map_rows
+from sampleweave.llm.common import column, giving_back, map_rows
 from sampleweave.llm.tokenfiles import Column, WordHashes, Words, ranges
 from sampleweave.session import cut
 
@@ -661,7 +661,7 @@ def encoded_parts(docs: DataFrame, settings: EncodeSettings) -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays([*part.columns, id_lists(ids)], names=[*part.schema.names, "ids"])
 
     own = docs.where(~is_long).select(*(f"`{c}`" for c in keep), text.alias("text"))
-    short = own.mapInArrow(at_once, T.StructType([*own.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    short = own.mapInArrow(giving_back(at_once), T.StructType([*own.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
     long_rows = cut(docs.where(is_long).select(*(f"`{c}`" for c in keep), text.alias("text")).withColumn(marker, F.monotonically_increasing_id()))
     if long_rows.isEmpty():
@@ -693,10 +693,11 @@ def encoded_parts(docs: DataFrame, settings: EncodeSettings) -> tuple[DataFrame,
             for row, k, begin, end, window, entry, leave in held:
                 yield row, k, e.between(window, begin, end, k == 0, entry, leave)
 
-    chunks = cut(map_rows(long_rows.select(marker, "text"), windows, "row long, chunk int, begin int, end int, window string"))
-    states = boundary_states(cut(map_rows(chunks, matrices, "row long, chunk int, n_in int, matrix binary")), settings.group)
+    chunks = cut(map_rows(long_rows.select(marker, "text"), giving_back(windows), "row long, chunk int, begin int, end int, window string"))
+    # written, since a stage that made and used the states would hold two workers a task
+    states = cut(boundary_states(cut(map_rows(chunks, giving_back(matrices), "row long, chunk int, n_in int, matrix binary")), settings.group))
     given = chunks.join(states, ["row", "chunk"]).select("row", "chunk", "begin", "end", "window", "entry", "leave")
-    pieces = (map_rows(given, traced, "row long, chunk int, ids array<int>").groupBy("row")
+    pieces = (map_rows(given, giving_back(traced), "row long, chunk int, ids array<int>").groupBy("row")
               .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids")))
     long = long_rows.join(pieces.withColumnRenamed("row", marker), marker).select(*(f"`{c}`" for c in keep), "text", "ids")
     return short, long
@@ -753,4 +754,4 @@ def encode_documents(docs: DataFrame, settings: EncodeSettings = EncodeSettings(
                     pa.array([t == (own or "") for t, own in zip(back, part.column("text").to_pylist(), strict=True)])],
                     names=["doc_id", "n_tokens", "ids", "decoded_sha256", "exact"])
 
-    return encoded.select("doc_id", "text", "ids").mapInArrow(check, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")
+    return encoded.select("doc_id", "text", "ids").mapInArrow(giving_back(check), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, exact boolean")

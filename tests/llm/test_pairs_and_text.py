@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sampleweave.llm import digests, mixing, personal, secrets, sentencepiece, simhash, toxicity
+from sampleweave.llm import common, digests, mixing, personal, secrets, sentencepiece, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint int, ids string"
 
@@ -413,3 +413,26 @@ def test_pipeline_hands_on_small_batches(spark):
         assert docs.mapInArrow(sizes, "n long").agg({"n": "max"}).head()[0] < 6_000_000
     finally:
         spark.conf.set(name, before)
+
+
+def test_long_texts_take_one_worker_a_task(spark, library):
+    text = "some words of a long text " * 40
+    long = sentencepiece.encoded_parts(table(spark, [(1, text), (2, "short")]), sentencepiece.EncodeSettings(chunk=64, group=4))[1]
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInArrow") == 1
+    assert [list(r.ids) for r in long.collect()] == [library.encode(text)]
+
+
+def test_a_worker_gives_back_what_it_has_freed():
+    held = lambda: sum(map(int, re.findall(r"Anonymous: +(\d+) kB", open("/proc/self/smaps_rollup").read())))
+    if not hasattr(common.ctypes.pythonapi, "malloc_trim") or not held():
+        pytest.skip("this C library has no such call")
+
+    def run(rows):
+        blocks = [np.ones(60_000, np.uint8) for _ in range(2_000)]  # small ones, of which the last keeps the others' place
+        last.append(blocks.pop())
+        yield held()
+
+    last = []
+    before = list(common.giving_back(run)([]))[0]
+    assert before - held() > 80_000
