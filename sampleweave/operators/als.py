@@ -8,8 +8,9 @@ ratings and the routes to them stay where they are, packed, and a half step move
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -19,11 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import id_uniform, unrolled_dot
-from ..session import Rounds, cut, shuffle_width
+from ..session import TASK_ROWS, Rounds, cut, shuffle_width, shuffles_dropped, wide_enough
 from .filters import transpose_ratings
 from .keys import HOT_ROWS, SlottedRows, block_of, held_by, slotted
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+PASS_BYTES = 4 << 30
+PASS_FILES = 16
+VECTOR_TASK_BYTES = 64 << 20
 ITEM_BLOCK = 512
 PIECE_ROWS = 2_000_000
 SHARD_ROWS = 250_000
@@ -171,6 +175,29 @@ def normal_sums(rated: DataFrame, rank: int) -> DataFrame:
     return run_sums(by_user(rated.drop("user_slot")), rank)
 
 
+def in_passes(ratings: DataFrame, factors: Callable[[DataFrame], DataFrame], rank: int,
+              reduced: Callable[[DataFrame], DataFrame], count: int) -> DataFrame:
+    """``reduced`` of the normal sums of all users with the ``factors`` of the ratings, in passes that shuffle about ``PASS_BYTES`` each.
+
+    A vector goes to every rating of its item, so the sums of all users at once lay down ``rank`` numbers a rating. Here a pass brings the
+    vectors to the ratings of one group of users; its result is written, and its shuffle files go, before the next pass begins. The vectors
+    stay by item in their tasks. ``count`` is the rough number of ratings and only decides on the passes; ``reduced`` takes each user's sums
+    by themselves.
+    """
+    spark, passes = ratings.sparkSession, max(1, ceil(factor_bytes(count, rank) / PASS_BYTES))
+    if passes == 1:
+        ratings = cut(ratings)
+        return reduced(normal_sums(by_item(ratings).join(factors(ratings)), rank))
+    with shuffles_dropped(spark), wide_enough(spark, count):
+        dealt = ratings.withColumn("pass", F.pmod(F.xxhash64("user"), F.lit(passes)).cast("int"))
+        ratings = cut(dealt.repartition("pass", F.pmod(F.xxhash64("item"), F.lit(PASS_FILES))), by="pass")
+    with shuffles_dropped(spark), wide_enough(spark, max(count // passes, PASS_BYTES // VECTOR_TASK_BYTES * TASK_ROWS)):
+        held = held_by(SlottedRows(factors(ratings), "id", None)).rows
+        results = [cut(reduced(normal_sums(by_item(ratings.where(F.col("pass") == k)).join(held), rank))) for k in range(passes)]
+        held.unpersist()
+        return reduce(DataFrame.unionByName, results)
+
+
 def solved(sums: DataFrame, rank: int, regularization: float) -> DataFrame:
     """(id, factors) from the normal equations."""
     return sums.mapInArrow(lambda batches: (solved_batch(unpacked(b, rank), regularization) for b in batches if b.num_rows), FACTORS)

@@ -92,14 +92,16 @@ WIDE = 50
     GROUP BY 1""", "ratings"))
 def als_gram_wide(spark, folder):
     """Normal equations at rank 50: the trace and the sum of all cells of each user's matrix, and the sum of the right side."""
-    ratings = cut(views.ratings(spark, folder))
-    sums = als.normal_sums(als.by_item(ratings).join(start(ratings, WIDE)), WIDE)
     diagonal = [i * WIDE - i * (i - 1) // 2 for i in range(WIDE)]
     trace = F.aggregate(F.array(*[F.lit(d) for d in diagonal]), F.lit(0.0), lambda t, d: t + F.get("gram", d))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
-    return (sums.withColumn("trace", trace)
-            .select("id", "n", rounded(F.col("trace")).alias("trace"), rounded(2 * total(F.col("gram")) - F.col("trace"), 5).alias("gram"),
-                    rounded(total(F.col("rhs")), 5).alias("rhs")))
+
+    def reduced(sums):
+        return (sums.withColumn("trace", trace)
+                .select("id", "n", rounded(F.col("trace")).alias("trace"), rounded(2 * total(F.col("gram")) - F.col("trace"), 5).alias("gram"),
+                        rounded(total(F.col("rhs")), 5).alias("rhs")))
+    # most ratings are of one line
+    return als.in_passes(views.ratings(spark, folder), lambda ratings: start(ratings, WIDE), WIDE, reduced, table(spark, folder, "lineitem").count())
 
 
 @query(with_views("""SELECT r."user", r.item, round(r.rating, 6) AS rating, round(u.f0 * v.f0 + u.f1 * v.f1, 4) AS predicted

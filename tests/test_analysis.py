@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sampleweave.functions.numbers import uniform_value
 from sampleweave.operators import als, exports, graph, linear, lowrank, matrix, statistics
-from sampleweave.plans import workflow
+from sampleweave.plans import learning_queries, workflow
 
 import toy
 
@@ -217,6 +218,39 @@ def test_rank_fifty(spark):
             assert set(got) == set(want) and all(got[u] == pytest.approx(want[u].tolist(), rel=1e-8) for u in want)
 
 
+def test_wide_sums_in_passes(spark, tmp_path, monkeypatch):
+    """The vectors of one pass at a time are laid down for the users; the sums are numpy's, whatever the passes."""
+    rng = np.random.default_rng(6)
+    orders = [(o, int(c)) for o, c in enumerate(rng.integers(0, 80, 500))]
+    lines = [(int(o), int(p), float(q)) for o, p, q in zip(rng.integers(0, 501, 4000), rng.integers(0, 300, 4000), rng.integers(1, 50, 4000))]
+    lines += [(3, None, 1.0), (None, 5, 1.0)]
+    spark.createDataFrame(orders, "o_orderkey BIGINT, o_custkey BIGINT").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey BIGINT, l_partkey BIGINT, l_quantity DOUBLE").write.parquet(str(tmp_path / "lineitem.parquet"))
+    owner, cells, want = dict(orders), {}, {}
+    for o, p, q in lines:
+        if o in owner and p is not None:
+            cells.setdefault((owner[o], p), []).append(q)
+    for user in {u for u, _ in cells}:
+        own = {p: float(np.mean(q)) for (u, p), q in cells.items() if u == user}
+        v = np.array([[uniform_value(p, k, 42) for k in range(50)] for p in own])
+        want[user] = (len(own), np.trace(v.T @ v), (v.T @ v).sum(), (np.array(list(own.values())) @ v).sum())
+
+    def laid_down():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    for most, passes in ((len(cells) * 416 // 5, 6), (4 << 30, 1)):
+        monkeypatch.setattr(als, "PASS_BYTES", most, raising=False)
+        before = set(laid_down())
+        got = {r["id"]: (r["n"], r["trace"], r["gram"], r["rhs"]) for r in learning_queries.als_gram_wide(spark, str(tmp_path)).collect()}
+        assert set(got) == set(want) and all(got[u] == pytest.approx(want[u], rel=1e-6) for u in want)
+        if passes > 1:
+            wait = time.time() + 20  # files go beside the work
+            while (left := sum(n for f, n in laid_down().items() if f not in before)) > most and time.time() < wait:
+                time.sleep(0.2)
+            assert left < most
+
+
 def test_runs_over_batches():
     """A user's run may be cut anywhere."""
     rng = np.random.default_rng(0)
