@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sampleweave.functions.numbers import uniform_value
 from sampleweave.operators import als, exports, graph, linear, lowrank, matrix, statistics
-from sampleweave.plans import learning_queries, workflow
+from sampleweave.plans import learning_queries, matrix_queries, workflow
 
 import toy
 
@@ -532,3 +532,22 @@ def test_graph_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
     graph.communities(graph.vertices_of(edges), edges, 1)
     assert widths == [24, 2 * len(plain) // 50 + (2 * len(plain) % 50 > 0), 2 * edges.count() // 50 + (2 * edges.count() % 50 > 0)]
     assert session.shuffle_width(spark) == before
+
+
+def test_cluster_lines_make_all_rounds(spark, tmp_path):
+    """The exported clusters are those of all thirty rounds: a round less or two rounds alone give others."""
+    pairs = [(a, a + 1 + a % 3) for a in range(0, 24)] + [(a, a + 1) for a in (0, 5, 5, 11)] + [(40, 41)]
+    lines = [(o, k, p, 0) for o, pair in enumerate(pairs) for k, p in enumerate(pair)]
+    spark.createDataFrame(lines, "l_orderkey BIGINT, l_linenumber INT, l_partkey BIGINT, l_suppkey BIGINT").write.parquet(f"{tmp_path}/lineitem.parquet")
+    ids = sorted({p for pair in pairs for p in pair})
+    spark.createDataFrame([(p, f"part {p}") for p in ids], "p_partkey BIGINT, p_name STRING").write.parquet(f"{tmp_path}/part.parquet")
+    weights = {}
+    for a, b in pairs:
+        weights[a, b] = weights.get((a, b), 0) + 1.0
+        weights[b, a] = weights.get((b, a), 0) + 1.0
+    edges = [(a, b, w) for (a, b), w in weights.items()]
+    few, fewer, want = (toy.communities(ids, edges, rounds) for rounds in (2, 29, 30))
+    assert want != few and want != fewer
+    got = matrix_queries.gdf_cluster_lines(spark, str(tmp_path)).where("section = 1").collect()
+    assert {r["line"] for r in got} == {f"{p},{want[p]},part {p}" for p in ids}
+    assert len(got) == len(ids)
