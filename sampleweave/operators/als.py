@@ -180,7 +180,7 @@ def in_passes(ratings: DataFrame, factors: Callable[[DataFrame], DataFrame], ran
     """``reduced`` of the normal sums of all users with the ``factors`` of the ratings, in passes that shuffle about ``PASS_BYTES`` each.
 
     A vector goes to every rating of its item, so the sums of all users at once lay down ``rank`` numbers a rating. Here a pass brings the
-    vectors to the ratings of one group of users; its result is written, and its shuffle files go, before the next pass begins. The vectors
+    vectors to the ratings of one group of users; its result is written, and its shuffle files go as it ends. The vectors
     stay by item in their tasks. ``count`` is the rough number of ratings and only decides on the passes; ``reduced`` takes each user's sums
     by themselves.
     """
